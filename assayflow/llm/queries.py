@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.llm import ann, chat, gif, language_id, line_dedup, mixing, token_files
+from assayflow.llm import ann, chat, gif, jaccard_join, language_id, line_dedup, mixing, token_files
 from assayflow.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicate_classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -45,5 +49,5 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_files, op4_gif_media, op5_language_id, op7_nearest, op8_chat_format, op9_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_files, op4_gif_media, op5_language_id, op6_jaccard_join, op7_nearest, op8_chat_format, op9_mix_sources)}
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat.ORACLE, "op9_mix_sources": mixing.ORACLE}
