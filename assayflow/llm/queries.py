@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.llm import ann, chat, gif, jaccard_join, language_id, line_dedup, mixing, token_files
+from assayflow.llm import ann, chat, gif, jaccard_join, language_id, line_dedup, mixing, suffix_dedup, token_files
 from assayflow.llm.common import read_table
 
 
@@ -49,5 +49,9 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_files, op4_gif_media, op5_language_id, op6_jaccard_join, op7_nearest, op8_chat_format, op9_mix_sources)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_files, op4_gif_media, op5_language_id, op6_jaccard_join, op7_nearest, op8_chat_format, op9_mix_sources, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat.ORACLE, "op9_mix_sources": mixing.ORACLE}
