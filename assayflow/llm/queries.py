@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.llm import ann, chat, gif, jaccard_join, language_id, line_dedup, mixing, suffix_dedup, token_files
+from assayflow.llm import ann, bpe, chat, gif, jaccard_join, language_id, line_dedup, mixing, suffix_dedup, token_files
 from assayflow.llm.common import read_table
 
 
@@ -21,6 +21,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    back = bpe.decode(docs, path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.describe(gif.store_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -53,5 +61,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_files, op4_gif_media, op5_language_id, op6_jaccard_join, op7_nearest, op8_chat_format, op9_mix_sources, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_files, op3_bpe, op4_gif_media, op5_language_id, op6_jaccard_join, op7_nearest, op8_chat_format, op9_mix_sources, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat.ORACLE, "op9_mix_sources": mixing.ORACLE}
