@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import small, stored, words_count
@@ -16,7 +16,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: int
 
     Weights repeat over the sources in code point order, null last. The excess over a cap is shared again
     by weight until none is above: with the sources ordered by cap / weight, a prefix is capped and one
-    rate serves the rest, so running sums find it. The input has one row a source.
+    rate serves the rest. Running sums give the rate for each length of that prefix; of those that keep the
+    next source under its cap the largest is right, as capping more sources only lowers it. One row a source.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -29,49 +30,70 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: int
         .withColumn("rate", (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
         .withColumn("rate", F.when(F.col("rate") * F.col("weight") <= F.col("cap"), F.col("rate")))
     )
-    rate = F.min("rate").over(Window.partitionBy())
+    rate = F.max("rate").over(Window.partitionBy())
     return rated.withColumn("target", F.coalesce(F.least(rate * F.col("weight"), F.col("cap").cast("double")), F.lit(0.0))).select("source", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target and taken: how many words the mix takes of each document.
+def row_hash(id_col: str, text: str) -> Column:
+    """A hash of BITS * LEVELS bits of a row's id and text."""
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """doc_id, source, size in words and hash of every document."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), words_count(F.col(text)).alias("size"), row_hash(id_col, text).alias("h"))
 
-    Every document is taken floor(target / source size) times, and once more if the hash of its id and text
-    lies below the source's threshold. The threshold is found in histograms of words by source and hash
-    bucket: 4096 buckets of all documents, then 4096 of the boundary bucket alone, then again; the last
-    cell is taken if that comes nearer. Thresholds are nested: a larger budget keeps all that a smaller
-    takes, and reruns agree. Null texts have size 0; a null source is a source; rows equal in id and text
-    are taken together. Input columns of other names play no part.
+
+def thresholds(base: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """base(source, size, h) -> source, source_size, target, repeats, prefix: the plan of the mix, one row a source.
+
+    A document is taken `repeats` times, and once more if its hash lies below `prefix`. That threshold comes
+    from histograms of words by source and hash bucket: 4096 buckets of all documents, then 4096 of the
+    boundary bucket alone, then again; the last cell is taken if that comes nearer. Thresholds are nested: a
+    larger budget keeps all that a smaller one takes.
     """
-    h = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))), 1, BITS * LEVELS // 4), 16, 10).cast("long")
-    base = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), words_count(F.col(text)).alias("size"), h.alias("h")), "mix-sizes")
     sizes = stored(base.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats))).otherwise(0).cast("long")
     state = source_targets(sizes, weights, max_repeats).withColumn("repeats", whole)
-    # prefix: buckets chosen so far; left: words still to take at that prefix. A threshold of -1 takes nothing more.
+    # prefix: where the threshold stands so far; left: words still to take from there on.
     state = state.withColumn("prefix", F.lit(0).cast("long")).withColumn("left", F.col("target") - F.col("repeats") * F.col("source_size"))
-    state = stored(state, "mix-state-0")
+    state = stored(state, "mix-state")
     for level in range(1, LEVELS + 1):
-        shift, last = BITS * (LEVELS - level), level == LEVELS
+        shift = BITS * (LEVELS - level)
         s = small(state.select(F.col("source").alias("s"), "prefix", "left"))
         inside = F.shiftright("h", shift + BITS) == F.col("prefix")
         hist = base.join(s, F.col("source").eqNullSafe(F.col("s")) & inside).groupBy("source", F.shiftright("h", shift).alias("cell")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
         run = Window.partitionBy("source").orderBy("cell")
         cum = hist.withColumn("upto", F.sum("words").over(run)).withColumn("before", F.col("upto") - F.col("words"))
         takes = F.col("upto") <= F.col("left")
-        if last:
+        if level == LEVELS:
             takes = takes | ((F.col("before") <= F.col("left")) & (F.col("words") <= 2 * (F.col("left") - F.col("before"))))
         # The first bucket that is not taken whole: all below it are.
         cut = cum.where(~takes).groupBy(F.col("source").alias("c")).agg(F.min(F.struct("cell", "before")).alias("cut"))
         joined = state.join(cut, F.col("source").eqNullSafe(F.col("c")), "left")
         beyond = F.shiftleft(F.col("prefix") + 1, BITS)
-        state = stored(
-            joined.select("source", "source_size", "target", "repeats", F.coalesce("cut.cell", beyond).alias("prefix"), (F.when(F.col("cut").isNull(), F.lit(0.0)).otherwise(F.col("left") - F.col("cut.before"))).alias("left")),
-            f"mix-state-{level}",
-        )
-    final = small(state.select(F.col("source").alias("s"), "source_size", "target", "repeats", "prefix"))
-    times = F.col("repeats") + F.when((F.col("h") < F.col("prefix")) & (F.col("repeats") < max_repeats), 1).otherwise(0)
-    return base.join(final, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+        left = F.when(F.col("cut").isNull(), F.lit(0.0)).otherwise(F.col("left") - F.col("cut.before"))
+        state = stored(joined.select("source", "source_size", "target", "repeats", F.coalesce("cut.cell", beyond).alias("prefix"), left.alias("left")), "mix-state")
+    return state.drop("left")
+
+
+def apply_mix(rows: DataFrame, plan: DataFrame, source: str = "source", h: str = "h", max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """Adds source_size, target and times, how often the mix takes each row."""
+    p = small(plan.withColumnRenamed("source", "__source"))
+    times = F.col("repeats") + F.when((F.col(h) < F.col("prefix")) & (F.col("repeats") < max_repeats), 1).otherwise(0)
+    return rows.join(p, F.col(source).eqNullSafe(F.col("__source"))).withColumn("times", times).drop("__source", "repeats", "prefix")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """doc_id, size, source_size, target and taken: how many words the mix takes of each document.
+
+    Reruns agree. Null texts have size 0; a null source is a source; rows equal in id and text are taken
+    together. Input columns of other names play no part.
+    """
+    base = stored(sized(docs, id_col, source, text), "mix-sizes")
+    mixed = apply_mix(base, thresholds(base, weights, max_repeats), max_repeats=max_repeats)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 ORACLE = r"""
@@ -81,7 +103,7 @@ sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROU
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 3 * source_size AS cap FROM sizes),
 r AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM w),
-t AS (SELECT source, source_size, coalesce(least((SELECT min(rate) FROM r q WHERE q.rate * q.weight <= q.cap) * weight, cap::DOUBLE), 0) AS target FROM r),
+t AS (SELECT source, source_size, coalesce(least((SELECT max(rate) FROM r q WHERE q.rate * q.weight <= q.cap) * weight, cap::DOUBLE), 0) AS target FROM r),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS repeats FROM t),
 cells AS (SELECT b.source, h, CAST(sum(size) AS BIGINT) AS words FROM base b GROUP BY b.source, h),
 cum AS (SELECT c.*, u.target - u.repeats * u.source_size AS budget, CAST(sum(words) OVER (PARTITION BY c.source ORDER BY h) AS BIGINT) AS upto
