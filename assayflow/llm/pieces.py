@@ -30,7 +30,7 @@ class Memory(dict):
     The bound limits memory only: a forgotten piece is encoded again, with the same result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], bound: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable], bound: int = 800_000):
         super().__init__()
         self.encode, self.bound, self.old = encode, bound, {}
 
@@ -49,3 +49,13 @@ class Memory(dict):
             else:
                 new.append(p)
         self.update(zip(new, self.encode(new), strict=True))
+
+
+_kept: dict = {}
+
+
+def kept_memory(key: tuple, encode: Callable[[list[str]], Iterable]) -> Memory:
+    """The memory of this key, which lives as long as the worker process and serves all its tasks."""
+    if key not in _kept:
+        _kept[key] = Memory(encode)
+    return _kept[key]

@@ -20,7 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayflow.llm.bpe import TEXTS, encode_texts
 from assayflow.llm.common import new_path, stored
+from assayflow.llm.pieces import BYTE_LEVEL, kept_memory, splitter
 
 MANIFEST = "shard long, name string, n_docs long, n_tokens long, width int"
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("null", "<i8")])
@@ -37,12 +39,14 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, pattern: str = BYTE_LEVEL, id_col: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
     """Encode every text, append end_id, write the shards in ascending order of id and return the manifest.
 
     Documents are dealt by ranges of id (and a hash of the text, so that a repeated id can be split) and
     sorted within. Ids are nulls last; equal ids come in order of that hash. A null text is empty. A task
-    that runs twice writes other names; the manifest names the files of the one that counted.
+    that runs twice writes other names; the manifest names the files of the one that counted. A byte-level
+    tokenizer encodes each match of its pattern by itself, so the library encodes each distinct piece once
+    and a text's ids are those of its pieces; `pattern` is that of the tokenizer's file.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -53,6 +57,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         kind = np.dtype("<u2" if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        end, split = np.array([end_id], kind).tobytes(), splitter(pattern)
+        added = [t.content for t in tok.get_added_tokens_decoder().values()]
+        library = lambda new: [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
+        memory = kept_memory(("tokenizer", tokenizer_path, kind.str), library)
         ctx = TaskContext.get()
         name = f"part-{ctx.partitionId():06d}-{uuid.uuid4().hex}"
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -61,26 +69,25 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         with fs.open_output_stream(f"{root}/{name}.bin") as out:
             for batch in batches:
                 texts = batch.column("text").to_pylist()
-                ids, lengths = [], np.empty(len(texts), "<i8")
-                for at in range(0, len(texts), 64):
-                    for k, e in enumerate(tok.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)):
-                        ids.append(np.array(e.ids + [end_id], kind))
-                        lengths[at + k] = len(ids[-1])
-                    if sum(map(len, ids[-64:])) and len(ids) >= 1024:
-                        out.write(np.concatenate(ids))
-                        ids = []
-                if ids:
-                    out.write(np.concatenate(ids))
+                lengths = np.empty(len(texts), "<i8")
+                for at in range(0, len(texts), TEXTS):
+                    some = texts[at : at + TEXTS]
+                    special = [k for k, t in enumerate(some) if any(a in t for a in added)]
+                    own = encode_texts(["" if k in special else t for k, t in enumerate(some)], split, memory)
+                    for k in special:  # the library alone says what an added token's string is
+                        own[k] = library([some[k]])[0]
+                    lengths[at : at + len(own)] = [len(b) // kind.itemsize + 1 for b in own]
+                    out.write(b"".join(x for b in own for x in (b, end)))
                 part = np.zeros(len(texts), INDEX)
                 part["doc_id"] = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
                 part["null"] = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
                 part["start"] = total + np.cumsum(lengths) - lengths
                 total += int(lengths.sum())
                 index.append(part)
-        end = np.zeros(1, INDEX)
-        end["start"] = total
+        last = np.zeros(1, INDEX)
+        last["start"] = total
         with fs.open_output_stream(f"{root}/{name}.idx") as out:
-            out.write(np.concatenate([*index, end]).tobytes())
+            out.write(np.concatenate([*index, last]).tobytes())
         yield pa.RecordBatch.from_pydict({"shard": [ctx.partitionId()], "name": [name], "n_docs": [sum(map(len, index))], "n_tokens": [total], "width": [kind.itemsize]}, schema=pa.schema([("shard", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
     shards = stored(rows.select("doc_id", "text").mapInArrow(encode, MANIFEST), "token-shards")
