@@ -139,12 +139,17 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         out = []
         if len(q) and len(v):
             ids, x = v["id"].to_numpy(), np.stack(v["vec"].to_numpy())
+            single = len(np.unique(ids)) == len(ids)
             for i, y in zip(q["id"].to_numpy(), q["vec"].to_numpy(), strict=True):
                 diff = x - y
                 d = np.sqrt((diff * diff).sum(axis=1))
                 d[ids == i] = np.inf
                 kth = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
                 near = np.flatnonzero((d <= kth) & (ids != i))
+                if not single:  # a repeated id is one candidate
+                    every_id = np.lexsort((d, ids))
+                    near = every_id[np.flatnonzero(np.diff(ids[every_id], prepend=np.iinfo(np.int64).min))]
+                    near = near[ids[near] != i]
                 near = near[np.lexsort((ids[near], d[near]))[:k]]
                 out.append(pd.DataFrame({"query_id": i, "vec_id": ids[near], "score": d[near]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
