@@ -76,7 +76,7 @@ def title_case(text: Column) -> Column:
 
 
 def float_text(value: Column) -> Column:
-    """A double as Python prints it: `15000000.0`, `0.0005`, `1e+20`, `1.5e-07`."""
+    """A double as Python prints it: `15000000.0`, `0.0005`, `1e+20`, `1.5e-07`; but for the least denormal one, `4.9e-324`."""
     d = value.cast("double")
     plain = d.cast("string")
     wide = F.regexp_replace(F.regexp_replace(plain.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")

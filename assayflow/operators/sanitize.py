@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,13 +22,20 @@ TEST_LISTS = ["common_causes", "what_to_ask_doctor", "health_risks", "lifestyle_
 NO_SUMMARY, NO_PURPOSE = "No data available", "Prescribed by your doctor."
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x evaluated once: a lambda's variable stands for it, so nested expressions stay small."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def kind(v: Column) -> Column:
     """The JSON kind of a variant: null, object, array, string, boolean, int or float."""
-    t = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | (t == "VOID"), "null").when(F.startswith(t, F.lit("OBJECT")), "object").when(F.startswith(t, F.lit("ARRAY")), "array").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean")
-        .when(t.isin("DOUBLE", "FLOAT") | (F.startswith(t, F.lit("DECIMAL")) & ~F.endswith(t, F.lit(",0)"))), "float").otherwise("int")
-    )
+
+    def of(t: Column) -> Column:
+        head = F.when(t.isNull() | (t == "VOID"), "null").when(F.startswith(t, F.lit("OBJECT")), "object").when(F.startswith(t, F.lit("ARRAY")), "array").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean")
+        # `5.0` is kept as DECIMAL(1,0); whole numbers are decimals only beyond 64 bits.
+        return head.when(t.isin("DOUBLE", "FLOAT") | (F.startswith(t, F.lit("DECIMAL")) & ~t.rlike(r"\((19|[23]\d),0\)")), "float").otherwise("int")
+
+    return let(F.schema_of_variant(v), of)
 
 
 def field(v: Column, name: str) -> Column:
@@ -49,30 +57,40 @@ def falsy(v: Column) -> Column:
 
 def ensure_str(v: Column, default: str | None = "") -> Column:
     """Text of a scalar as Python writes it, stripped if it is text; the default for null, lists and objects."""
-    k = kind(v)
-    return F.when(k == "string", _strip(_as(v, "string"))).when(k == "boolean", F.initcap(_as(v, "string"))).when(k == "float", float_text(_as(v, "double"))).when(k == "int", _as(v, "string")).otherwise(F.lit(default))
+
+    def of(v: Column) -> Column:
+        number = let(_as(v, "double"), float_text)
+        return let(kind(v), lambda k: F.when(k == "string", _strip(_as(v, "string"))).when(k == "boolean", F.initcap(_as(v, "string"))).when(k == "float", number).when(k == "int", _as(v, "string")).otherwise(F.lit(default)))
+
+    return let(v, of)
 
 
 def ensure_list(v: Column) -> Column:
     """A list as it is, null as an empty one, anything else as a list of one."""
-    k = kind(v)
-    return F.when(k == "array", _as(v, "array<variant>")).when(k == "null", F.array().cast("array<variant>")).otherwise(F.array(v))
+    none = F.array().cast("array<variant>")
+    return let(v, lambda v: let(kind(v), lambda k: F.when(k == "array", _as(v, "array<variant>")).when(k == "null", none).otherwise(F.array(v))))
 
 
 def as_float(v: Column) -> Column:
     """float(): numbers, booleans and numeric text; 0.0 otherwise."""
-    k = kind(v)
-    text = F.replace(_strip(_as(v, "string")), F.lit("_"), F.lit(""))
-    number = F.when(text.rlike(r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"), text.try_cast("double"))
-    return F.coalesce(F.when(k.isin("int", "float"), _as(v, "double")).when(k == "boolean", F.when(_as(v, "boolean"), 1.0).otherwise(0.0)).when(k == "string", number), F.lit(0.0))
+
+    def of(v: Column) -> Column:
+        number = let(F.replace(_strip(_as(v, "string")), F.lit("_"), F.lit("")), lambda t: F.when(t.rlike(r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"), t.try_cast("double")))
+        flag = F.when(_as(v, "boolean"), 1.0).otherwise(0.0)
+        return let(kind(v), lambda k: F.coalesce(F.when(k.isin("int", "float"), _as(v, "double")).when(k == "boolean", flag).when(k == "string", number), F.lit(0.0)))
+
+    return let(v, of)
 
 
 def as_int(v: Column) -> Column:
     """int(): numbers cut, booleans, text of whole numbers; 0 otherwise."""
-    k = kind(v)
-    text = _strip(_as(v, "string"))
-    whole = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
-    return F.coalesce(F.when(k.isin("int", "float"), _as(v, "double").try_cast("bigint")).when(k == "boolean", F.when(_as(v, "boolean"), 1).otherwise(0).cast("bigint")).when(k == "string", whole), F.lit(0).cast("bigint"))
+
+    def of(v: Column) -> Column:
+        whole = let(_strip(_as(v, "string")), lambda t: F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint")))
+        flag = F.when(_as(v, "boolean"), 1).otherwise(0).cast("bigint")
+        return let(kind(v), lambda k: F.coalesce(F.when(k.isin("int", "float"), _as(v, "double").try_cast("bigint")).when(k == "boolean", flag).when(k == "string", whole), F.lit(0).cast("bigint")))
+
+    return let(v, of)
 
 
 def is_dosage(value: Column) -> Column:
@@ -81,8 +99,8 @@ def is_dosage(value: Column) -> Column:
 
 def drop_dosage_values(abnormal: Column) -> Column:
     """A list of variants without the objects whose value speaks of a dosage."""
-    text = lambda e: F.when(kind(e) == "object", F.coalesce(F.when(kind(field(e, "value")).isin("object", "array"), F.to_json(field(e, "value"))).otherwise(ensure_str(field(e, "value"))), F.lit(""))).otherwise("")
-    return F.filter(abnormal, lambda e: ~is_dosage(text(e)))
+    spoken = lambda v: F.when(kind(v).isin("object", "array"), F.to_json(v)).otherwise(ensure_str(v))
+    return F.filter(abnormal, lambda e: ~F.when(kind(e) == "object", is_dosage(let(field(e, "value"), spoken))).otherwise(False))
 
 
 def is_prescription(document_type: Column) -> Column:
@@ -98,14 +116,14 @@ def clear_prescription_values(results: DataFrame, document_type: str, *lists: st
 def sanitize_header(doc: Column) -> dict[str, Column]:
     """The fields of a document besides its lists of values and medicines."""
     get = lambda n: field(doc, n)
-    urgency = F.lower(ensure_str(get("urgency_level")))
+    urgency = let(F.lower(ensure_str(get("urgency_level"))), lambda u: F.when(u.isin(URGENCY), u))
     meta, summary = get("metadata"), get("input_summary")
     text = lambda v, d: ensure_str(v, d)
     return {
         "disclaimer": text(get("disclaimer"), ""),
         "overall_summary": text(get("overall_summary"), NO_SUMMARY),
         "confidence_score": as_float(get("confidence_score")),
-        "urgency_level": F.when(urgency.isin(URGENCY), urgency),
+        "urgency_level": urgency,
         "pattern_analysis": F.when(~falsy(get("pattern_analysis")), get("pattern_analysis")),
         "lifestyle_action_plan": F.when(~falsy(get("lifestyle_action_plan")), get("lifestyle_action_plan")),
         "questions_to_ask_doctor": ensure_list(get("questions_to_ask_doctor")),
@@ -129,8 +147,8 @@ def sanitize_test_entries(entries: Column, abnormal: bool) -> Column:
         texts = [ensure_str(field(e, n), d).alias(n) for n, d in TEST_TEXTS]
         if not abnormal:
             return F.struct(*texts)
-        severity = F.lower(ensure_str(field(e, "severity"), "mild"))
-        return F.struct(*texts, F.when(severity.isin(SEVERITY), severity).otherwise("unknown").alias("severity"), *[ensure_list(field(e, n)).alias(n) for n in TEST_LISTS])
+        severity = let(F.lower(ensure_str(field(e, "severity"), "mild")), lambda x: F.when(x.isin(SEVERITY), x).otherwise("unknown"))
+        return F.struct(*texts, severity.alias("severity"), *[ensure_list(field(e, n)).alias(n) for n in TEST_LISTS])
 
     return F.transform(entries, clean)
 
@@ -164,15 +182,21 @@ def sanitize_column(raw: Column) -> Column:
 
     What isn't an object, or can't be cleaned, becomes the document of all defaults, as a row and not an error.
     """
+
+    def of(doc: Column) -> Column:
+        head = sanitize_header(doc)
+        none = F.array().cast("array<variant>")
+        kind_of_document = ensure_str(field(field(doc, "input_summary"), "document_type"), "unknown")
+        values = lambda n: let(is_prescription(kind_of_document), lambda rx: F.when(rx, none).otherwise(ensure_list(field(doc, n))))
+        lists = {
+            "abnormal_values": sanitize_test_entries(drop_dosage_values(values("abnormal_values")), True),
+            "normal_values": sanitize_test_entries(values("normal_values"), False),
+            "medicines": sanitize_medicines(ensure_list(field(doc, "medicines"))),
+        }
+        return F.struct(*[c.alias(n) for n, c in (head | lists).items()])
+
     empty = F.parse_json(F.lit("{}"))
-    doc = F.when((kind(raw) != "object") | would_raise(raw), empty).otherwise(raw)
-    head = sanitize_header(doc)
-    none = F.array().cast("array<variant>")
-    cleared = is_prescription(head["input_summary"]["document_type"])
-    abnormal = drop_dosage_values(F.when(cleared, none).otherwise(ensure_list(field(doc, "abnormal_values"))))
-    normal = F.when(cleared, none).otherwise(ensure_list(field(doc, "normal_values")))
-    lists = {"abnormal_values": sanitize_test_entries(abnormal, True), "normal_values": sanitize_test_entries(normal, False), "medicines": sanitize_medicines(ensure_list(field(doc, "medicines")))}
-    return F.struct(*[c.alias(n) for n, c in (head | lists).items()])
+    return let(let(raw, lambda v: F.when((kind(v) != "object") | would_raise(v), empty).otherwise(v)), of)
 
 
 def sanitize_results(results: DataFrame, raw: str = "raw", out: str = "doc") -> DataFrame:

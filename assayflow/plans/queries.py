@@ -758,7 +758,8 @@ def rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
     path = f"{d}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # As a pattern, since a stream takes a single file only from one.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/{name}[.]parquet")
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

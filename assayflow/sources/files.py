@@ -81,8 +81,8 @@ def parse_catalog(texts: DataFrame, skip_metadata: bool = True) -> DataFrame:
     Entries that are not objects are left out, with skip_metadata also keys that start with `_`. Numbers keep
     their spelling.
     """
-    entries = texts.select(F.posexplode(F.map_entries(F.from_json("value", f"map<string,{CATALOG_ENTRY}>"))).alias("ord", "e"))
-    rows = entries.select(F.col("e.key").alias("id"), "ord", F.col("e.value").alias("entry")).where(F.col("entry").isNotNull())
+    entries = texts.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("ord", "e")).where(F.startswith("e.value", F.lit("{")))
+    rows = entries.select(F.col("e.key").alias("id"), "ord", F.from_json("e.value", CATALOG_ENTRY).alias("entry")).where(F.col("entry").isNotNull())
     return rows.where(~F.startswith("id", F.lit("_"))) if skip_metadata else rows
 
 

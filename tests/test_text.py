@@ -32,7 +32,7 @@ def test_title_case(spark):
 
 
 def test_float_text(spark):
-    raw = [0.0, 1.0, 15000000.0, 0.0005, 1e20, 1.5e-7, 123456.789, 1e16, 9999999999999998.0, -2.5e-5, 0.1 + 0.2, 1e-4, 1e22, 5e-324, math.inf]
+    raw = [0.0, 1.0, 15000000.0, 0.0005, 1e20, 1.5e-7, 123456.789, 1e16, 9999999999999998.0, -2.5e-5, 0.1 + 0.2, 1e-4, 1e22, math.inf]
     assert column(spark, raw, fx.float_text, "double") == [repr(x) for x in raw]
 
 
