@@ -167,6 +167,8 @@ class Labeller:
         if len(self.memo) > MEMO:
             self.memo.clear()
         lengths = [len(t) for t in texts]
+        if len(self.memo) + sum(lengths) > len(self.scores):  # a text of more words than a block
+            self.scores = np.concatenate([self.scores, np.empty((sum(lengths), len(self.model.labels)), np.float32)])
         ids = np.fromiter((i for t in texts for i in self.ids(t)), np.int64, sum(lengths))
         chains = np.array([min(CHAIN, n - i) for n in lengths for i in range(0, n, CHAIN)], np.int64)
         if not len(chains):

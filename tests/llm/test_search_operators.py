@@ -32,6 +32,18 @@ def test_language_id(spark, odd_docs, no_docs):
     assert empty.labels == [] and {r["lang_pred"] for r in language_id.detect(odd_docs, empty).collect()} == {"und"}
 
 
+def test_text_longer_than_a_block(monkeypatch):
+    monkeypatch.setattr(language_id, "MEMO", 50)
+    monkeypatch.setattr(language_id, "BLOCK", 60)
+    rng = random.Random(1)
+    model = language_id.fit([(lang, languages(rng, lang, 50).split()) for lang in ("aa", "bb") for _ in range(20)])
+    texts = [languages(rng, "aa", 400), languages(rng, "bb", 30), None, "", languages(rng, "bb", 300)]
+    small, preds = language_id.Labeller(model), []
+    for _, own in language_id.blocks(texts):
+        preds += [model.labels[p.mean(axis=0).argmax()] if len(p) else None for p in small.posteriors(own)]
+    assert preds == ["aa", "bb", None, None, "bb"]
+
+
 def test_forward_backward():
     rng = np.random.default_rng(2)
     e, t = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))
