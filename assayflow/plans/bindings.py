@@ -95,8 +95,11 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def job_events(spark: SparkSession, d: str) -> DataFrame:
+    return job_events_of(table(spark, d, "events"))
+
+
+def job_events_of(e: DataFrame) -> DataFrame:
     """Events as changes of a user's job."""
-    e = table(spark, d, "events")
     stage = F.element_at(F.array(*[F.lit(s) for s in ("extracting_text", "parsing", "finalizing", "done")]), (F.col("event_id") % 4 + 1).cast("int"))
     status = F.when(F.col("event_id") % 4 == 3, "completed").otherwise("processing")
     return e.select(F.col("user_id").alias("job_id"), "ts", status.alias("status"), stage.alias("stage"), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("error "), F.col("event_id").cast("string"))).alias("error"))

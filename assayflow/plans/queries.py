@@ -791,6 +791,20 @@ def job_state(spark: SparkSession, d: str) -> DataFrame:
     return stateful.job_state(b.job_events(spark, d))
 
 
+@query("SELECT DISTINCT user_id AS job_id FROM events")
+def process_once_stream(spark: SparkSession, d: str) -> DataFrame:
+    events = streamed(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return spark.read.parquet(stateful.run_to_table(stateful.process_once(events, "ts", "60 days"), "once")).select("job_id")
+
+
+@query(f"SELECT job_id, status, stage, {_PROGRESS.format(c='stage')} AS progress, updated_at FROM ({_LAST})")
+def job_state_stream(spark: SparkSession, d: str) -> DataFrame:
+    """All there is now comes as one batch or more; the last state of each job is the answer."""
+    out = spark.read.parquet(stateful.run_to_table(stateful.job_state(b.job_events_of(streamed(spark, d, "events"))), "job-state", "update"))
+    state = ("status", "stage", "progress", "updated_at")
+    return out.groupBy("job_id").agg(F.max_by(F.struct(*state), "updated_at").alias("s")).select("job_id", *[f"s.{c}" for c in state])
+
+
 _END = "2024-01-28 00:00:00"
 
 

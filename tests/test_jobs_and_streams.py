@@ -94,6 +94,35 @@ def test_stuck_and_cached(spark, tmp_path):
     assert [(r["job_id"], r["doc"]) for r in stateful.latest_cached(c, "2024-01-01 00:30:00").collect()] == [(1, "new")]
 
 
+def test_latest_cached_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    c = [(1, "old", "2024-01-01 00:00:00", 3600), (1, "new", "2024-01-01 00:10:00", 3600), (2, "short", "2024-01-01 00:00:00", 60), (1, "older", "2024-01-01 00:05:00", 3600), (3, "late", "2024-01-01 00:40:00", 3600), (3, "later", "2024-01-01 00:50:00", 3600)]
+    rows = [(j, d, at(t), ttl) for j, d, t, ttl in c]
+    schema = "job_id long, doc string, written_at timestamp, ttl_sec int"
+    stream = write_batches(spark, tmp_path, [rows[:1], rows[1:3], rows[3:5], rows[5:]], schema)
+    path = stateful.run_to_table(stateful.latest_cached_stream(stream, "10 minutes"), "cached-test")
+    out = spark.read.parquet(path).collect()
+    live = {}
+    for r in sorted(out, key=lambda r: (r["written_at"], not r["live"])):
+        live[r["job_id"]] = r["doc"] if r["live"] else None
+    assert live == {1: "new", 2: None, 3: "later"}
+    batch = stateful.latest_cached(spark.createDataFrame(rows, schema), "2024-01-01 00:50:00")
+    assert {r["job_id"]: r["doc"] for r in batch.collect()} == {1: "new", 3: "later"}
+
+
+def test_job_state_stream(spark, tmp_path):
+    e = [(1, "2024-01-01 00:00:00", "processing", "parsing", None), (2, "2024-01-01 00:00:00", "queued", "uploading", "x"), (1, "2024-01-01 00:05:00", "completed", "done", None), (2, "2024-01-01 00:06:00", "failed", "failed", None)]
+    rows = [(j, at(t), s, g, x) for j, t, s, g, x in e]
+    schema = "job_id long, ts timestamp, status string, stage string, error string"
+    stream = write_batches(spark, tmp_path, [rows[:2], rows[2:]], schema)
+    path = stateful.run_to_table(stateful.job_state(stream), "state-test", "update")
+    last = {}
+    for r in sorted(spark.read.parquet(path).collect(), key=lambda r: r["updated_at"]):
+        last[r["job_id"]] = (r["status"], r["progress"], r["error"])
+    assert last == {1: ("completed", 100, None), 2: ("failed", 100, "x")}
+    assert {r["job_id"]: (r["status"], r["progress"], r["error"]) for r in stateful.job_state(spark.createDataFrame(rows, schema)).collect()} == last
+
+
 def test_once(spark):
     rows = spark.createDataFrame([(1, at("2024-01-01 00:00:01")), (1, at("2024-01-01 00:00:00")), (2, at("2024-01-01 00:00:00"))], "job_id long, ts timestamp")
     assert sorted((r["job_id"], r["ts"].second) for r in stateful.process_once(rows, "ts").collect()) == [(1, 0), (2, 0)]
