@@ -32,27 +32,28 @@ def band_starts(largest: int = 1 << 40) -> list[int]:
 _STARTS = band_starts()
 
 
-def signatures(elements: np.ndarray) -> np.ndarray:
-    """PartEnum signatures of a set of 64-bit hashes.
+def signatures(elements: np.ndarray) -> tuple[np.ndarray, int, list[int]]:
+    """PartEnum signatures of a set of 64-bit hashes: (signatures, band's parity, spare signatures by band).
 
-    Sets of at least 80 per cent Jaccard similarity differ in a quarter of either one's elements at most. A band of
-    sizes has a partition of the domain into first-level parts, each of PARTS second-level parts; the
+    Sets of at least 80 per cent Jaccard similarity differ in a quarter of either one's elements at most. A
+    band of sizes has a partition of the domain into first-level parts, each of PARTS second-level parts; the
     signatures are the subsets that leave out OUT of the PARTS, each hashed with what the set has in it.
-    A set signs in its own band, and in the next one if a partner may be there. Where the differing elements
-    cannot touch every subset with HEAVY elements or more, an untouched one is shared by both sets. A set with
-    too few of these (small ones) also signs lighter subsets, then single elements, under marks of their own:
-    a partner that doesn't is safe by its own count, so no link is lost.
+    A set signs in its own band, and in the next one if a partner may be there; the lowest bit of a signature
+    is its band's parity. Subsets with HEAVY elements or more are signed. The differing elements spoil one
+    subset each at most, so partners share all but `differ` of them: as many as exceed that, less one, are
+    spare. A set with too few heavy subsets (small ones) also signs lighter ones, then single elements, under
+    marks of their own: a partner that doesn't is safe by its own count, so no link is lost.
     """
     s = len(elements)
     if not s:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), 0, [0, 0]
     differ = s * (100 - SIMILARITY) // SIMILARITY
     own = int(np.searchsorted(_STARTS, s, "right")) - 1
     bands = [own] + [own + 1] * (s * 100 // SIMILARITY >= _STARTS[own + 1])
-    out = []
+    out, spare = [], [0, 0]
     content = mix(elements ^ U(0x5851F42D4C957F2D))
     with np.errstate(over="ignore"):
-        for j in bands:
+        for k, j in enumerate(bands):
             first = max(1, round((_STARTS[j + 1] - 1) / MEAN_PART / PARTS)) if _STARTS[j + 1] > 4 else 1
             cells = first * PARTS if first > 1 else max(1, _STARTS[j + 1] - 1)
             salt = mix(np.array([j + 1], np.uint64))[0]
@@ -65,12 +66,14 @@ def signatures(elements: np.ndarray) -> np.ndarray:
             signs = mix(mix(sums) + ordered[starts].astype(np.uint64) * U(0xC2B2AE3D27D4EB4F) + salt)
             # With PARTS - OUT = 1 a subset is one part, and one differing element spoils one subset.
             heavy = counts >= HEAVY
-            out.append(signs[heavy])
+            own_signs = [signs[heavy]]
+            spare[k] = max(0, int(heavy.sum()) - differ - 1)
             if heavy.sum() <= differ:
-                out.append(mix(signs[~heavy] + U(1)))
+                own_signs.append(mix(signs[~heavy] + U(1)))
                 if len(starts) <= differ:
-                    out.append(mix(elements + salt + U(2)))
-    return np.concatenate(out)
+                    own_signs.append(mix(elements + salt + U(2)))
+            out += [x & ~U(1) | U(j & 1) for x in own_signs]
+    return np.concatenate(out), own & 1, spare
 
 
 def set_keys(elements: np.ndarray) -> tuple[int, int]:
@@ -83,7 +86,7 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 def keyed_sets(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, k1, k2, signs."""
+    """docs(doc_id, text) -> doc_id, n_shingles, k1, k2, parity, spare_own, spare_next, signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -91,13 +94,12 @@ def keyed_sets(docs: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 512)
                 sets = list(shingle_sets(raw_texts(batch, "text"), WORDS))
                 keys = [set_keys(s) for s in sets]
-                signs = pa.array([signatures(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), signs],
-                    names=["doc_id", "n_shingles", "k1", "k2", "signs"],
-                )
+                signed = [signatures(s) for s in sets]
+                longs = [[len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [x[1] for x in signed], [x[2][0] for x in signed], [x[2][1] for x in signed]]
+                signs = pa.array([x[0].view(np.int64) for x in signed], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, pa.int64()) for v in longs], signs], names=["doc_id", "n_shingles", "k1", "k2", "parity", "spare_own", "spare_next", "signs"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, signs array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, parity long, spare_own long, spare_next long, signs array<long>")
 
 
 def element_sets(docs: DataFrame) -> DataFrame:
@@ -165,7 +167,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     signed = sets.where(F.col("doc_id").isNotNull()).join(small(others, 1_000_000), ["doc_id", "k1", "k2"], "left_anti")
     signs = signed.select("doc_id", F.explode("signs").alias("sign"))
     bucket = Window.partitionBy("sign")
-    shared = signs.withColumn("pivot", F.min("doc_id").over(bucket)).withColumn("last", F.max("doc_id").over(bucket)).where(F.col("pivot") < F.col("last"))
+    met = signs.withColumns({"pivot": F.min("doc_id").over(bucket), "last": F.max("doc_id").over(bucket), "n": F.count("doc_id").over(bucket)}).where(F.col("pivot") < F.col("last")).select("sign", "doc_id", "n")
+    # Of the signatures that a set has to spare, it drops those that most sets have. All sets drop in one order,
+    # so of those that two partners share at least the rarest stays with both.
+    spares = signed.select("doc_id", "parity", "spare_own", "spare_next").distinct()
+    own_band = F.col("sign").bitwiseAND(F.lit(1)) == F.col("parity")
+    ranked = met.join(spares, "doc_id").withColumn("own", own_band)
+    place = F.row_number().over(Window.partitionBy("doc_id", "own").orderBy(F.desc("n"), "sign"))
+    kept = ranked.withColumn("place", place).where(F.col("place") > F.when(F.col("own"), F.col("spare_own")).otherwise(F.col("spare_next"))).select("sign", "doc_id")
+    shared = kept.withColumns({"pivot": F.min("doc_id").over(bucket), "last": F.max("doc_id").over(bucket)}).where(F.col("pivot") < F.col("last"))
     active = stored(shared.select("sign", "doc_id", "pivot"), "jaccard-active")
     involved = stored(active.select("doc_id").distinct().join(reps.select("doc_id", "k1", "k2"), "doc_id"), "jaccard-involved")
     own = small(involved, 500_000)
