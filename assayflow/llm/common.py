@@ -46,7 +46,3 @@ def words_count(text: Column) -> Column:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def plain_id(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
-    """Only the named columns, so that further or clashing columns of the input never reach a join."""
-    return df.select(id_col, *cols)

@@ -27,8 +27,7 @@ ROWS, DELAY = 64, 4
 CLEAR, END, FIRST = 256, 257, 258
 LIMIT = 4096
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-#: Bits of the n-th code after a clear code, when codes of 8-bit samples are read.
-_WIDTH = {8: np.minimum(12, np.maximum(9, np.ceil(np.log2(np.arange(LIMIT) + FIRST))).astype(np.int64))}
+_WIDTH: dict[int, np.ndarray] = {}
 
 
 class Frame(NamedTuple):
@@ -46,9 +45,6 @@ def widths(size: int, n: int) -> np.ndarray:
     return w[:n] if n <= LIMIT else np.concatenate([w, np.full(n - LIMIT, 12)])
 
 
-del _WIDTH[8]  # made by widths() as every other size
-
-
 def lzw_codes(data: bytes) -> list[list[int]]:
     """The codes of 8-bit samples, in runs that each follow a clear code."""
     runs, run, table, free = [], [], {}, FIRST
