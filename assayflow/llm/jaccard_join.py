@@ -18,8 +18,10 @@ WORDS, SIMILARITY = 5, 80
 RATIO, MEAN_PART = 1.6, 2.6
 #: Second-level parts of each first-level part, and how many of them a signature leaves out.
 PARTS, OUT = 2, 1
-#: Elements that a signature has to cover, as a rule.
-HEAVY = 2
+#: Elements that a subset has to cover to be signed, as a rule: one in bands of small sets, which have fewer to choose from.
+SMALL_BAND, HEAVY_SMALL, HEAVY = 256, 1, 2
+#: Low bits of a signature: the band's parity, then its kind - heavy subset, any subset, element.
+KINDS, MARK_BITS = 3, 3
 
 
 def band_starts(largest: int = 1 << 40) -> list[int]:
@@ -33,29 +35,32 @@ _STARTS = band_starts()
 
 
 def signatures(elements: np.ndarray) -> tuple[np.ndarray, int, list[int]]:
-    """PartEnum signatures of a set of 64-bit hashes: (signatures, band's parity, spare signatures by band).
+    """PartEnum signatures of a set of 64-bit hashes: (signatures, band's parity, how many of each kind are spare).
 
     Sets of at least 80 per cent Jaccard similarity differ in a quarter of either one's elements at most. A
     band of sizes has a partition of the domain into first-level parts, each of PARTS second-level parts; the
     signatures are the subsets that leave out OUT of the PARTS, each hashed with what the set has in it.
-    A set signs in its own band, and in the next one if a partner may be there; the lowest bit of a signature
-    is its band's parity. Subsets with HEAVY elements or more are signed. The differing elements spoil one
-    subset each at most, so partners share all but `differ` of them: as many as exceed that, less one, are
-    spare. A set with too few heavy subsets (small ones) also signs lighter ones, then single elements, under
-    marks of their own: a partner that doesn't is safe by its own count, so no link is lost.
+    A set signs in its own band, and in the next one if a partner may be there.
+
+    Heavy subsets are signed by all. The differing elements spoil one subset each, so a set shares all but
+    `differ` of its heavy subsets with a partner; what exceeds that, less one, is spare. A set with no more
+    than `differ` heavy subsets can count on none and also signs all its subsets, and if these are too few its
+    elements, of which partners share four fifths. A partner that doesn't is safe by its own count, so no link
+    is lost. Spare counts are by band (own, next), then kind.
     """
     s = len(elements)
     if not s:
-        return np.empty(0, np.uint64), 0, [0, 0]
+        return np.empty(0, np.uint64), 0, [0] * (2 * KINDS)
     differ = s * (100 - SIMILARITY) // SIMILARITY
     own = int(np.searchsorted(_STARTS, s, "right")) - 1
     bands = [own] + [own + 1] * (s * 100 // SIMILARITY >= _STARTS[own + 1])
-    out, spare = [], [0, 0]
+    out, spare = [], [0] * (2 * KINDS)
     content = mix(elements ^ U(0x5851F42D4C957F2D))
     with np.errstate(over="ignore"):
         for k, j in enumerate(bands):
-            first = max(1, round((_STARTS[j + 1] - 1) / MEAN_PART / PARTS)) if _STARTS[j + 1] > 4 else 1
-            cells = first * PARTS if first > 1 else max(1, _STARTS[j + 1] - 1)
+            largest = _STARTS[j + 1] - 1
+            first = max(1, round(largest / MEAN_PART / PARTS)) if largest > 3 else 1
+            cells = first * PARTS if first > 1 else max(1, largest)
             salt = mix(np.array([j + 1], np.uint64))[0]
             cell = (mix(elements + salt) % U(cells)).astype(np.int64)
             order = np.argsort(cell, kind="stable")
@@ -63,16 +68,18 @@ def signatures(elements: np.ndarray) -> tuple[np.ndarray, int, list[int]]:
             starts = np.flatnonzero(np.diff(ordered, prepend=-1))
             sums = np.add.reduceat(content[order], starts)
             counts = np.diff(np.append(starts, s))
-            signs = mix(mix(sums) + ordered[starts].astype(np.uint64) * U(0xC2B2AE3D27D4EB4F) + salt)
             # With PARTS - OUT = 1 a subset is one part, and one differing element spoils one subset.
-            heavy = counts >= HEAVY
-            own_signs = [signs[heavy]]
-            spare[k] = max(0, int(heavy.sum()) - differ - 1)
-            if heavy.sum() <= differ:
-                own_signs.append(mix(signs[~heavy] + U(1)))
-                if len(starts) <= differ:
-                    own_signs.append(mix(elements + salt + U(2)))
-            out += [x & ~U(1) | U(j & 1) for x in own_signs]
+            subsets = mix(mix(sums) + ordered[starts].astype(np.uint64) * U(0xC2B2AE3D27D4EB4F) + salt)
+            heavy = counts >= (HEAVY_SMALL if largest <= SMALL_BAND else HEAVY)
+            kinds = [subsets[heavy]]
+            if len(kinds[0]) <= differ:
+                kinds.append(subsets)
+                if len(subsets) <= differ:
+                    kinds.append(mix(elements + salt))
+            shared = [len(kinds[0]) - differ, len(subsets) - differ, -(-s * SIMILARITY // 100)]
+            for kind, own_signs in enumerate(kinds):
+                spare[k * KINDS + kind] = max(0, shared[kind] - 1)
+                out.append(own_signs >> U(MARK_BITS) << U(MARK_BITS) | U(kind << 1 | j & 1))
     return np.concatenate(out), own & 1, spare
 
 
@@ -86,7 +93,7 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 def keyed_sets(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, k1, k2, parity, spare_own, spare_next, signs."""
+    """docs(doc_id, text) -> doc_id, n_shingles, k1, k2, parity, spare, signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -95,11 +102,12 @@ def keyed_sets(docs: DataFrame) -> DataFrame:
                 sets = list(shingle_sets(raw_texts(batch, "text"), WORDS))
                 keys = [set_keys(s) for s in sets]
                 signed = [signatures(s) for s in sets]
-                longs = [[len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [x[1] for x in signed], [x[2][0] for x in signed], [x[2][1] for x in signed]]
+                longs = [[len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [x[1] for x in signed]]
+                spare = pa.array([x[2] for x in signed], pa.list_(pa.int64()))
                 signs = pa.array([x[0].view(np.int64) for x in signed], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, pa.int64()) for v in longs], signs], names=["doc_id", "n_shingles", "k1", "k2", "parity", "spare_own", "spare_next", "signs"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, pa.int64()) for v in longs], spare, signs], names=["doc_id", "n_shingles", "k1", "k2", "parity", "spare", "signs"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, parity long, spare_own long, spare_next long, signs array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, parity long, spare array<long>, signs array<long>")
 
 
 def element_sets(docs: DataFrame) -> DataFrame:
@@ -170,11 +178,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     met = signs.withColumns({"pivot": F.min("doc_id").over(bucket), "last": F.max("doc_id").over(bucket), "n": F.count("doc_id").over(bucket)}).where(F.col("pivot") < F.col("last")).select("sign", "doc_id", "n")
     # Of the signatures that a set has to spare, it drops those that most sets have. All sets drop in one order,
     # so of those that two partners share at least the rarest stays with both.
-    spares = signed.select("doc_id", "parity", "spare_own", "spare_next").distinct()
-    own_band = F.col("sign").bitwiseAND(F.lit(1)) == F.col("parity")
-    ranked = met.join(spares, "doc_id").withColumn("own", own_band)
-    place = F.row_number().over(Window.partitionBy("doc_id", "own").orderBy(F.desc("n"), "sign"))
-    kept = ranked.withColumn("place", place).where(F.col("place") > F.when(F.col("own"), F.col("spare_own")).otherwise(F.col("spare_next"))).select("sign", "doc_id")
+    spares = signed.select("doc_id", "parity", "spare").distinct()
+    bit = lambda n: F.shiftright("sign", n).bitwiseAND(F.lit(1))
+    kind = F.when(bit(0) == F.col("parity"), 0).otherwise(KINDS) + bit(1) + 2 * bit(2)
+    ranked = met.join(spares, "doc_id").select("sign", "doc_id", "n", kind.cast("int").alias("kind"), F.get("spare", kind.cast("int")).alias("spare"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(F.desc("n"), "sign"))
+    kept = ranked.withColumn("place", place).where(F.col("place") > F.col("spare")).select("sign", "doc_id")
     shared = kept.withColumns({"pivot": F.min("doc_id").over(bucket), "last": F.max("doc_id").over(bucket)}).where(F.col("pivot") < F.col("last"))
     active = stored(shared.select("sign", "doc_id", "pivot"), "jaccard-active")
     involved = stored(active.select("doc_id").distinct().join(reps.select("doc_id", "k1", "k2"), "doc_id"), "jaccard-involved")

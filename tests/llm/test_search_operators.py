@@ -119,8 +119,10 @@ def test_signatures_lose_no_pair():
             kept = []
             for x in (a, b):  # the spare ones go in one order, here by value
                 signs, parity, spare = jaccard_join.signatures(x)
-                by_band = [sorted(v for v in signs.tolist() if (v & 1 == parity) == own) for own in (True, False)]
-                kept.append({v for vs, n_spare in zip(by_band, spare, strict=True) for v in vs[: len(vs) - n_spare]})
+                by_kind = defaultdict(list)
+                for v in sorted(signs.tolist()):
+                    by_kind[(0 if v & 1 == parity else 3) + (v >> 1 & 3)].append(v)
+                kept.append({v for kind, vs in by_kind.items() for v in vs[: len(vs) - spare[kind]]})
             assert kept[0] & kept[1], (trial, n)
 
 
