@@ -20,6 +20,8 @@ RATIO, MEAN_PART = 1.6, 2.6
 PARTS, OUT = 2, 1
 #: Elements that a subset has to cover to be signed, as a rule: one in bands of small sets, which have fewer to choose from.
 SMALL_BAND, HEAVY_SMALL, HEAVY = 256, 1, 2
+#: Turns in which each set is compared with pivots of its buckets, MEETS of them at most, before the rest is compared in full.
+STARS, MEETS = 2, 6
 #: Low bits of a signature: the band's parity, then its kind - heavy subset, any subset, element.
 KINDS, MARK_BITS = 3, 3
 
@@ -157,10 +159,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     """doc_id, n_shingles, component_id for every row of docs.
 
     component_id is the smallest id that links reach. Equal sets are one class first, and only its smallest
-    id goes on. Of the sets that share a signature, each is compared with the smallest id only; pairs already
-    in one component need no comparison, as they can add nothing; what is then left in buckets that hold
-    several components is compared in full. So thousands of near copies cost a star and not all pairs, and no
-    link between components is missed. Null or empty texts have no shingles and are their own component. Rows
+    id goes on. Of the sets that share a signature, each is compared with a smallest id, then, for STARS
+    turns, with a few other pivots; pairs already in one component need no comparison, as they can add nothing. What is
+    then left in buckets that hold several components is compared in full. So thousands of near copies cost
+    stars and not all pairs, and no link between components is missed. Null or empty texts have no shingles and are their own component. Rows
     without id have a null component; rows that repeat an id are one document, with one of their sets, and
     all get its component.
     """
@@ -195,27 +197,29 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
         found = linked(pairs, elements)
         return stored(found if links is None else links.unionByName(found), "jaccard-links")
 
-    def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components; an id that comp lacks is its own."""
-        for end in ("a", "b"):
-            pairs = pairs.join(comp.select(F.col("doc_id").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
-        return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    def apart(active: DataFrame, comp: DataFrame) -> DataFrame:
+        """sign, doc_id, component of the buckets that hold several components; an id that comp lacks is its own."""
+        labelled = active.select("sign", "doc_id").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        split = labelled.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi"))
+        return labelled.join(split.select("sign"), "sign", "left_semi")
 
-    stars = stored(active.where(F.col("doc_id") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "jaccard-stars")
-    first = stored(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
-    links = extended(None, first)
+    stars = active.where(F.col("doc_id") != F.col("pivot")).groupBy(F.col("doc_id").alias("b")).agg(F.min("pivot").alias("a"))
+    links = extended(None, stored(stars.select("a", "b"), "jaccard-stars"))
     comp = components(links)
-    second = stored(apart(stars, comp).join(first, ["a", "b"], "left_anti"), "jaccard-second")
-    links = extended(links, second)
-    comp = components(links)
-    # Buckets that still hold more than one component: their members of different components meet.
-    labelled = active.select("sign", "doc_id").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = labelled.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("sign")
-    split = stored(split, "jaccard-split")
-    rest = stored(labelled.join(split, "sign"), "jaccard-rest")
-    x, y = rest.select("sign", F.col("doc_id").alias("a"), F.col("component").alias("c_a")), rest.select("sign", F.col("doc_id").alias("b"), F.col("component").alias("c_b"))
-    third = x.join(y, "sign").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))).select("a", "b").distinct()
-    third = stored(third.join(stars, ["a", "b"], "left_anti"), "jaccard-third")
-    comp = components(extended(links, third))
+    for turn in range(STARS):
+        # In buckets that still hold several components, each set that is apart from the bucket's pivot of this turn meets it.
+        rest = apart(active, comp)
+        order = F.xxhash64("sign", "doc_id", F.lit(turn))
+        pivots = rest.groupBy("sign").agg(F.min(F.struct(order.alias("at"), "doc_id", "component")).alias("pivot"))
+        away = rest.join(pivots, "sign").where(F.col("component") != F.col("pivot.component")).select("doc_id", F.col("pivot.doc_id").alias("pivot")).distinct()
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("pivot", F.lit(turn))))
+        away = away.withColumn("place", place).where(F.col("place") <= MEETS)
+        pairs = stored(away.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "jaccard-stars")
+        links = extended(links, pairs)
+        comp = components(links)
+    rest = stored(apart(active, comp), "jaccard-rest")
+    x, y = (rest.select("sign", F.col("doc_id").alias(d), F.col("component").alias(f"c_{d}")) for d in ("a", "b"))
+    last = x.join(y, "sign").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))).select("a", "b").distinct()
+    comp = components(extended(links, stored(last, "jaccard-last")))
     named = members.join(comp.select(F.col("doc_id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     return sets.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
