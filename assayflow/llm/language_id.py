@@ -22,7 +22,7 @@ DOCS_A_LANGUAGE, WORDS_A_DOCUMENT = 800, 192
 #: Words of a chain; buckets of hashed features; least count of a word in the lexicon; passes over the sample.
 CHAIN, BUCKETS, LEXICON_LEAST, EPOCHS = 64, 1 << 16, 3, 3
 #: Words a worker remembers and words it labels at a time.
-MEMO, BLOCK = 200_000, 200_000
+MEMO, BLOCK = 600_000, 200_000
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -180,6 +180,18 @@ class Labeller:
         return np.split(post, np.cumsum(lengths)[:-1])
 
 
+_labellers: dict[int, Labeller] = {}
+
+
+def kept_labeller(model: Model) -> Labeller:
+    """The labeller of a model, which lives as long as the worker process and serves all its tasks."""
+    own = _labellers.get(id(model))
+    if own is None or own.model is not model:
+        _labellers.clear()
+        own = _labellers[id(model)] = Labeller(model)
+    return own
+
+
 def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
     """The texts' lower-case words, in blocks of about BLOCK words; one longer text is one block."""
     start, own, n = 0, [], 0
@@ -233,7 +245,7 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        own, fields = Labeller(shared.value), to_arrow_schema(schema)
+        own, fields = kept_labeller(shared.value), to_arrow_schema(schema)
         labels = np.array(own.model.labels, object)
         for batch in batches:
             for start, texts in blocks(batch.column(text).to_pylist()):
