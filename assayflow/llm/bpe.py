@@ -18,8 +18,8 @@ from assayflow.llm.pieces import BYTE_LEVEL, Memory, kept_memory, splitter
 
 #: Pieces of this many bytes or more are merged through a queue of pairs, in n log n steps.
 LONG = 48
-#: Texts encoded at a time.
-TEXTS = 64
+#: Texts encoded at a time, and encoded pieces that a worker remembers in a generation (about 200 bytes each).
+TEXTS, PIECES = 64, 250_000
 _ranks: dict[str, dict[bytes, int]] = {}
 
 
@@ -112,7 +112,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = BYTE_LEVEL, text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, split = load_ranks(ranks_path), splitter(pattern)
-        memory = kept_memory(("ranks", ranks_path), lambda new: [np.array(fold(p.encode(), ranks), "<i4").tobytes() for p in new])
+        memory = kept_memory(("ranks", ranks_path), lambda new: [np.array(fold(p.encode(), ranks), "<i4").tobytes() for p in new], PIECES)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(at, TEXTS)

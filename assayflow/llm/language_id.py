@@ -22,7 +22,7 @@ DOCS_A_LANGUAGE, WORDS_A_DOCUMENT = 800, 192
 #: Words of a chain; buckets of hashed features; least count of a word in the lexicon; passes over the sample.
 CHAIN, BUCKETS, LEXICON_LEAST, EPOCHS = 64, 1 << 16, 3, 3
 #: Words a worker remembers and words it labels at a time.
-MEMO, BLOCK = 600_000, 200_000
+MEMO, BLOCK = 250_000, 100_000
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 

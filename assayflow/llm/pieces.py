@@ -30,7 +30,7 @@ class Memory(dict):
     The bound limits memory only: a forgotten piece is encoded again, with the same result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], bound: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable], bound: int):
         super().__init__()
         self.encode, self.bound, self.old = encode, bound, {}
 
@@ -54,8 +54,9 @@ class Memory(dict):
 _kept: dict = {}
 
 
-def kept_memory(key: tuple, encode: Callable[[list[str]], Iterable]) -> Memory:
-    """The memory of this key, which lives as long as the worker process and serves all its tasks."""
+def kept_memory(key: tuple, encode: Callable[[list[str]], Iterable], bound: int) -> Memory:
+    """The memory of this key, which serves all tasks of a worker process; a worker keeps one, the last that it used."""
     if key not in _kept:
-        _kept[key] = Memory(encode)
+        _kept.clear()
+        _kept[key] = Memory(encode, bound)
     return _kept[key]

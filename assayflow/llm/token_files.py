@@ -25,6 +25,8 @@ from assayflow.llm.common import new_path, stored
 from assayflow.llm.pieces import BYTE_LEVEL, kept_memory, splitter
 
 MANIFEST = "shard long, name string, n_docs long, n_tokens long, width int"
+#: Encoded pieces that a worker remembers in a generation, about 200 bytes each: the library needs longer for a piece than a fold.
+PIECES = 800_000
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("null", "<i8")])
 _loaded: dict = {}
 
@@ -60,7 +62,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         end, split = np.array([end_id], kind).tobytes(), splitter(pattern)
         added = [t.content for t in tok.get_added_tokens_decoder().values()]
         library = lambda new: [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
-        memory = kept_memory(("tokenizer", tokenizer_path, kind.str), library)
+        memory = kept_memory(("tokenizer", tokenizer_path, kind.str), library, PIECES)
         ctx = TaskContext.get()
         name = f"part-{ctx.partitionId():06d}-{uuid.uuid4().hex}"
         fs, root = pafs.FileSystem.from_uri(folder)
