@@ -1,6 +1,7 @@
 """Language identification by a linear-chain conditional random field that labels words.
 
-Words are chained in stretches of whole texts; each word has affix, n-gram and lexicon features, and
+Words are chained in stretches of whole texts; a run of more than PIECE letters (text without spaces) is
+several chained words that together have all its letters. Each word has affix, n-gram and lexicon features, and
 learned transitions tie neighbours, so that a text that switches language is labelled piece by piece by
 forward-backward. A document's language is the label with the largest mean posterior over its words.
 """
@@ -17,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Training bounds: labelled documents a language, and words of one document (a stretch at a hashed place).
+#: Training bounds: labelled documents a language, and words and characters of one document (a stretch at a hashed place).
 DOCS_A_LANGUAGE, WORDS_A_DOCUMENT = 800, 192
+CHARS_A_DOCUMENT = 40 * WORDS_A_DOCUMENT
+#: Letters of a word at most; what stands at the end of one that goes on in the next, and at the start of that.
+PIECE, SEAM = 24, "-"
 #: Words of a chain; buckets of hashed features; least count of a word in the lexicon; passes over the sample.
 CHAIN, BUCKETS, LEXICON_LEAST, EPOCHS = 64, 1 << 16, 3, 3
 #: Words a worker remembers and words it labels at a time.
@@ -34,13 +38,37 @@ class Model(NamedTuple):
     lexicon: frozenset
 
 
+def cut_runs(runs: list[str]) -> list[str]:
+    """Runs of letters as words: a longer run than PIECE is cut into even pieces, each after the first with the two letters before it."""
+    if not runs or max(map(len, runs)) <= PIECE:
+        return runs
+    out = []
+    for run in runs:
+        n = -(-len(run) // PIECE)
+        at = [len(run) * i // n for i in range(n + 1)]
+        for i in range(n):
+            out.append((SEAM if i else "") + run[max(0, at[i] - 2) : at[i + 1]] + (SEAM if i + 1 < n else ""))
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    return cut_runs(WORD.findall(text.lower()))
+
+
 def features(word: str, lexicon: frozenset) -> list[int]:
-    """Hashed features of a word: prefixes, suffixes, n-grams of 2 and 3 with word ends, and the word if the lexicon has it."""
-    w = f"^{word[:24]}$"
+    """Hashed features of a word: prefixes, suffixes, n-grams of 2 and 3 with word ends, and the word if the lexicon has it.
+
+    A piece has prefixes only at its run's start and suffixes only at its run's end; its n-grams go over the seam before it.
+    """
+    first, last = word[0] != SEAM, word[-1] != SEAM
+    w = word if first and last else word.strip(SEAM)
+    w = ("^" if first else "") + w + ("$" if last else "")
     own = {"b"}
     for k in (2, 3, 4):
-        own.add("p" + w[:k])
-        own.add("s" + w[-k:])
+        if first:
+            own.add("p" + w[:k])
+        if last:
+            own.add("s" + w[-k:])
     for k in (2, 3):
         own.update(w[i : i + k] for i in range(len(w) - k + 1))
     if word in lexicon:
@@ -196,7 +224,7 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
     """The texts' lower-case words, in blocks of about BLOCK words; one longer text is one block."""
     start, own, n = 0, [], 0
     for k, text in enumerate(texts):
-        own.append(WORD.findall((text or "").lower()))
+        own.append(words_of(text or ""))
         n += len(own[-1])
         if n >= BLOCK or k == len(texts) - 1:
             yield start, own
@@ -211,7 +239,8 @@ def held_out(id_col: Column) -> Column:
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, list[str]]]:
     """At most about DOCS_A_LANGUAGE documents a language, by hash of the text, and WORDS_A_DOCUMENT words of each.
 
-    The stretch of a long text starts at a hashed place. Rows without id, text or language teach nothing.
+    The stretch of a long text starts at a hashed place: first one of CHARS_A_DOCUMENT characters, which may cut
+    the words at its ends, then one of words in it. Rows without id, text or language teach nothing.
     """
     usable = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -221,10 +250,12 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     share = F.lit(0)
     for name, n in sorted(counts.items()):
         share = F.when(F.col(lang) == name, int(min(1.0, DOCS_A_LANGUAGE / n) * (1 << 30))).otherwise(share)
-    words = F.split(F.col(text), r"\s+")
+    spare = F.greatest(F.length(text) - CHARS_A_DOCUMENT, F.lit(0))
+    place = F.pmod(F.xxhash64(F.lit("place"), F.col(text)), spare + 1).cast("int") + 1
+    words = F.split(F.substring(F.col(text), place, F.lit(CHARS_A_DOCUMENT)), r"\s+")
     start = F.pmod(F.xxhash64(F.lit("start"), F.col(text)), F.greatest(F.size(words) - WORDS_A_DOCUMENT, F.lit(1))).cast("int") + 1
     rows = usable.where(h < share).select(F.col(lang).alias("lang"), F.array_join(F.slice(words, start, F.lit(WORDS_A_DOCUMENT)), " ").alias("t"))
-    found = [(r["lang"], WORD.findall(r["t"][: 40 * WORDS_A_DOCUMENT].lower())) for r in rows.collect()]
+    found = [(r["lang"], words_of(r["t"])) for r in rows.collect()]
     return sorted(x for x in found if x[1])
 
 
@@ -233,7 +264,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
 
 def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score (the label's mean posterior) and spans, the runs of words of one language.
+    """Adds lang_pred, score (the label's mean posterior) and spans, the runs of words (pieces of long runs count) of one language.
 
     `und` with score 0 if the text is null or has no letters, or if nothing was learned. Of equal languages
     the first by code point. Columns of those names are replaced.

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -177,6 +178,40 @@ def test_chat(spark):
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_language_id_reads_whole_runs(spark):
+    rng = random.Random(6)
+    model = language_id.fit([(lang, languages(rng, lang, 50).split()) for lang in ("aa", "bb") for _ in range(20)])
+    runs = {x: languages(rng, x, 400).replace(" ", "") for x in ("aa", "bb")}
+    texts = [runs["aa"][:24] + runs["bb"], runs["bb"][:24] + runs["aa"], runs["aa"][:600] + runs["bb"][:600]]
+    got = {r["doc_id"]: r for r in language_id.detect(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), model).collect()}
+    assert [got[i]["lang_pred"] for i in (0, 1)] == ["bb", "aa"] and [s["lang"] for s in got[2]["spans"]] == ["aa", "bb"]
+    for n in (1, 23, 24, 25, 48, 49, 1000, 12345):
+        run = "".join(rng.choice("abcdefgh") for _ in range(n))
+        own = language_id.words_of(run)
+        bare = [w.strip("-") for w in own]
+        assert bare[0] + "".join(w[2:] for w in bare[1:]) == run and all(len(w) <= 26 for w in bare)
+        every, seen = {zlib.crc32(f.encode()) % language_id.BUCKETS for k in (2, 3) for f in (f"^{run}$"[i : i + k] for i in range(n + 3 - k))}, set()
+        for w in own:
+            seen.update(language_id.features(w, frozenset()))
+        assert every | {zlib.crc32(f"s{run}$"[-5:].encode() if n < 3 else f"s{run[-3:]}$".encode()) % language_id.BUCKETS} <= seen
+    assert language_id.features("word", frozenset()) == sorted_features("word")
+
+
+def sorted_features(word):
+    w, own = f"^{word}$", {"b"}
+    own |= {x for k in (2, 3, 4) for x in ("p" + w[:k], "s" + w[-k:])} | {w[i : i + k] for k in (2, 3) for i in range(len(w) - k + 1)}
+    return [zlib.crc32(f.encode()) % language_id.BUCKETS for f in sorted(own)]
+
+
+def test_training_stretch_of_unspaced_text(spark):
+    texts = [f"{chr(0x4E00 + i)}" * 20_000 + f"{chr(0x5E00 + i)}" * 20_000 for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    sample = language_id.training_sample(docs)
+    letters = [{c for w in words for c in w if c != "-"} for _, words in sample]
+    assert any(min(x) >= chr(0x5E00) for x in letters) and any(max(x) < chr(0x5E00) for x in letters)
+    assert all(sum(map(len, words)) <= 1.3 * language_id.CHARS_A_DOCUMENT for _, words in sample)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for trial in range(150):
