@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import small, stored
-from assayflow.llm.hashing import BLOCK, byte_sums, span_hashes
-from assayflow.llm.suffix_array import group_firsts
+from assayflow.llm.hashing import BLOCK, byte_sums, mix, span_hashes
+from assayflow.llm.suffix_array import Spans, group_firsts
 
-#: Bytes of a repeated string; bytes of the gram that anchors it; bytes of text in a shard's suffix array, about.
+#: Bytes of a repeated string; bytes of the gram that anchors it; bytes of text in a shard's suffix array, about (twice that at most).
 LENGTH, GRAM, SHARD = 100, 24, 1 << 20
 _POSITION_BITS = 26
 
@@ -98,26 +98,26 @@ def segments(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SEGMENT)
 
 
-def cut_texts(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, h, text, wanted) -> the wanted segments with their bytes."""
+def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for k in range(0, whole.num_rows, 256):
+            batch = whole.slice(k, 256)
+            out: dict[str, list] = {"anchor": [], "doc_id": [], "h": [], "lo": [], "n": [], "bytes": []}
+            for doc, h, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "wanted")), strict=True):
+                raw = text.encode()
+                for w in wanted:
+                    for name, value in (("anchor", w["anchor"]), ("doc_id", doc), ("h", h), ("lo", w["lo"]), ("n", w["n"]), ("bytes", raw[w["lo"] : w["lo"] + w["n"] + LENGTH - 1])):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                out: dict[str, list] = {"anchor": [], "doc_id": [], "h": [], "lo": [], "n": [], "bytes": []}
-                for doc, h, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "wanted")), strict=True):
-                    raw = text.encode()
-                    for w in wanted:
-                        for name, value in (("anchor", w["anchor"]), ("doc_id", doc), ("h", h), ("lo", w["lo"]), ("n", w["n"]), ("bytes", raw[w["lo"] : w["lo"] + w["n"] + LENGTH - 1])):
-                            out[name].append(value)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())]))
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, h long, lo int, n int, bytes binary")
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, h, text, wanted) -> the wanted segments with their bytes."""
+    return docs.mapInArrow(cut_batches, "anchor long, doc_id long, h long, lo int, n int, bytes binary")
 
 
 def sorted_shards(cut: DataFrame) -> DataFrame:
-    """Ranges of starts of strings that also start earlier, from suffix arrays of shards that hold whole anchors."""
+    """Ranges of starts of strings that also start earlier, from suffix arrays of shards that hold whole anchors, of SHARD bytes at most each."""
 
     def shard(own: list[tuple]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(x[5] for x in own), np.uint8)
@@ -161,23 +161,62 @@ def sorted_shards(cut: DataFrame) -> DataFrame:
     return cut.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, h long, lo int, n int")
 
 
+def repeated_starts(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, h, text, wanted) -> starts of strings that also start earlier, of anchors with too many differing segments for one shard.
+
+    Each string of LENGTH bytes is a row by itself, with two 64-bit hashes of its bytes: equal strings meet, in a
+    window of Spark's, which spills, and no Python task holds them. Texts are cut in the same Python worker.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in cut_batches(batches):
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                texts = batch.column("bytes").to_pylist()
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                n = batch.column("n").to_numpy()
+                size = np.array([len(x) for x in texts])
+                spread = np.repeat(np.arange(len(n)), n)
+                inner = np.arange(len(spread)) - np.repeat(np.cumsum(n) - n, n)
+                at = (np.cumsum(size) - size)[spread] + inner
+                h1 = span_hashes(byte_sums(data), at, at + LENGTH)
+                h2 = mix(Spans(data.astype(np.int64) + 1).of(at, at + LENGTH))
+                own = [pa.array(batch.column(c).to_numpy()[spread]) for c in ("anchor", "doc_id", "h")]
+                lo = pa.array((batch.column("lo").to_numpy()[spread] + inner).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), own[1], own[2], lo], names=["anchor", "h1", "h2", "doc_id", "h", "lo"])
+
+    starts = docs.mapInArrow(run, "anchor long, h1 long, h2 long, doc_id long, h long, lo int")
+    place, same = F.struct("doc_id", "h", "lo"), Window.partitionBy("anchor", "h1", "h2")
+    late = starts.withColumn("first", F.min(place).over(same)).where(place != F.col("first"))
+    return late.select("doc_id", "h", "lo", F.lit(1).alias("n"))
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """docs(doc_id, h, text) -> doc_id, h, lo, n: starts of LENGTH-byte strings that also start earlier.
 
     Segments equal in all bytes are one class: all but the earliest repeat it whole. Only the earliest
     of each class goes on, and only where an anchor has several classes; there the suffix arrays find the
-    strings that differing segments share.
+    strings that differing segments share, or, where those of an anchor are more than SHARD bytes, hashes of
+    each string in a shuffle.
     """
     place = F.struct("doc_id", "h", "lo")
     anchor, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "segment")
     marked = segments(docs).withColumns({"first": F.min(place).over(same), "least": F.min("segment").over(anchor), "most": F.max("segment").over(anchor)})
     marked = marked.withColumn("repeats", place != F.col("first")).where(F.col("repeats") | (F.col("least") != F.col("most")))
-    marked = stored(marked.select("anchor", "doc_id", "h", "lo", "n", "repeats"), "suffix-marked")
-    wanted = marked.where(~F.col("repeats")).groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("wanted"))
-    wanted = stored(wanted, "suffix-wanted")
-    few = docs.join(small(wanted.select("doc_id", "h"), 300_000), ["doc_id", "h"], "left_semi")
-    cut = cut_texts(few.join(wanted, ["doc_id", "h"]))
-    found = sorted_shards(cut)
+    size = F.sum(F.when(~F.col("repeats"), F.col("n").cast("long") + LENGTH - 1)).over(anchor)
+    marked = marked.withColumn("hot", F.coalesce(size > SHARD, F.lit(False)))
+    marked = stored(marked.select("anchor", "doc_id", "h", "lo", "n", "repeats", "hot"), "suffix-marked")
+
+    def with_wanted(own: DataFrame) -> DataFrame:
+        wanted = own.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("wanted"))
+        wanted = stored(wanted, "suffix-wanted")
+        few = docs.join(small(wanted.select("doc_id", "h"), 300_000), ["doc_id", "h"], "left_semi")
+        return few.join(wanted, ["doc_id", "h"])
+
+    found = sorted_shards(cut_texts(with_wanted(marked.where(~F.col("repeats") & ~F.col("hot")))))
+    hot = marked.where(~F.col("repeats") & F.col("hot"))
+    if not hot.isEmpty():
+        found = found.unionByName(repeated_starts(with_wanted(hot)))
     return stored(found.unionByName(marked.where("repeats").select("doc_id", "h", "lo", "n")), "suffix-ranges")
 
 

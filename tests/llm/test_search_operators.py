@@ -257,6 +257,25 @@ def test_suffix_dedup(spark, odd_docs, no_docs):
     assert suffix_dedup.remove_repeats(odd_docs).count() == odd_docs.count() and suffix_dedup.remove_repeats(no_docs).count() == 0
 
 
+def test_hot_anchor_is_split(spark, monkeypatch):
+    rng, bound, firsts = random.Random(4), 6000, suffix_dedup.group_firsts
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line, tails = letters(60), [letters(45) for _ in range(3)]
+    rows = [(i, letters(rng.randrange(90, 200)) + line + (rng.choice(tails) if i % 3 == 0 else "") + letters(rng.randrange(90, 200))) for i in range(250)]
+    rows += [(1000, line * 5), (1001, rows[3][1][:150] + "é" * 60 + rows[3][1][150:])]
+
+    def bounded(data, position, length):
+        assert len(data) <= 2 * bound, f"a shard of {len(data)} bytes"
+        return firsts(data, position, length)
+
+    monkeypatch.setattr(suffix_dedup, "SHARD", bound)
+    monkeypatch.setattr(suffix_dedup, "group_firsts", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = restated_removal([(i, t.encode()) for i, t in rows])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert sum(w[1] > 0 for w in want.values()) > 50 and got == want
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 300)
     rng = random.Random(3)
