@@ -264,14 +264,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
 
 def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score (the label's mean posterior) and spans, the runs of words (pieces of long runs count) of one language.
+    """Adds lang_pred, score (the label's mean posterior), certainty (the mean of each word's largest posterior) and spans,
+    the runs of words (pieces of long runs count) of one language.
 
-    `und` with score 0 if the text is null or has no letters, or if nothing was learned. Of equal languages
+    A text of several languages has a low score and yet a high certainty. `und` with score and certainty 0 if the text is null or has no letters, or if nothing was learned. Of equal languages
     the first by code point. Columns of those names are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "spans")
+    docs = docs.drop("lang_pred", "score", "certainty", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels floats
-    schema = docs.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("lang_pred", "string"), ("score", "double"), ("spans", "array<struct<lang:string,first_word:int,words:int>>"))]).schema
+    schema = docs.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("lang_pred", "string"), ("score", "double"), ("certainty", "double"), ("spans", "array<struct<lang:string,first_word:int,words:int>>"))]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -280,11 +281,12 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         labels = np.array(own.model.labels, object)
         for batch in batches:
             for start, texts in blocks(batch.column(text).to_pylist()):
-                preds, scores, spans = [], [], []
+                preds, scores, sure, spans = [], [], [], []
                 for post in own.posteriors(texts) if len(labels) else [np.empty((0, 0))] * len(texts):
                     if not len(post):
                         preds.append(UNKNOWN)
                         scores.append(0.0)
+                        sure.append(0.0)
                         spans.append([])
                         continue
                     mean = post.mean(axis=0, dtype=np.float64)
@@ -292,10 +294,11 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     preds.append(labels[best])
                     scores.append(float(min(1.0, mean[best])))
                     word = post.argmax(axis=1)
+                    sure.append(float(min(1.0, post[np.arange(len(post)), word].mean(dtype=np.float64))))
                     cuts = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1, [len(word)]])
                     spans.append([{"lang": labels[word[a]], "first_word": int(a), "words": int(b - a)} for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
                 part = batch.slice(start, len(texts))
-                new = [pa.array(v, fields.field(n).type) for n, v in (("lang_pred", preds), ("score", scores), ("spans", spans))]
+                new = [pa.array(v, fields.field(n).type) for n, v in (("lang_pred", preds), ("score", scores), ("certainty", sure), ("spans", spans))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], schema=fields)
 
     return docs.mapInArrow(run, schema)

@@ -10,8 +10,8 @@ from assayflow.llm import bpe, jaccard_join, language_id, line_dedup, mixing
 from assayflow.llm.common import read_table, small, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Least score of a document's language: below it, no language fits.
-MIN_SCORE = 0.4
+#: Least certainty of a document's words, each in its own language: below it, no language fits.
+MIN_CERTAINTY = 0.4
 
 
 def with_lengths(docs: DataFrame) -> DataFrame:
@@ -19,10 +19,15 @@ def with_lengths(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: null, no letters, or a score below MIN_SCORE. A null lang is filled."""
+    """Documents without a recognised language go: null, no letters, or words less certain than MIN_CERTAINTY. A null lang is filled.
+
+    A document of several languages stays if its words are certain. If nothing can be learned, as when all of
+    lang is null, every document with letters stays, and a null lang is `und`.
+    """
     docs = docs.select(*COLUMNS)
-    found = language_id.detect(docs, language_id.train(docs))
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    model = language_id.train(docs)
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("certainty") >= MIN_CERTAINTY)
+    kept = language_id.detect(docs, model).where(known if model.labels else F.col("text").rlike(r"\p{L}"))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

@@ -1,13 +1,16 @@
 """The pipeline against a brute-force version of each stage's decisions."""
 
+import random
+
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
+from conftest_words import SYLLABLES, languages
 from pyspark.sql import functions as F
 from test_search_operators import restated_classes
 from test_text_operators import restated_targets
 
-from assayflow.llm import bpe
+from assayflow.llm import bpe, language_id
 from assayflow.llm.common import stored
 
 
@@ -35,6 +38,24 @@ def test_stages(spark):
     assert tokens.count() == mixed.count() and all(r["ids"] == enc.encode_ordinary(texts[r["doc_id"]]) for r in tokens.collect())
 
 
+def test_documents_of_several_languages_stay(spark):
+    rng = random.Random(2)
+    rows = [(i, languages(rng, lang, 60), lang, "s", 0) for lang in SYLLABLES for i in range(100 * ord(lang[0]), 100 * ord(lang[0]) + 90)]
+    rows += [(i, " ".join(languages(rng, lang, 64) for lang in SYLLABLES), None, "s", 0) for i in range(20)] + [(50, None, "aa", "s", 0), (51, "12 --", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: r for r in language_id.detect(docs, language_id.train(docs)).collect()}
+    assert all(r["score"] <= r["certainty"] + 1e-9 and r["certainty"] <= 1 for r in found.values())
+    assert any(found[i]["score"] < corpus_pipeline.MIN_CERTAINTY for i in range(20)) and found[50]["certainty"] == 0
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {50, 51}
+
+
+def test_without_labels(spark):
+    rows = [(1, "plain words", None), (2, None, None), (3, "12 --", None), (4, "中文", None), (None, "no id", "en")]
+    docs = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["text"], r["lang"]) for r in corpus_pipeline.language(spark, docs, "").collect()) == [("no id", "en"), ("plain words", "und"), ("中文", "und")]
+
+
 def test_empty(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
