@@ -15,7 +15,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text hashed at a time; one longer text is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -29,12 +29,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base to the 0, 1, ... n - 1, modulo 2 to the 64."""
-    if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, BLOCK + 64), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps)
-    return _powers[base][:n]
+    """base to the 0, 1, ... n - 1, modulo 2 to the 64. Those that a block needs are kept; more, for a longer text, are not."""
+    if n <= 2 * BLOCK and base in _powers:
+        return _powers[base][:n]
+    steps = np.full(max(n, 2 * BLOCK), base, np.uint64)
+    steps[0] = 1
+    steps = np.cumprod(steps)
+    _powers[base] = steps[: 2 * BLOCK].copy() if n > 2 * BLOCK else steps
+    return steps[:n]
 
 
 def byte_sums(data: np.ndarray) -> np.ndarray:

@@ -33,6 +33,31 @@ def test_language_id(spark, odd_docs, no_docs):
     assert empty.labels == [] and {r["lang_pred"] for r in language_id.detect(odd_docs, empty).collect()} == {"und"}
 
 
+def test_words_are_letters_and_marks(spark):
+    assert language_id.words_of("हिन्दी भाषा, ½ ² ① Ⅷ 12 x_y 3D") == ["हिन्दी", "भाषा", "x", "y", "d"]
+    assert language_id.words_of("\u0301 ªb µ") == ["ªb", "µ"] and language_id.words_of("½ ² ①") == []
+    rng = random.Random(4)
+    for _ in range(300):  # the plain pattern says the same where it is taken
+        text = "".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(128, 0x250)))) for _ in range(60)).lower()
+        assert language_id.PLAIN.findall(text) == language_id.WORD.findall(text) or language_id.OTHER.search(text)
+    model = language_id.fit([(lang, languages(rng, lang, 50).split()) for lang in ("aa", "bb") for _ in range(20)])
+    docs = spark.createDataFrame([(1, "½ ② 7"), (2, languages(rng, "bb", 30))], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language_id.detect(docs, model).orderBy("doc_id").collect()] == ["und", "bb"]
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "DOCS_A_LANGUAGE", 20)
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    one = spark.range(3000).select("id", F.lit("the same words").alias("text"), F.lit("aa").alias("lang"))
+    row = spark.range(3000).select(F.lit(8).alias("id"), F.lit("a repeated row").alias("text"), F.lit("bb").alias("lang"))
+    rare = spark.range(50).select(F.col("id") + 9000, F.lit("rare").alias("text"), F.lit("cc").alias("lang")).toDF("id", "text", "lang")
+    found = language_id.training_sample(one.unionByName(row).unionByName(rare), "id")
+    by = defaultdict(list)
+    for lang, words in found:
+        by[lang].append(words)
+    assert len(by["aa"]) == 20 and len(by["bb"]) <= 20 and "cc" not in by and by["aa"][0] == ["the", "same", "words"]
+
+
 def test_text_longer_than_a_block(monkeypatch):
     monkeypatch.setattr(language_id, "MEMO", 50)
     monkeypatch.setattr(language_id, "BLOCK", 60)
@@ -106,25 +131,60 @@ def test_jaccard_join(spark, odd_docs, no_docs):
     assert jaccard_join.near_duplicate_classes(no_docs).count() == 0
 
 
+def test_jaccard_join_of_hot_groups(spark, monkeypatch):
+    """A passage in most documents, edits of one text of which few link, no hub among some, and an id with two texts."""
+    rng = random.Random(18)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(rng.randrange(5, 60))] + passage)) for i in range(150)]
+    for at, edits in ((1000, (0, 1, 2, 3, 4)), (2000, (3, 4, 5, 6))):
+        base = [word() for _ in range(120)]
+        for i in range(150):
+            own = list(base)
+            for _ in range(rng.choice(edits)):
+                own[rng.randrange(len(own))] = word()
+            rows.append((at + i, " ".join(own)))
+    rows += [(5000, rows[0][1] + " x"), (5000, rows[160][1] + " y"), (5001, rows[170][1].upper()), (5002, rows[170][1].replace(" ", "\n"))]
+    want = restated_classes([{"doc_id": k, "text": t} for k, (_, t) in enumerate(rows)])
+    # Each row by itself; then the two rows of 5000 are one document.
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[want[k][1]] = min(i, least.get(want[k][1], i))
+    one, two = (want[k][1] for k, (i, _) in enumerate(rows) if i == 5000)
+    least[one] = least[two] = min(least[one], least[two])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted((i, want[k][0], least[want[k][1]]) for k, (i, _) in enumerate(rows))
+    for known, limit in ((10_000, None), (3, 0)):  # few frequent signatures known; and no set small enough to broadcast
+        monkeypatch.setattr(jaccard_join, "KNOWN", known)
+        if limit is not None:
+            monkeypatch.setattr(jaccard_join, "small", lambda d, n: d)
+        got = sorted(tuple(r) for r in jaccard_join.near_duplicate_classes(df).select("doc_id", "n_shingles", "component_id").collect())
+        assert got == expected
+
+
 def test_signatures_lose_no_pair():
     rng = np.random.default_rng(5)
-    for trial in range(3000):
-        n = int(rng.integers(1, 200))
+    pairs = []
+    for trial in range(9000):
+        n = int(rng.integers(1, 200)) if trial < 6000 else int(rng.integers(200, 3000)) if trial < 8800 else int(rng.integers(3000, 9000))
         a = rng.integers(0, 1 << 62, n).astype(np.uint64)
         most = n // 4
         gone, new = int(rng.integers(0, most + 1)), int(rng.integers(0, most + 1))
-        b = np.concatenate([a[: n - gone], rng.integers(0, 1 << 62, new).astype(np.uint64)])
+        if trial % 3 == 0:  # as far apart as a link allows
+            gone = most * 4 // 5
+            new = 0 if trial % 2 else (n - gone) // 4 - gone
+        b = np.concatenate([a[: n - gone], rng.integers(0, 1 << 62, max(0, new)).astype(np.uint64)])
         a, b = np.unique(a), np.unique(b)
         both = len(np.intersect1d(a, b))
         if both and 100 * both >= 80 * (len(a) + len(b) - both):
-            kept = []
-            for x in (a, b):  # the spare ones go in one order, here by value
-                signs, parity, spare = jaccard_join.signatures(x)
-                by_kind = defaultdict(list)
-                for v in sorted(signs.tolist()):
-                    by_kind[(0 if v & 1 == parity else 3) + (v >> 1 & 3)].append(v)
-                kept.append({v for kind, vs in by_kind.items() for v in vs[: len(vs) - spare[kind]]})
-            assert kept[0] & kept[1], (trial, n)
+            pairs.append((a, b))
+    assert len(pairs) > 3000
+    for at in range(0, len(pairs), 100):
+        own = pairs[at : at + 100]
+        signs = jaccard_join.signatures([x for p in own for x in p])
+        assert all(set(x.tolist()) & set(y.tolist()) for x, y in zip(signs[::2], signs[1::2], strict=True))
+    alone = jaccard_join.signatures([pairs[0][0], np.empty(0, np.uint64), pairs[0][1]])  # a set's signatures are its own
+    assert not len(alone[1]) and sorted(alone[0].tolist()) == sorted(jaccard_join.signatures([pairs[0][0]])[0].tolist())
 
 
 def test_shingle_sets():
@@ -176,6 +236,15 @@ def test_chat(spark):
     assert set(one) == {2, 4} and one[4]["text"].startswith(one[2]["text"])
     assert one[4]["text"][one[4]["loss_start"] : one[4]["loss_end"]] == "é😀" and one[2]["text"][one[2]["loss_start"] :] == "A\\l/s>\\e</s>"
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
+    # The digest reads replies by both offsets: moved ones give another text.
+    for start, end in ((1, 0), (0, 1), (-1, -1), (1, 1)):
+        move = lambda t: t.withField("loss_start", t["loss_start"] + start).withField("loss_end", t["loss_end"] + end)  # noqa: B023, E731
+        moved = {r["conv_id"]: r for r in chat.digest(formatted.withColumn("turns", F.transform("turns", move))).collect()}
+        assert moved[1]["loss_sha256"] != got[1]["loss_sha256"] and moved[1]["turns_sha256"] == got[1]["turns_sha256"]
+    rows = {(r["conv_id"], r["n_segments"]): r for r in chat.examples(formatted).collect()}
+    for r in chat.expand(formatted).collect():
+        own = rows[r["conv_id"], r["n_segments"]]
+        assert len(r["text"]) == own["before"] + len(own["segment"]) and r["text"][own["before"] :] == own["segment"]
 
 
 def test_language_id_reads_whole_runs(spark):
