@@ -10,11 +10,19 @@ from pyspark.sql import SparkSession
 _own: list[str] = []
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; only where that is unset (tests), in a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a new folder if all of Spark runs in this one process, as in tests; on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='assayflow-')}")
         base = _own[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
