@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayflow.llm.pieces import BYTE_LEVEL, Memory, kept_memory, splitter
+from assayflow.llm.common import kept
+from assayflow.llm.pieces import BYTE_LEVEL, Memory, splitter
 
 #: Pieces of this many bytes or more are merged through a queue of pairs, in n log n steps.
 LONG = 48
@@ -112,7 +113,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = BYTE_LEVEL, text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, split = load_ranks(ranks_path), splitter(pattern)
-        memory = kept_memory(("ranks", ranks_path), lambda new: [np.array(fold(p.encode(), ranks), "<i4").tobytes() for p in new], PIECES)
+        memory = kept(("ranks", ranks_path), lambda: Memory(lambda new: [np.array(fold(p.encode(), ranks), "<i4").tobytes() for p in new], PIECES))
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(at, TEXTS)

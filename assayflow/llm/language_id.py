@@ -15,11 +15,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Training bounds: labelled documents a language, and words and characters of one document (a stretch at a hashed place).
-DOCS_A_LANGUAGE, WORDS_A_DOCUMENT = 800, 192
+from assayflow.llm.common import kept
+
+#: Training bounds: languages, labelled documents a language, and words and characters of one document (a stretch at a hashed place).
+LANGUAGES, DOCS_A_LANGUAGE, WORDS_A_DOCUMENT = 200, 800, 192
 CHARS_A_DOCUMENT = 40 * WORDS_A_DOCUMENT
 #: Letters of a word at most; what stands at the end of one that goes on in the next, and at the start of that.
 PIECE, SEAM = 24, "-"
@@ -27,7 +30,8 @@ PIECE, SEAM = 24, "-"
 CHAIN, BUCKETS, LEXICON_LEAST, EPOCHS = 64, 1 << 16, 3, 3
 #: Words a worker remembers and words it labels at a time.
 MEMO, BLOCK = 250_000, 100_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters and the marks on them. Texts without characters above Latin letters take the plain pattern, which says the same there.
+WORD, PLAIN, OTHER = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*"), re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏ]+"), re.compile("[^\x00-ɏ]")
 UNKNOWN = "und"
 
 
@@ -52,7 +56,8 @@ def cut_runs(runs: list[str]) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return cut_runs(WORD.findall(text.lower()))
+    text = text.lower()
+    return cut_runs((WORD if OTHER.search(text) else PLAIN).findall(text))
 
 
 def features(word: str, lexicon: frozenset) -> list[int]:
@@ -208,23 +213,11 @@ class Labeller:
         return np.split(post, np.cumsum(lengths)[:-1])
 
 
-_labellers: dict[int, Labeller] = {}
-
-
-def kept_labeller(model: Model) -> Labeller:
-    """The labeller of a model, which lives as long as the worker process and serves all its tasks."""
-    own = _labellers.get(id(model))
-    if own is None or own.model is not model:
-        _labellers.clear()
-        own = _labellers[id(model)] = Labeller(model)
-    return own
-
-
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
+def blocks(texts: pa.Array | list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
     """The texts' lower-case words, in blocks of about BLOCK words; one longer text is one block."""
     start, own, n = 0, [], 0
     for k, text in enumerate(texts):
-        own.append(words_of(text or ""))
+        own.append(words_of((text.as_py() if isinstance(text, pa.Scalar) else text) or ""))
         n += len(own[-1])
         if n >= BLOCK or k == len(texts) - 1:
             yield start, own
@@ -237,24 +230,27 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, list[str]]]:
-    """At most about DOCS_A_LANGUAGE documents a language, by hash of the text, and WORDS_A_DOCUMENT words of each.
+    """At most DOCS_A_LANGUAGE documents of each of the LANGUAGES most frequent languages, by hash of id and text, and WORDS_A_DOCUMENT words of each.
 
     The stretch of a long text starts at a hashed place: first one of CHARS_A_DOCUMENT characters, which may cut
     the words at its ends, then one of words in it. Rows without id, text or language teach nothing.
     """
     usable = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return []
-    h = F.pmod(F.xxhash64(F.lit("sample"), F.col(text)), F.lit(1 << 30))
+    h = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text)), F.lit(1 << 30))
     share = F.lit(0)
-    for name, n in sorted(counts.items()):
-        share = F.when(F.col(lang) == name, int(min(1.0, DOCS_A_LANGUAGE / n) * (1 << 30))).otherwise(share)
+    for name, n in sorted((r["lang"], r["n"]) for r in counts):
+        share = F.when(F.col(lang) == name, int(min(1.0, (1.2 * DOCS_A_LANGUAGE + 20) / n) * (1 << 30))).otherwise(share)
     spare = F.greatest(F.length(text) - CHARS_A_DOCUMENT, F.lit(0))
     place = F.pmod(F.xxhash64(F.lit("place"), F.col(text)), spare + 1).cast("int") + 1
     words = F.split(F.substring(F.col(text), place, F.lit(CHARS_A_DOCUMENT)), r"\s+")
     start = F.pmod(F.xxhash64(F.lit("start"), F.col(text)), F.greatest(F.size(words) - WORDS_A_DOCUMENT, F.lit(1))).cast("int") + 1
-    rows = usable.where(h < share).select(F.col(lang).alias("lang"), F.array_join(F.slice(words, start, F.lit(WORDS_A_DOCUMENT)), " ").alias("t"))
+    rows = usable.where(h < share).select(F.col(lang).alias("lang"), F.array_join(F.slice(words, start, F.lit(WORDS_A_DOCUMENT)), " ").alias("t"), h.alias("h"))
+    # Rows that repeat id and text pass the hash together, so the bound is held by number as well.
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    rows = rows.withColumn("number", number).where(F.col("number") <= DOCS_A_LANGUAGE)
     found = [(r["lang"], words_of(r["t"])) for r in rows.collect()]
     return sorted(x for x in found if x[1])
 
@@ -277,10 +273,11 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        own, fields = kept_labeller(shared.value), to_arrow_schema(schema)
+        model = shared.value
+        own, fields = kept(("labeller", id(model)), lambda: Labeller(model)), to_arrow_schema(schema)
         labels = np.array(own.model.labels, object)
         for batch in batches:
-            for start, texts in blocks(batch.column(text).to_pylist()):
+            for start, texts in blocks(batch.column(text)):
                 preds, scores, sure, spans = [], [], [], []
                 for post in own.posteriors(texts) if len(labels) else [np.empty((0, 0))] * len(texts):
                     if not len(post):

@@ -49,14 +49,3 @@ class Memory(dict):
             else:
                 new.append(p)
         self.update(zip(new, self.encode(new), strict=True))
-
-
-_kept: dict = {}
-
-
-def kept_memory(key: tuple, encode: Callable[[list[str]], Iterable], bound: int) -> Memory:
-    """The memory of this key, which serves all tasks of a worker process; a worker keeps one, the last that it used."""
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Memory(encode, bound)
-    return _kept[key]

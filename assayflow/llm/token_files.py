@@ -8,6 +8,7 @@ ids before it (`base`): a prefix sum over shards, so no task counts another's to
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -21,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayflow.llm.bpe import TEXTS, encode_texts
-from assayflow.llm.common import new_path, stored
-from assayflow.llm.pieces import BYTE_LEVEL, kept_memory, splitter
+from assayflow.llm.common import kept, stored
+from assayflow.llm.pieces import BYTE_LEVEL, Memory, splitter
+from assayflow.sources.shared import shared_path
 
 MANIFEST = "shard long, name string, n_docs long, n_tokens long, width int"
 #: Encoded pieces that a worker remembers in a generation, about 200 bytes each: the library needs longer for a piece than a fold.
@@ -41,14 +43,25 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, pattern: str = BYTE_LEVEL, id_col: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+def piece_pattern(path: str) -> str | None:
+    """The pattern whose matches the tokenizer of a file encodes one by one; None if the file says anything else than that plain kind."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    before = said.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    whole = said.get("normalizer") or said.get("truncation") or said.get("padding") or said["model"].get("dropout")
+    return BYTE_LEVEL if plain and not whole else None
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
     """Encode every text, append end_id, write the shards in ascending order of id and return the manifest.
 
     Documents are dealt by ranges of id (and a hash of the text, so that a repeated id can be split) and
     sorted within. Ids are nulls last; equal ids come in order of that hash. A null text is empty. A task
-    that runs twice writes other names; the manifest names the files of the one that counted. A byte-level
+    that runs twice writes other names; the manifest names the files of the one that counted. A plain byte-level
     tokenizer encodes each match of its pattern by itself, so the library encodes each distinct piece once
-    and a text's ids are those of its pieces; `pattern` is that of the tokenizer's file.
+    and a text's ids are those of its pieces. Texts that hold the string of an added token go to the library whole,
+    and so does every text if the tokenizer's file names a normalizer or another pre-tokenizer.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -59,10 +72,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         kind = np.dtype("<u2" if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        end, split = np.array([end_id], kind).tobytes(), splitter(pattern)
+        end, pattern = np.array([end_id], kind).tobytes(), piece_pattern(tokenizer_path)
+        split = splitter(pattern) if pattern else None
         added = [t.content for t in tok.get_added_tokens_decoder().values()]
         library = lambda new: [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
-        memory = kept_memory(("tokenizer", tokenizer_path, kind.str), library, PIECES)
+        memory = kept(("tokenizer", tokenizer_path, kind.str), lambda: Memory(library, PIECES))
         ctx = TaskContext.get()
         name = f"part-{ctx.partitionId():06d}-{uuid.uuid4().hex}"
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -74,8 +88,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 lengths = np.empty(len(texts), "<i8")
                 for at in range(0, len(texts), TEXTS):
                     some = texts[at : at + TEXTS]
-                    special = [k for k, t in enumerate(some) if any(a in t for a in added)]
-                    own = encode_texts(["" if k in special else t for k, t in enumerate(some)], split, memory)
+                    special = [k for k, t in enumerate(some) if not split or any(a in t for a in added)]
+                    own = encode_texts(["" if k in special else t for k, t in enumerate(some)], split, memory) if split else [b""] * len(some)
                     for k in special:  # the library alone says what an added token's string is
                         own[k] = library([some[k]])[0]
                     lengths[at : at + len(own)] = [len(b) // kind.itemsize + 1 for b in own]
@@ -140,5 +154,5 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 def token_digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write all documents as token files in the shared folder and return what is read back."""
-    folder = new_path(docs.sparkSession, "token-files")
+    folder = shared_path(docs.sparkSession, "token-files")
     return read_token_files(write_token_files(docs, folder, tokenizer_path), folder)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from assayflow.llm import bpe, gif, line_dedup, mixing, token_files
-from assayflow.llm.common import new_path
 from assayflow.llm.pieces import Memory, splitter
+from assayflow.sources.shared import shared_path
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -40,7 +40,15 @@ def test_token_files(spark, odd_docs, no_docs):
     got = token_files.token_digest(docs, JSON).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert token_files.token_digest(no_docs, JSON).count() == 0
-    folder = new_path(spark, "widths")
+    # Another kind of tokenizer, with a normalizer and another pre-tokenizer, gets whole texts.
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert token_files.piece_pattern(JSON) and token_files.piece_pattern(other) is None
+    tok, want = Tokenizer.from_file(other), Counter()
+    for r in docs.select("doc_id", "text").collect():
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        want[(r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.token_digest(docs, other).collect()) == want
+    folder = shared_path(spark, "widths")
     manifest = token_files.write_token_files(docs, folder, JSON, end_id=70_000)
     assert {r["width"] for r in manifest.collect()} == {4} and token_files.read_token_files(manifest, folder).count() == docs.count()
 
@@ -79,8 +87,24 @@ def test_gif_documents(odd_docs, no_docs):
         want[(r["doc_id"], len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))] += 1
     got = gif.describe(media).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
-    frames = gif.frames_of(media).where("doc_id = 58").first()
-    assert all(sum(f["histogram"]) == f["width"] * f["height"] for f in frames["frames"][:1])
+    texts = {}
+    for r in odd_docs.where("doc_id IS NOT NULL").collect():
+        raw = (r["text"] or "").encode()
+        texts[r["doc_id"]] = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")
+    for r in gif.describe(media).where("doc_id IS NOT NULL").collect():  # each frame shows its rows over those of the frame before
+        full, shown, total = texts[r["doc_id"]], b"", Counter()
+        size = 576 * min(64, len(full) // 576)
+        frames = [full[k : k + 576 * 64] for k in range(0, len(full), 576 * 64)]
+        assert [(f["delay_ms"], f["left"], f["top"], f["width"], f["height"]) for f in r["frames"]] == [(40, 0, 0, 576, len(f) // 576) for f in frames]
+        for f, own in zip(r["frames"], frames, strict=True):
+            shown = own + shown[len(own) : size]
+            want_bins = Counter((b >> 6) * 21 for b in shown)
+            assert f["histogram"] == [want_bins[i] for i in range(64)]
+            total += want_bins
+        colours = ",".join(f"{i}:{total[i] * 1000 // total.total()}" for i in sorted(total))
+        assert r["feature"] == f"frames={len(frames)};ms={40 * len(frames)};colours={colours}"
+    none = gif.frames_of(media.withColumn("media", F.lit(None).cast("binary"))).first()
+    assert none["frames"] is None and gif.frames_of(media).where("doc_id = 58").first()["frames"]
     assert gif.describe(gif.store_texts(no_docs)).count() == 0
 
 
