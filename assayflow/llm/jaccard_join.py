@@ -200,7 +200,7 @@ def star_pairs(met: DataFrame) -> DataFrame:
     """
     weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
     rows = met.join(weight, "node")
-    hubs = rows.groupBy("sign").agg(F.max(F.struct("weight", "node", "size")).alias("hub"))
+    hubs = stored(rows.groupBy("sign").agg(F.max(F.struct("weight", "node", "size")).alias("hub")), "jaccard-hubs")
     own = met.join(hubs, "sign").where(F.col("node") != F.col("hub.node"))
     own = own.where(100 * F.least("size", "hub.size") >= SIMILARITY * F.greatest("size", "hub.size"))
     return own.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
@@ -216,9 +216,10 @@ def rest_pairs(met: DataFrame, comp: DataFrame, elements: DataFrame) -> DataFram
     """
     labelled = met.select("sign", "node", "size").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = labelled.groupBy("sign").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") < F.col("most"))
-    rest = stored(labelled.join(split.select("sign"), "sign", "left_semi").select("node", "size", "component").distinct(), "jaccard-rest")
+    rest = stored(labelled.join(stored(split.select("sign"), "jaccard-split"), "sign", "left_semi").select("node", "size", "component").distinct(), "jaccard-rest")
     rows = rest.join(elements, "node").select("node", "size", "component", F.explode("elements").alias("element"))
     often = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("n") > 1)
+    often = stored(often, "jaccard-elements-often")
     own = Window.partitionBy("node")
     # Elements of one set alone come first; they need no row.
     after = F.row_number().over(own.orderBy("n", "element")) + F.col("size") - F.count(F.lit(1)).over(own) - 1
@@ -234,7 +235,7 @@ def rest_pairs(met: DataFrame, comp: DataFrame, elements: DataFrame) -> DataFram
     dealt = stored(smaller.unionByName(larger), "jaccard-dealt")
     place = dealt.groupBy("element", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("larger").alias("one"), F.max("larger").alias("two"))
     place = place.where((F.col("least") < F.col("most")) & (F.col("one") != F.col("two"))).select("element", "band")
-    met_there = dealt.join(place, ["element", "band"])
+    met_there = dealt.join(stored(place, "jaccard-places"), ["element", "band"])
     x, y = (met_there.where(F.col("larger") == is_larger).select("element", "band", F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("component").alias(f"{n}_in")) for is_larger, n in ((False, "x"), (True, "y")))
     found = x.join(y, ["element", "band"]).where((F.col("x_in") != F.col("y_in")) & (F.col("x_size") <= F.col("y_size")) & (100 * F.col("x_size") >= SIMILARITY * F.col("y_size")))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -264,6 +265,7 @@ def node_of(text: Column) -> Column:
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
+    Sums by a key that many rows have are stored before they are joined back, so that Spark can split the join.
     component_id is the smallest id that links reach. Equal texts are one node first. Nodes that share a
     signature are compared with the signature's hub; where a signature still has several components, those
     meet by rare elements (rest_pairs). So thousands of near copies cost a star and not all pairs, and no
@@ -274,7 +276,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", node_of(F.col("text")))
     rows = every.where(F.col("doc_id").isNotNull())
     ids = stored(rows.select("doc_id", "node"), "jaccard-ids")
-    first = ids.groupBy("node").agg(F.min("doc_id").alias("first"))
+    first = stored(ids.groupBy("node").agg(F.min("doc_id").alias("first")), "jaccard-first")
     copies = stored(ids.join(first, "node").where(F.col("doc_id") != F.col("first")).select("doc_id", "node").distinct(), "jaccard-copies")
     texts = rows.join(small(copies, 1_000_000), ["doc_id", "node"], "left_anti")
     met = stored(buckets(texts), "jaccard-met")
@@ -289,7 +291,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     same_id = members.where(F.col("size") > 0).join(several, "doc_id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
     comp = components(links.unionByName(more).unionByName(same_id))
     labelled = members.join(comp, "node", "left").select("doc_id", "size", F.coalesce("component", "node").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = stored(labelled.groupBy("component").agg(F.min("doc_id").alias("least")), "jaccard-least")
     out = labelled.join(least, "component").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
     unnamed = signed_sets(every.where(F.col("doc_id").isNull())).select(F.lit(None).cast("long").alias("doc_id"), F.col("size").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(unnamed)
