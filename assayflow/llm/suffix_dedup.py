@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from assayflow.llm.suffix_array import Spans, group_firsts
 #: Bytes of a repeated string; bytes of the gram that anchors it; bytes of text in a shard's suffix array, about (twice that at most).
 LENGTH, GRAM, SHARD = 100, 24, 1 << 20
 _POSITION_BITS = 26
+#: Documents of which one is sampled for frequent anchors, how many segments make an anchor one, how many are kept, and to how many tasks one is dealt.
+SAMPLED, FREQUENT, KNOWN, SPREAD = 16, 64, 10_000, 64
 
 
 def anchors(starts: np.ndarray, grams: np.ndarray, width: int) -> np.ndarray:
@@ -164,8 +167,8 @@ def sorted_shards(cut: DataFrame) -> DataFrame:
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, h, text, wanted) -> starts of strings that also start earlier, of anchors with too many differing segments for one shard.
 
-    Each string of LENGTH bytes is a row by itself, with two 64-bit hashes of its bytes: equal strings meet, in a
-    window of Spark's, which spills, and no Python task holds them. Texts are cut in the same Python worker.
+    Each string of LENGTH bytes is a row by itself, with two 64-bit hashes of its bytes, by which equal strings
+    meet: N strings have one wrong pair with odds of N * N / 2^129. Texts are cut in the same Python worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,27 +188,44 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
                 lo = pa.array((batch.column("lo").to_numpy()[spread] + inner).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([own[0], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), own[1], own[2], lo], names=["anchor", "h1", "h2", "doc_id", "h", "lo"])
 
-    starts = docs.mapInArrow(run, "anchor long, h1 long, h2 long, doc_id long, h long, lo int")
-    place, same = F.struct("doc_id", "h", "lo"), Window.partitionBy("anchor", "h1", "h2")
-    late = starts.withColumn("first", F.min(place).over(same)).where(place != F.col("first"))
-    return late.select("doc_id", "h", "lo", F.lit(1).alias("n"))
+    starts = stored(docs.mapInArrow(run, "anchor long, h1 long, h2 long, doc_id long, h long, lo int"), "suffix-starts")
+    return later(starts, "anchor", "h1", "h2").select("doc_id", "h", "lo", F.lit(1).alias("n"))
+
+
+def later(places: DataFrame, *key: str) -> DataFrame:
+    """Those of places(doc_id, h, lo) that have an earlier one of the same key. A key may have any share of the rows: its first place is
+    summed up before a shuffle, and as a stored table it can be joined back in parts."""
+    place = F.struct("doc_id", "h", "lo")
+    first = places.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("several")).where(F.col("several") > 1)
+    return places.join(stored(first.drop("several"), "suffix-first"), list(key)).where(place != F.col("first")).drop("first")
+
+
+def frequent_anchors(docs: DataFrame) -> DataFrame:
+    """anchor, often: anchors of which a sample of the documents has many segments, KNOWN of them at most. They decide where rows go, not which."""
+    sample = segments(docs.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(SAMPLED)) == 0))
+    often = sample.groupBy("anchor").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") >= FREQUENT)
+    return stored(often.orderBy(F.desc("often"), "anchor").limit(KNOWN), "suffix-often")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """docs(doc_id, h, text) -> doc_id, h, lo, n: starts of LENGTH-byte strings that also start earlier.
 
-    Segments equal in all bytes are one class: all but the earliest repeat it whole. Only the earliest
-    of each class goes on, and only where an anchor has several classes; there the suffix arrays find the
-    strings that differing segments share, or, where those of an anchor are more than SHARD bytes, hashes of
-    each string in a shuffle.
+    Segments equal in all bytes (by 64-bit hashes of segment and anchor) are one class: all but the earliest repeat
+    it whole. Only the earliest of each class goes on, and only where an anchor has several classes; there the
+    suffix arrays find the strings that differing segments share, or, where those of an anchor are more than
+    SHARD bytes, hashes of each string in a shuffle. Segments of a frequent anchor are dealt to SPREAD tasks,
+    and its classes are found by sums.
     """
+    often = frequent_anchors(docs)
     place = F.struct("doc_id", "h", "lo")
-    anchor, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "segment")
-    marked = segments(docs).withColumns({"first": F.min(place).over(same), "least": F.min("segment").over(anchor), "most": F.max("segment").over(anchor)})
-    marked = marked.withColumn("repeats", place != F.col("first")).where(F.col("repeats") | (F.col("least") != F.col("most")))
+    task = F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64(place), F.lit(SPREAD))).otherwise(0).cast("int")
+    marked = segments(docs).join(F.broadcast(often), "anchor", "left").withColumn("task", task)
+    anchor, same = Window.partitionBy("anchor", "task"), Window.partitionBy("anchor", "task", "segment")
+    marked = marked.withColumns({"first": F.min(place).over(same), "least": F.min("segment").over(anchor), "most": F.max("segment").over(anchor)})
+    marked = marked.withColumns({"spread": F.col("often").isNotNull(), "repeats": place != F.col("first")}).where(F.col("spread") | F.col("repeats") | (F.col("least") != F.col("most")))
     size = F.sum(F.when(~F.col("repeats"), F.col("n").cast("long") + LENGTH - 1)).over(anchor)
     marked = marked.withColumn("hot", F.coalesce(size > SHARD, F.lit(False)))
-    marked = stored(marked.select("anchor", "doc_id", "h", "lo", "n", "repeats", "hot"), "suffix-marked")
+    marked = stored(marked.select("anchor", "segment", "doc_id", "h", "lo", "n", "repeats", "hot", "spread"), "suffix-marked")
 
     def with_wanted(own: DataFrame) -> DataFrame:
         wanted = own.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("wanted"))
@@ -213,11 +233,18 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         few = docs.join(small(wanted.select("doc_id", "h"), 300_000), ["doc_id", "h"], "left_semi")
         return few.join(wanted, ["doc_id", "h"])
 
-    found = sorted_shards(cut_texts(with_wanted(marked.where(~F.col("repeats") & ~F.col("hot")))))
-    hot = marked.where(~F.col("repeats") & F.col("hot"))
+    dealt, spread = marked.where(~F.col("spread")), marked.where("spread")
+    found = [dealt.where("repeats").select("doc_id", "h", "lo", "n"), sorted_shards(cut_texts(with_wanted(dealt.where(~F.col("repeats") & ~F.col("hot")))))]
+    hot = dealt.where(~F.col("repeats") & F.col("hot")).select("anchor", "doc_id", "h", "lo", "n")
+    if not often.isEmpty():
+        repeats = stored(later(spread.select("anchor", "segment", "doc_id", "h", "lo", "n"), "anchor", "segment"), "suffix-later")
+        found.append(repeats.select("doc_id", "h", "lo", "n"))
+        firsts = spread.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "h", "lo", "n")).alias("first"))
+        hot = hot.unionByName(firsts.select("anchor", "first.*"))
+    hot = stored(hot, "suffix-hot")
     if not hot.isEmpty():
-        found = found.unionByName(repeated_starts(with_wanted(hot)))
-    return stored(found.unionByName(marked.where("repeats").select("doc_id", "h", "lo", "n")), "suffix-ranges")
+        found.append(repeated_starts(with_wanted(hot)))
+    return stored(reduce(DataFrame.unionByName, found), "suffix-ranges")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
