@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from assayflow.llm.common import small
 
-#: Trees; depth at most; vectors of the sample that fits the splits, at most about; of its vectors, those in a leaf at least.
-TREES, DEPTH, SAMPLE, LEAF = 4, 6, 20_000, 32
-#: Share of all leaves, of all trees together, that a query visits.
-VISIT = 0.35
+#: Trees; vectors of the sample that fits the splits, at most about; of its vectors, those in a leaf at least.
+TREES, SAMPLE, LEAF = 6, 20_000, 32
+#: Of N rows a query visits the leaves of VISIT * (VISIT_ROWS / N) ** VISIT_POWER * N, in all trees together: a share that falls with N.
+VISIT, VISIT_ROWS, VISIT_POWER = 1.4, 2_000, 0.25
+#: Leaves below one node of this depth are searched in one group.
+GROUPED = 5
 #: Rows and queries that meet in one group at most about, so that a hot leaf is split.
 ROWS_A_BLOCK, QUERIES_A_BLOCK = 4096, 1024
 
@@ -48,9 +50,8 @@ def grow(sample: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
     return Tree(normals, offsets)
 
 
-def fit_forest(vectors: DataFrame, trees: int = TREES, depth: int = DEPTH, sample: int = SAMPLE) -> list[Tree]:
-    """Fit on about `sample` vectors of vectors(id, vec), chosen by hash of the vector and id."""
-    n = vectors.count()
+def fit_forest(vectors: DataFrame, n: int, trees: int = TREES, sample: int = SAMPLE) -> list[Tree]:
+    """Fit on about `sample` of the n vectors(id, vec), chosen by hash of the vector and id, as deep as LEAF lets the sample go."""
     share = min(1.0, sample / max(n, 1))
     h = F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30))
     rows = np.array([r["vec"] for r in vectors.where(h < int(share * (1 << 30))).select("vec").collect()], np.float64)
@@ -58,7 +59,7 @@ def fit_forest(vectors: DataFrame, trees: int = TREES, depth: int = DEPTH, sampl
         rows = np.zeros((1, 1))
     rows = rows[np.lexsort(rows.T)]
     rng = np.random.default_rng(11)
-    return [grow(rows, max(0, min(depth, int(math.log2(len(rows) / LEAF)) if len(rows) > LEAF else 0)), rng) for _ in range(trees)]
+    return [grow(rows, int(math.log2(len(rows) / LEAF)) if len(rows) > LEAF else 0, rng) for _ in range(trees)]
 
 
 def leaves(forest: list[Tree], x: np.ndarray) -> np.ndarray:
@@ -89,73 +90,111 @@ def visits(forest: list[Tree], q: np.ndarray, n: int) -> list[tuple[int, int]]:
     return found
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, visit: float = VISIT) -> DataFrame:
+def leaves_to_visit(n: int, leaves_a_tree: int, trees: int) -> int:
+    """Of all leaves of the forest, how many a query visits among n rows."""
+    share = VISIT * (VISIT_ROWS / max(n, VISIT_ROWS)) ** VISIT_POWER
+    return max(1, min(trees * leaves_a_tree, math.ceil(share * leaves_a_tree)))
+
+
+def nearest(ids: np.ndarray, x: np.ndarray, square: np.ndarray, own: int, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact distances of the k rows of x nearest to y, without those of the query's own id.
+
+    Products tell which rows can be among them; only those are measured in full.
+    """
+    there = float(y @ y)
+    rough = square + there - 2 * (x @ y)
+    rough[ids == own] = np.inf
+    most = min(k, len(rough)) - 1
+    kth = np.partition(rough, most)[most]
+    near = np.flatnonzero((rough <= kth + 1e-9 * (1 + there + square.max())) & (ids != own))
+    diff = x[near] - y
+    d = np.sqrt((diff * diff).sum(axis=1))
+    order = np.lexsort((ids[near], d))[:k]
+    return ids[near][order], d[order]
+
+
+def once(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows that repeat an id, the one that is nearest to y."""
+    order = np.lexsort((((x - y) ** 2).sum(axis=1), ids))
+    order = order[np.flatnonzero(np.diff(ids[order], prepend=np.iinfo(np.int64).min))]
+    return ids[order], x[order]
+
+
+def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`.
 
     Candidates are all other usable rows of the dimension that most rows have (the smaller of equal ones);
     null ids take no part. The forest is fitted on a bounded sample; every row is put into a leaf of every
-    tree. Each query meets the rows of the leaves it visits in blocks of bounded size, where the exact
-    Euclidean distance in double precision ranks them, so a leaf full of equal vectors is many tasks.
-    Ties go to the smaller id. Repeated ids are one candidate, at their smallest distance.
+    tree. Leaves and queries meet in groups, below a node and in blocks of bounded size, where the exact
+    Euclidean distance in double precision ranks the rows of the leaves that a query visits; so a leaf full of
+    equal vectors is many tasks. Ties go to the smaller id. Repeated ids are one candidate, at their smallest distance.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
     sizes = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     rows = rows.where(F.size("vec") == (sizes[0]["d"] if sizes else 0))
-    forest = fit_forest(rows)
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(forest)
-    total = sum(len(t.offsets) + 1 for t in forest)
-    budget = max(1, math.ceil(visit * total))
+    n_rows = sizes[0]["n"] if sizes else 0
+    forest = fit_forest(rows, n_rows)
+    shared = vectors.sparkSession.sparkContext.broadcast(forest)
+    a_tree = len(forest[0].offsets) + 1
+    budget = leaves_to_visit(n_rows, a_tree, len(forest))
+    below = max(1, a_tree >> GROUPED)  # leaves of a group
 
     def to_leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 own = leaves(shared.value, np.stack(f["vec"].to_numpy()))
                 n, trees = own.shape
-                yield pd.DataFrame({"tree": np.tile(np.arange(trees), n), "leaf": own.ravel(), "id": np.repeat(f["id"].to_numpy(), trees), "vec": np.repeat(f["vec"].to_numpy(), trees)})
+                leaf = own.ravel()
+                yield pd.DataFrame({"tree": np.tile(np.arange(trees), n), "part": leaf // below, "id": np.repeat(f["id"].to_numpy(), trees), "vec": np.repeat(f["vec"].to_numpy(), trees), "leaves": list(leaf[:, None])})
 
     def to_visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [(t, x, i, v) for i, v in zip(f["id"], f["vec"], strict=True) for t, x in visits(shared.value, np.asarray(v), budget)]
-            yield pd.DataFrame(found, columns=["tree", "leaf", "id", "vec"])
-
-    placed = "tree int, leaf int, id long, vec array<double>"
+            found = []
+            for i, v in zip(f["id"], f["vec"], strict=True):
+                parts: dict[tuple[int, int], list[int]] = {}
+                for t, x in visits(shared.value, np.asarray(v), budget):
+                    parts.setdefault((t, x // below), []).append(x)
+                found += [(t, part, i, v, sorted(own)) for (t, part), own in parts.items()]
+            yield pd.DataFrame(found, columns=["tree", "part", "id", "vec", "leaves"])
+
+    placed = "tree int, part int, id long, vec array<double>, leaves array<int>"
     index = rows.mapInPandas(to_leaves, placed)
     asked = rows.where(F.col("id") % every == 0).mapInPandas(to_visits, placed)
-    # The forest bounds the number of leaves, so these counts are a small table.
-    per_leaf = rows.mapInPandas(to_leaves, placed).groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n"))
-    per_visit = asked.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("m"))
-    parts = per_leaf.join(per_visit, ["tree", "leaf"]).select("tree", "leaf", F.ceil(F.col("n") / ROWS_A_BLOCK).cast("int").alias("row_parts"), F.ceil(F.col("m") / QUERIES_A_BLOCK).cast("int").alias("query_parts"))
+    # The forest bounds the number of groups, so these counts are a small table.
+    per_part = index.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("n"))
+    per_visit = asked.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("m"))
+    parts = per_part.join(per_visit, ["tree", "part"]).select("tree", "part", F.ceil(F.col("n") / ROWS_A_BLOCK).cast("int").alias("row_parts"), F.ceil(F.col("m") / QUERIES_A_BLOCK).cast("int").alias("query_parts"))
     parts = small(parts, max_rows=1 << 16)
 
     def dealt(df: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
-        j = df.join(parts, ["tree", "leaf"]).withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        j = df.join(parts, ["tree", "part"]).withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         r, q = ("theirs", "mine") if is_query else ("mine", "theirs")
-        return j.select("tree", "leaf", F.col(r).alias("row_part"), F.col(q).alias("query_part"), "id", "vec", F.lit(is_query).alias("is_query"))
+        return j.select("tree", "part", F.col(r).alias("row_part"), F.col(q).alias("query_part"), "id", "vec", "leaves", F.lit(is_query).alias("is_query"))
 
-    def nearest(f: pd.DataFrame) -> pd.DataFrame:
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
         q, v = f[f["is_query"]], f[~f["is_query"]]
         out = []
         if len(q) and len(v):
-            ids, x = v["id"].to_numpy(), np.stack(v["vec"].to_numpy())
+            leaf = np.array([x[0] for x in v["leaves"]])
+            order = np.argsort(leaf, kind="stable")
+            leaf, ids, x = leaf[order], v["id"].to_numpy()[order], np.stack(v["vec"].to_numpy())[order]
+            square = (x * x).sum(axis=1)
             single = len(np.unique(ids)) == len(ids)
-            for i, y in zip(q["id"].to_numpy(), q["vec"].to_numpy(), strict=True):
-                diff = x - y
-                d = np.sqrt((diff * diff).sum(axis=1))
-                d[ids == i] = np.inf
-                kth = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                near = np.flatnonzero((d <= kth) & (ids != i))
-                if not single:  # a repeated id is one candidate
-                    every_id = np.lexsort((d, ids))
-                    near = every_id[np.flatnonzero(np.diff(ids[every_id], prepend=np.iinfo(np.int64).min))]
-                    near = near[ids[near] != i]
-                near = near[np.lexsort((ids[near], d[near]))[:k]]
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[near], "score": d[near]}))
+            for i, y, own in zip(q["id"].to_numpy(), q["vec"].to_numpy(), q["leaves"], strict=True):
+                rows_of = np.concatenate([np.arange(a, b) for a, b in zip(np.searchsorted(leaf, own), np.searchsorted(leaf, own, "right"), strict=True)])
+                if not len(rows_of):
+                    continue
+                if single:
+                    near, d = nearest(ids[rows_of], x[rows_of], square[rows_of], i, y, k)
+                else:
+                    own_ids, own_x = once(ids[rows_of], x[rows_of], y)
+                    near, d = nearest(own_ids, own_x, (own_x * own_x).sum(axis=1), i, y, k)
+                out.append(pd.DataFrame({"query_id": i, "vec_id": near, "score": d}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     both = dealt(index, "row_parts", "query_parts", False).unionByName(dealt(asked, "query_parts", "row_parts", True))
-    met = both.groupBy("tree", "leaf", "row_part", "query_part").applyInPandas(nearest, "query_id long, vec_id long, score double")
+    met = both.groupBy("tree", "part", "row_part", "query_part").applyInPandas(meet, "query_id long, vec_id long, score double")
     best = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
