@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import stored
@@ -220,13 +220,14 @@ def payload(frames: list[Frame]) -> bytes:
 
 def histogram(frame: Frame) -> list[int]:
     """64 counts of the opaque colours shown, by the two high bits of red, green and blue."""
-    shown = frame.canvas[frame.canvas[..., 3] > 0][:, :3] >> 6
-    return np.bincount(shown[:, 0] * 16 + shown[:, 1] * 4 + shown[:, 2], minlength=64).tolist()
+    red, green, blue, opaque = (frame.canvas[..., k] for k in range(4))
+    colour = red >> 6 << 4 | green >> 6 << 2 | blue >> 6
+    return np.bincount((colour if opaque.all() else colour[opaque > 0]).ravel(), minlength=64).tolist()
 
 
 def column_map(df: DataFrame, column: str, schema: str, make: Callable[[bytes | None], dict]) -> DataFrame:
     """df with the fields of schema, made from one binary column inside the tasks, in small batches."""
-    names = [f.strip().split(" ", 1)[0] for f in schema.split(", ")]
+    names = [f.strip().split(" ", 1)[0] for f in schema.split(", ")]  # a type has no blank after its commas
     out_schema = df.select("*", *[F.lit(None).cast(f.strip().split(" ", 1)[1]).alias(f.strip().split(" ", 1)[0]) for f in schema.split(", ")]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,33 +257,41 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return stored(column_map(rows, "raw", "n_bytes bigint, media binary", make).drop("raw"), "gif-media")
 
 
+FRAMES = "array<struct<delay_ms:bigint,left:int,top:int,width:int,height:int,histogram:array<int>>>"
+
+
+def frame_rows(frames: list[Frame]) -> list[dict]:
+    return [{"delay_ms": f.delay * 10, **dict(zip(("left", "top", "width", "height"), f.box, strict=True)), "histogram": histogram(f)} for f in frames]
+
+
 def frames_of(media: DataFrame, column: str = "media") -> DataFrame:
     """Adds frames, one entry for each timed frame: delay in milliseconds, box and colour histogram. A null image has null frames."""
-    kind = "array<struct<delay_ms:bigint,left:bigint,top:bigint,width:bigint,height:bigint,histogram:array<bigint>>>"
+    return column_map(media, column, f"frames {FRAMES}", lambda data: {"frames": data if data is None else frame_rows(read_gif(data))})
 
-    def make(data: bytes | None) -> dict:
-        return {"frames": data if data is None else [{"delay_ms": f.delay * 10, **dict(zip(("left", "top", "width", "height"), f.box, strict=True)), "histogram": histogram(f)} for f in read_gif(data)]}
 
-    return column_map(media, column, f"frames {kind}", make)
+def feature(frames: Column) -> Column:
+    """A text of the frames: how many, their time, and the share of each colour that they show, in per mille, `colour:share`."""
+    total = F.aggregate(frames, F.array_repeat(F.lit(0).cast("long"), 64), lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y))
+    pixels = F.greatest(F.aggregate(total, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
+    shares = F.transform(total, lambda x, i: F.when(x > 0, F.concat_ws(":", i.cast("string"), F.floor(x * 1000 / pixels).cast("string"))))
+    time = F.aggregate(frames, F.lit(0).cast("long"), lambda a, f: a + f["delay_ms"])
+    return F.concat(F.lit("frames="), F.size(frames).cast("string"), F.lit(";ms="), time.cast("string"), F.lit(";colours="), F.array_join(shares, ","))
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Digests and a feature of every stored image, all from its decoded bytes.
-
-    The feature has the frames, their time, and the shares of 16 shades in the payload in per mille.
-    """
+    """Digests of every stored image, from its decoded bytes, with its timed frames and the feature() of their histograms."""
 
     def make(data: bytes) -> dict:
         frames = read_gif(data)
         own = payload(frames)
-        shades = np.bincount(np.frombuffer(own, np.uint8) >> 4, minlength=16) * 1000 // len(own)
         return {
             "payload_bytes": len(own),
             "payload_sha256": hashlib.sha256(own).hexdigest(),
             "tail_crc32": zlib.crc32(own[-32:]),
             "media_bytes": len(data),
             "media_sha256": hashlib.sha256(data).hexdigest(),
-            "feature": f"frames={len(frames)};ms={sum(f.delay for f in frames) * 10};shades=" + ",".join(map(str, shades.tolist())),
+            "frames": frame_rows(frames),
         }
 
-    return column_map(media, "media", "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", make).drop("media")
+    made = column_map(media, "media", f"payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, frames {FRAMES}", make)
+    return made.drop("media").withColumn("feature", feature(F.col("frames")))

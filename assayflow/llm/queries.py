@@ -30,7 +30,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.describe(gif.store_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return gif.describe(gif.store_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("frames")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

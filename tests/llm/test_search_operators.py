@@ -217,6 +217,28 @@ def test_nearest(spark):
     assert [(r["query_id"], r["vec_id"]) for r in few] == [(0, 1)]
 
 
+def test_nearest_recall_and_repeats(spark):
+    """On the driver's vectors, which are as hard as can be: hardly nearer neighbours than the rest."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r[0], np.array(r[1], np.float64)) for r in table.collect() if r[1] and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    got = defaultdict(list)
+    for r in ann.search(table).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    hits = []
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        hits.append(len({i for _, i in got[q]} & set(ids[np.lexsort((ids, d))[:10]].tolist())) / 10)
+    assert np.mean(hits) >= 0.9
+    # The share of rows that a query visits falls with their number, so the index saves the more the larger the table.
+    assert [ann.leaves_to_visit(n, 512, 6) for n in (1_000, 50_000, 10**7, 10**9)] == [717, 321, 86, 27]
+    # A query whose id is repeated has neighbours of both rows, each id once, and none of its own.
+    twice = spark.createDataFrame([(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.1, 1.0]), (2, [5.0, 5.0])], "vec_id long, embedding array<double>")
+    near = [(r["vec_id"], round(r["score"], 6)) for r in ann.search(twice).orderBy("rank").collect()]
+    assert [i for i, _ in near] == [1, 2] and near[0][1] == 0.1
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "Hi <s>[INST] \\e \\l"), (1, 1, "assistant", "A</s>\\"), (1, 2, "user", None), (1, 3, "assistant", "é😀"), (1, 4, "user", "tail"),
@@ -339,10 +361,18 @@ def test_hot_anchor_is_split(spark, monkeypatch):
 
     monkeypatch.setattr(suffix_dedup, "SHARD", bound)
     monkeypatch.setattr(suffix_dedup, "group_firsts", bounded)
+    rows += [(2000 + i, rows[5][1]) for i in range(30)] + [(3000, "=" * 900)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = restated_removal([(i, t.encode()) for i, t in rows])
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect()}
-    assert sum(w[1] > 0 for w in want.values()) > 50 and got == want
+    assert sum(w[1] > 0 for w in want.values()) > 50
+    # No frequent anchors known; some of them known; all known that come more than once; and no set small enough to broadcast.
+    for sampled, frequent, limit in ((16, 10**6, None), (4, 8, None), (1, 2, None), (1, 2, 0)):
+        monkeypatch.setattr(suffix_dedup, "SAMPLED", sampled)
+        monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+        if limit is not None:
+            monkeypatch.setattr(suffix_dedup, "small", lambda d, n: d)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect()}
+        assert got == want, (sampled, frequent)
 
 
 def test_long_texts_in_pieces(spark, monkeypatch):
