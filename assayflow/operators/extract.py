@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.functions.text import filled, normalize_text, normalize_unit, parse_number
 
 #: Fixed value: what follows a name - a separator, a number, perhaps a unit.
 VALUE = r"\s*[:\-]?\s*(\d[\d,]*\.?\d*)\s*([a-zA-Z/%^\d]+)?"
+#: Aliases that one pass over the texts looks for, at most; they go through the driver.
+ALIASES = 100_000
 
 
 def alias_rows(catalog: DataFrame) -> DataFrame:
@@ -30,8 +38,41 @@ def alias_rows(catalog: DataFrame) -> DataFrame:
     return rows.where(F.col("alias") != "")
 
 
-def quoted(text: Column) -> Column:
-    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+def value_matches(docs: DataFrame, aliases: list[str], strict: bool = False) -> DataFrame:
+    """doc_id, alias, match_no, raw, captured: every alias in docs(doc_id, text) with a number after it, all found in one pass of a text.
+
+    Matches of one alias don't overlap: the next one starts after the number and the unit of the one before.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(aliases)
+    schema = docs.select("doc_id", F.lit("").alias("alias"), F.lit(0).alias("match_no"), F.lit("").alias("raw"), F.lit("").alias("captured")).schema
+
+    def in_word(c: str) -> bool:
+        return c.isalnum() or c == "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, value, finder = shared.value, re.compile(VALUE, re.IGNORECASE), ahocorasick.Automaton()
+        for i, name in enumerate(names):
+            finder.add_word(name, i)
+        finder.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for k, text in enumerate(batch.column("text")):
+                text, seen = text.as_py(), {}
+                for last, i in finder.iter(text):
+                    start = last + 1 - len(names[i])
+                    end, number = seen.get(i, (0, 0))
+                    if start < end or strict and (start > 0 and in_word(text[start - 1])) == in_word(text[start]):
+                        continue
+                    m = value.match(text, last + 1)
+                    if m:
+                        seen[i] = (m.end(), number + 1)
+                        rows.append(k)
+                        found.append((names[i], number, m[1], m[2] or ""))
+            columns = [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *columns], names=schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def extract_measurements(docs: DataFrame, catalog: DataFrame, units: DataFrame, strict: bool = False) -> DataFrame:
@@ -39,19 +80,20 @@ def extract_measurements(docs: DataFrame, catalog: DataFrame, units: DataFrame,
 
     Every occurrence of a name or alias with a number after it. Names match inside words, a unit may be the
     next word, and a test without units drops a captured one; strict=True asks for word bounds and known units.
-    Equal names of one test emit twice. The alias table is a dictionary of bounded size and is broadcast; a
-    cheap `contains` comes before the pattern, and documents are spread before that join.
+    Equal names of one test emit twice. The aliases are searched all at once, ALIASES of them at most in a pass
+    over the texts, and only what is found is joined with their tests.
     """
     text = docs.select("doc_id", normalize_text(F.col("text")).alias("text")).where(F.col("text") != "")
-    aliases = F.broadcast(alias_rows(catalog))
-    pattern = F.concat(F.lit("(?iU)" + (r"\b" if strict else "")), quoted(F.col("alias")), F.lit(VALUE))
-    hits = text.join(aliases, F.contains("text", "alias"))
-    pairs = F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("raw"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("captured"))
-    found = hits.select("doc_id", "id", "name", "units", "normal_min", "normal_max", F.col("ord").alias("test_ord"), "alias_ord", F.posexplode(pairs).alias("match_no", "m"))
-    found = found.withColumn("raw_unit", F.when(F.size("units") > 0, F.coalesce(filled("m.captured"), F.get("units", F.lit(0)))).otherwise(""))
-    found = normalize_unit(found.withColumn("value", parse_number(F.col("m.raw"))), units, "raw_unit", "unit")
+    aliases = alias_rows(catalog)
+    distinct = aliases.select("alias").distinct()
+    passes = max(1, -(-distinct.count() // ALIASES))
+    parts = [[r["alias"] for r in distinct.where(F.pmod(F.xxhash64("alias"), F.lit(passes)) == k).collect()] for k in range(passes)]
+    matches = reduce(DataFrame.unionByName, [value_matches(text, part, strict) for part in parts if part] or [value_matches(text.limit(0), ["-"])])
+    found = matches.join(aliases.withColumnRenamed("ord", "test_ord"), "alias")
+    found = found.withColumn("raw_unit", F.when(F.size("units") > 0, F.coalesce(filled("captured"), F.get("units", F.lit(0)))).otherwise(""))
+    found = normalize_unit(found.withColumn("value", parse_number(F.col("raw"))), units, "raw_unit", "unit")
     if strict:
-        found = found.join(F.broadcast(units.select(F.lower("canonical").alias("__known")).distinct()), F.lower("unit") == F.col("__known"), "left_semi")
+        found = found.join(units.select(F.lower("canonical").alias("__known")).distinct(), F.lower("unit") == F.col("__known"), "left_semi")
     return found.select("doc_id", "id", "name", "value", "unit", "normal_min", "normal_max", "test_ord", "alias_ord", "match_no")
 
 
@@ -64,7 +106,7 @@ def extract_entities(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     tokens = docs.select("doc_id", F.posexplode(F.regexp_extract_all(normalize_text(F.col("text")), F.lit(r"(?U)\b[a-z0-9\-]{4,}\b"), F.lit(0))).alias("pos", "token"))
     names = F.array_distinct(F.concat(F.array("id"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a))))
     lookup = catalog.select("id", "ord", F.coalesce(filled("display_name"), F.col("id")).alias("name"), "category", F.explode(names).alias("token"))
-    hits = tokens.join(F.broadcast(lookup), "token")
+    hits = tokens.join(lookup, "token")
     return hits.groupBy("doc_id", "id", "name", "category", "ord").agg(F.min("pos").alias("first_pos"))
 
 

@@ -66,3 +66,24 @@ def test_entities_and_documents(spark):
     assert [m["id"] for m in got[1]["medicines"]] == ["acetaminophen"] and got[1]["tests"] == []
     assert got[2]["tests"] == [] and got[2]["medicines"] == [] and got[4]["tests"] == []
     assert [(t["id"], t["value"], t["unit"]) for t in got[3]["tests"]] == [("hb", 12.0, "g/dL")]
+
+
+def test_measurements_need_no_nested_loop(spark, capsys):
+    """All aliases are searched in one pass of a text: what overlaps, what a unit swallows, and aliases in several passes."""
+    catalog = spark.createDataFrame([("a", 0, "Iron", ["fe", "e"]), ("b", 1, "serum iron", ["b1"]), ("c", 2, "Iron", None)], "id string, ord long, display_name string, aliases array<string>").withColumn("unit", F.lit("mg/dl"))
+    docs = spark.createDataFrame([(1, "Serum Iron: 5 mg/dl fe 7 fe 8 b12 3"), (2, None), (3, "iron 1,200.5 iron 6"), (4, "no value: iron")], "doc_id long, text string")
+    units = spark.createDataFrame([("mg/dl", "mg/dL")], "variant string, canonical string")
+    want = [
+        (1, "a", "iron", 5.0, "mg/dL"), (1, "c", "iron", 5.0, "mg/dL"), (1, "b", "serum iron", 5.0, "mg/dL"), (1, "a", "fe", 7.0, "fe"), (1, "a", "e", 7.0, "fe"),
+        (1, "a", "e", 8.0, "b12"), (1, "b", "b1", 2.0, "mg/dL"), (3, "a", "iron", 1200.5, "iron"), (3, "c", "iron", 1200.5, "iron"),
+    ]
+    for most in (100_000, 2):
+        extract.ALIASES, kept = most, extract.ALIASES
+        found = extract.extract_measurements(docs, catalog, units)
+        extract.ALIASES = kept
+        rows = found.collect()
+        assert len(rows) == len(want) and {(r["doc_id"], r["id"], r["value"], r["unit"]) for r in rows} == {(d, i, v, u) for d, i, _, v, u in want}
+    capsys.readouterr()
+    found.explain()
+    assert "NestedLoop" not in capsys.readouterr().out
+    assert extract.extract_measurements(docs, catalog.limit(0), units).count() == 0
