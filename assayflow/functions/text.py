@@ -28,9 +28,9 @@ def parse_number(text: Column) -> Column:
 
 
 def normalize_unit(df: DataFrame, units: DataFrame, unit: str = "unit", out: str = "unit_normalized") -> DataFrame:
-    """The canonical spelling of units(variant, canonical), or the lower-case unit as it is. The unit table is a dictionary, joined by broadcast."""
+    """The canonical spelling of units(variant, canonical), or the lower-case unit as it is."""
     key = F.lower(F.trim(F.col(unit)))
-    u = F.broadcast(units.select(F.col("variant").alias("__variant"), F.col("canonical").alias("__canonical")).dropDuplicates(["__variant"]))
+    u = units.select(F.col("variant").alias("__variant"), F.col("canonical").alias("__canonical")).dropDuplicates(["__variant"])
     return df.join(u, key == F.col("__variant"), "left").withColumn(out, F.coalesce("__canonical", key)).drop("__variant", "__canonical")
 
 
@@ -42,7 +42,7 @@ def resolve_name(names: DataFrame, synonyms: DataFrame, aliases: DataFrame, name
     first = aliases.groupBy(F.lower("alias").alias("__k3")).agg(F.min_by("id", "ord").alias("__by_alias"))
     joined = names.withColumn("__key", key)
     for side, k in ((syn, "__k1"), (own, "__k2"), (first, "__k3")):
-        joined = joined.join(F.broadcast(side), F.col("__key") == F.col(k), "left")
+        joined = joined.join(side, F.col("__key") == F.col(k), "left")
     return joined.withColumn(out, F.coalesce("__by_synonym", "__by_id", "__by_alias")).drop("__key", "__k1", "__k2", "__k3", "__by_synonym", "__by_id", "__by_alias")
 
 

@@ -65,7 +65,7 @@ def is_priority(component: Column, patterns: list[str] | None = None) -> Column:
 
 def class_filter(classes: DataFrame, categories: DataFrame | None) -> DataFrame:
     """Only the classes of some categories(category); all of them without a restriction."""
-    return classes if categories is None else classes.join(F.broadcast(categories.select("category").distinct()), "category", "left_semi")
+    return classes if categories is None else classes.join(categories.select("category").distinct(), "category", "left_semi")
 
 
 def attach_reference_ranges(codes: DataFrame, component: str = "COMPONENT", ranges: list[tuple] | None = None, by_sex: dict | None = None) -> DataFrame:

@@ -43,17 +43,17 @@ def medicine_chunks(catalog: DataFrame) -> DataFrame:
 
 
 def assign_batches(chunks: DataFrame, order: str = "ord", size: int = 64) -> DataFrame:
-    """Adds batch: consecutive groups of `size` in order, for a remote client.
+    """Adds batch: consecutive groups of `size` in order, for a remote client. Rows without order come first; ties are ordered by the other columns.
 
     Positions come from counts of ranges of the order column and not from one sorted task: rows of a range are
-    numbered among themselves and start after the counts of the ranges before. Ties keep an arbitrary order.
+    numbered among themselves and start after the counts of the ranges before.
     """
-    bucket = F.floor(F.col(order) / 100_000)
+    bucket = F.coalesce(F.floor(F.col(order) / 100_000), F.lit(-(1 << 62)))
     counts = chunks.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    own = Window.partitionBy("__b").orderBy(order)
-    rows = chunks.withColumn("__b", bucket).join(F.broadcast(starts), "__b")
+    own = Window.partitionBy("__b").orderBy(F.col(order).asc_nulls_first(), F.xxhash64(*[c for c in chunks.columns if c != order] or [order]))
+    rows = chunks.withColumn("__b", bucket).join(starts, "__b")
     return rows.withColumn("batch", F.floor((F.col("__before") + F.row_number().over(own) - 1) / size)).drop("__b", "__before")
 
 

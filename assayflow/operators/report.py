@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayflow.functions.text import filled, float_text
 
-#: Wording of reports.
+#: Wording of reports, here and in the questions, steps and summaries below.
 DISCLAIMER = "This explanation is automated and not a medical diagnosis. Always consult your doctor."
 PURPOSE = "Prescribed by your doctor."
 
@@ -34,7 +34,7 @@ def classify_severity(measurements: DataFrame, value: str = "value", low: str =
 
 def enrich_measurements(measurements: DataFrame, catalog: DataFrame) -> DataFrame:
     """Measurements(id, name, value, unit, normal_min, normal_max) with severity and the wording of catalog(id, display_name, meaning, normal_meaning, common_causes)."""
-    words = F.broadcast(catalog.select(F.col("id").alias("__id"), F.col("display_name").alias("__display"), F.col("meaning").alias("__meaning"), F.col("normal_meaning").alias("__normal"), F.col("common_causes").alias("__causes")))
+    words = catalog.select(F.col("id").alias("__id"), F.col("display_name").alias("__display"), F.col("meaning").alias("__meaning"), F.col("normal_meaning").alias("__normal"), F.col("common_causes").alias("__causes"))
     m = classify_severity(measurements).join(words, F.col("id") == F.col("__id"), "left")
     name = F.coalesce(filled("__display"), filled("name"), F.lit("Unknown"))
     unit = F.coalesce("unit", F.lit(""))
@@ -69,7 +69,7 @@ def enrich_medicines(medicines: DataFrame, catalog: DataFrame) -> DataFrame:
     opt = lambda c, t: F.col(c) if c in have else F.lit(None).cast(t)
     own = catalog.select(F.col("id").alias("__id"), F.col("display_name").alias("__display"), opt("purpose", "string").alias("__purpose"), *[opt(c, "string").alias(c) for c in texts], *[opt(c, "array<string>").alias(c) for c in lists])
     base = medicines.drop(*texts, *lists, "purpose")
-    m = base.join(F.broadcast(own), F.col("id") == F.col("__id"), "left")
+    m = base.join(own, F.col("id") == F.col("__id"), "left")
     cut = {c: F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, 3) for c in lists}
     return m.withColumns({"name": F.coalesce(filled("__display"), "name"), "purpose": F.coalesce(filled("__purpose"), F.lit(PURPOSE)), **cut}).drop("__id", "__display", "__purpose")
 
@@ -85,19 +85,31 @@ def document_counts(reports: DataFrame) -> DataFrame:
     return reports.select("job_id", F.size("doc.abnormal_values").alias("abnormal"), F.size("doc.normal_values").alias("normal"), F.size("doc.medicines").alias("medicines"), F.round(F.col("doc.confidence_score") * 100).cast("int").alias("confidence_percent"))
 
 
+#: Severities that call for advice at once.
+URGENT = ("severe", "critical")
+
+
+def first_questions(lists: Column, most: int = 8) -> Column:
+    """The questions of lists in order, each once, the first `most`."""
+    return F.slice(F.array_distinct(F.flatten(lists)), 1, most)
+
+
+def steps(abnormal: Column, urgent: Column) -> Column:
+    """What to do, by whether anything is abnormal and how badly."""
+    bad = F.array_compact(F.array(F.lit("Consult your doctor within 1–2 weeks"), F.when(urgent, "Seek medical advice urgently"), F.lit("Repeat abnormal tests if advised")))
+    return F.when(abnormal, bad).otherwise(F.array(F.lit("Continue healthy habits"), F.lit("Repeat routine tests in 6–12 months")))
+
+
 def build_questions(enriched: DataFrame, doc: str = "doc_id", order: tuple = ("pos",), most: int = 8) -> DataFrame:
     """doc_id, questions: those of the abnormal values in order, each once, the first `most`."""
     rows = F.array_sort(F.collect_list(F.when(F.col("is_abnormal"), F.struct(*order, "questions"))))
-    return enriched.groupBy(doc).agg(F.slice(F.array_distinct(F.flatten(F.transform(rows, lambda r: r["questions"]))), 1, most).alias("questions"))
+    return enriched.groupBy(doc).agg(first_questions(F.transform(rows, lambda r: r["questions"]), most).alias("questions"))
 
 
 def build_next_steps(enriched: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """doc_id, next_steps: what to do, by whether anything is abnormal and how badly."""
-    urgent = F.coalesce(F.bool_or(F.col("is_abnormal") & F.col("severity").isin("severe", "critical")), F.lit(False))
-    g = enriched.groupBy(doc).agg(F.coalesce(F.bool_or("is_abnormal"), F.lit(False)).alias("any"), urgent.alias("urgent"))
-    bad = F.array_compact(F.array(F.lit("Consult your doctor within 1–2 weeks"), F.when(F.col("urgent"), "Seek medical advice urgently"), F.lit("Repeat abnormal tests if advised")))
-    good = F.array(F.lit("Continue healthy habits"), F.lit("Repeat routine tests in 6–12 months"))
-    return g.select(doc, F.when(F.col("any"), bad).otherwise(good).alias("next_steps"))
+    """doc_id, next_steps of its values."""
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return enriched.groupBy(doc).agg(steps(some(F.col("is_abnormal")), some(F.col("is_abnormal") & F.col("severity").isin(*URGENT))).alias("next_steps"))
 
 
 def rule_based_report(docs: DataFrame, measurements: DataFrame, medicines: DataFrame, tests: DataFrame, drugs: DataFrame, order: tuple = ("pos",), drug_order: tuple = ("first_pos", "ord")) -> DataFrame:
@@ -111,14 +123,15 @@ def rule_based_report(docs: DataFrame, measurements: DataFrame, medicines: DataF
     values = values.withColumn("normal_values", F.transform("normal_values", lambda e: e.dropFields("severity", "common_causes", "what_to_ask_doctor")))
     block = F.struct("name", "generic_name", "purpose", "mechanism", "how_to_take", "common_side_effects", "serious_side_effects", "drug_interactions", "precautions", "generic_alternative", "lifestyle_tips")
     meds = enrich_medicines(medicines, drugs).withColumn("entry", block).groupBy("doc_id").agg(in_order(F.collect_list(F.struct(*drug_order, "entry"))).alias("medicines"))
-    out = docs.select("doc_id")
-    for side in (values, meds, build_questions(m, order=order).withColumnRenamed("questions", "questions_to_ask_doctor"), build_next_steps(m)):
-        out = out.join(side, "doc_id", "left")
+    out = docs.select("doc_id").join(values, "doc_id", "left").join(meds, "doc_id", "left")
     none = lambda c: F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType))
-    n = F.size(none("abnormal_values"))
+    out = out.select("doc_id", *[none(c).alias(c) for c in ("abnormal_values", "normal_values", "medicines")])
+    # Questions and steps follow from the abnormal values, which are in order already.
+    bad = F.col("abnormal_values")
+    n = F.size(bad)
     summary = F.when(n > 0, F.concat(n.cast("string"), F.lit(" value(s) are outside the normal range."))).otherwise("All detected values are within normal ranges.")
-    quiet = F.array(F.lit("Continue healthy habits"), F.lit("Repeat routine tests in 6–12 months"))
     return out.select(
-        "doc_id", F.lit(DISCLAIMER).alias("disclaimer"), none("abnormal_values").alias("abnormal_values"), none("normal_values").alias("normal_values"), none("medicines").alias("medicines"), summary.alias("overall_summary"),
-        F.lit("routine").alias("urgency_level"), none("questions_to_ask_doctor").alias("questions_to_ask_doctor"), F.coalesce("next_steps", quiet).alias("next_steps"), F.lit(0.25).cast("double").alias("confidence_score"),
+        "doc_id", F.lit(DISCLAIMER).alias("disclaimer"), "abnormal_values", "normal_values", "medicines", summary.alias("overall_summary"), F.lit("routine").alias("urgency_level"),
+        first_questions(F.transform(bad, lambda e: e["what_to_ask_doctor"])).alias("questions_to_ask_doctor"), steps(n > 0, F.exists(bad, lambda e: e["severity"].isin(*URGENT))).alias("next_steps"),
+        F.lit(0.25).cast("double").alias("confidence_score"),
     )

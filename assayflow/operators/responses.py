@@ -11,6 +11,8 @@ from assayflow.operators.sanitize import kind, sanitize_column
 REQUIRED = ["disclaimer", "input_summary", "abnormal_values", "normal_values", "medicines", "overall_summary", "questions_to_ask_doctor", "next_steps", "confidence_score"]
 RAW_CHARS, LONG_TEXT = 8000, 500
 HEAVY_TOKENS, LIGHT_TOKENS = 4096, 2048
+#: Fixed value: a fenced block of a response.
+FENCE = r"(?s)```(?:json)?\s*\n?(.*?)```"
 
 
 def repair_json(responses: DataFrame, text: str = "text") -> DataFrame:
@@ -19,7 +21,7 @@ def repair_json(responses: DataFrame, text: str = "text") -> DataFrame:
     The first of three that parses: the stripped text, its first fenced block, its first `{` to last `}`.
     """
     t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    fence = F.regexp_extract(t, r"(?s)```(?:json)?\s*\n?(.*?)```", 1)
+    fence = F.regexp_extract(t, FENCE, 1)
     braces = F.regexp_extract(t, r"(?s)\{.*\}", 0)
     tries = {"whole": F.try_parse_json(t), "fence": F.try_parse_json(F.nullif(F.trim(fence), F.lit(""))), "braces": F.try_parse_json(F.nullif(braces, F.lit("")))}
     stage = F.lit(None).cast("string")

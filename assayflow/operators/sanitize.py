@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from assayflow.functions.text import float_text
 
 #: Words of dosages, and the enumerations of the schema.
-DOSAGE = (
-    "tablets? tab capsules? cap sachet drop drops syrup injection inj patch cream ointment gel inhaler spray "
-    "suppository lotion solution once twice thrice daily weekly"
-).split()
+DOSAGE = [
+    "tablets?", "tab", "capsules?", "cap", "sachet", "drop", "drops", "syrup", "injection", "inj", "patch", "cream", "ointment", "gel", "inhaler", "spray",
+    "suppository", "lotion", "solution", "once", "twice", "thrice", "daily", "weekly",
+]
 URGENCY = ["routine", "soon", "urgent", "emergency"]
 SEVERITY = ["mild", "moderate", "severe", "critical", "low", "high", "unknown"]
 TEST_TEXTS = [("test_name", "Unknown"), ("value", ""), ("normal_range", ""), ("what_it_means", "")]
