@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -36,22 +37,31 @@ def rate_limit(requests: DataFrame, limit: int = 10, window_s: int = 60) -> Data
     """Each of requests(event_id, key, ts) with its window, its number in it and whether it is allowed.
 
     A window opens at a key's first request after the last one closed and lasts window_s; refused requests
-    count. The next window depends on the one before, so a key is walked in order: rows stream through the
-    task sorted by key and time, and only the open window is held. Rows without key or time are left out.
+    count. After a pause of a window's length a new one opens in any case, so a key's requests are cut into runs
+    at such pauses and dealt by key and run. Within a run the next window depends on the one before: rows stream
+    through the task in order, and only the open window is held. Rows without key or time are left out.
     """
-    window = pd.Timedelta(seconds=window_s)
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, start, n = None, None, 0
-        for frame in frames:
-            for key, rows in frame.groupby("key", sort=False):
-                if key != last:
-                    last, start, n = key, None, 0
-                out, start, n = _counted(rows, start, n, limit, window)
-                yield out
-
-    rows = requests.select("event_id", "key", "ts").where(F.col("key").isNotNull() & F.col("ts").isNotNull())
-    return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(walk, LIMITED)
+    rows = requests.select("event_id", "key", F.col("ts").cast("timestamp").alias("ts")).where(F.col("key").isNotNull() & F.col("ts").isNotNull())
+    order = Window.partitionBy("key").orderBy("ts", "event_id")
+    opens = F.coalesce(F.col("ts") >= F.timestamp_add("SECOND", F.lit(window_s), F.lag("ts").over(order)), F.lit(True))
+    rows = rows.withColumn("opens", opens).withColumn("run", F.max(F.when(F.col("opens"), F.col("ts"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    width = window_s * 1_000_000
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n = None, 0, 0
+        for batch in batches:
+            starts, counts = [], []
+            ts = batch.column("ts").cast(pa.timestamp("us", "UTC"))
+            for run, t in zip(zip(batch.column("key").to_pylist(), batch.column("run").cast(pa.int64()).to_pylist(), strict=True), ts.cast(pa.int64()).to_pylist(), strict=True):
+                if run != last or t >= start + width:
+                    last, start, n = run, t, 0
+                n += 1
+                starts.append(start)
+                counts.append(n)
+            allowed = pa.array([c <= limit for c in counts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("key"), ts, pa.array(starts, pa.int64()).cast(ts.type), pa.array(counts, pa.int32()), allowed], names=["event_id", "key", "ts", "window_start", "n", "allowed"])
+
+    return rows.repartition("key", "run").sortWithinPartitions("key", "run", "ts", "event_id").select("event_id", "key", "ts", "run").mapInArrow(walk, LIMITED)
 
 
 class Limiter(StatefulProcessor):
@@ -96,44 +106,49 @@ ALERT = "job_id long, stuck_since timestamp"
 
 
 class StuckAlerts(StatefulProcessor):
+    """Holds a job's newest event until its time is over; events older than that change nothing."""
+
     def __init__(self, timeout_s: int):
         self.ms = timeout_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.since = handle.getValueState("since", T.StructType([T.StructField("ts", T.TimestampType())]))
+        self.newest = handle.getValueState("newest", T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("status", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ts")
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        last = frame.iloc[-1]
-        if last["status"] == "processing":
-            self.since.update((last["ts"].to_pydatetime(),))
-            self.handle.registerTimer(int(last["ts"].timestamp() * 1000) + self.ms)
-        else:
-            self.since.clear()
+        newest = tuple(self.newest.get()) if self.newest.exists() else None
+        for frame in rows:
+            last = frame.sort_values(["ts", "status"]).iloc[-1]
+            own = (last["ts"].to_pydatetime(), last["status"])
+            newest = own if newest is None or own >= newest else newest
+        if not self.newest.exists() or newest != tuple(self.newest.get()):
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+            self.newest.update(newest)
+            self.handle.registerTimer(int(pd.Timestamp(newest[0]).timestamp() * 1000) + self.ms)
         yield pd.DataFrame({"job_id": pd.Series([], dtype="int64"), "stuck_since": pd.Series([], dtype="datetime64[ns]")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.since.exists():
-            yield pd.DataFrame({"job_id": [key[0]], "stuck_since": pd.to_datetime([self.since.get()[0]])})
-            self.since.clear()
+        ts, status = self.newest.get()
+        if status == "processing":
+            yield pd.DataFrame({"job_id": [key[0]], "stuck_since": pd.to_datetime([ts])})
+        self.newest.clear()
 
     def close(self) -> None:
         pass
 
 
 def stuck_alerts_stream(events: DataFrame, timeout_s: int = 600, delay: str = "0 seconds") -> DataFrame:
-    """A job of events(job_id, ts, status) that stays in processing for timeout_s of event time; every event re-arms the timer."""
+    """A job of events(job_id, ts, status) whose newest event leaves it in processing for timeout_s of event time; a newer event re-arms the timer, an older one doesn't."""
     return events.select("job_id", "ts", "status").withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(statefulProcessor=StuckAlerts(timeout_s), outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
 
 
 def stuck_alerts(events: DataFrame, now: str, timeout_s: int = 600) -> DataFrame:
-    """The batch twin: jobs whose last event before now left them in processing for longer than timeout_s."""
-    last = events.groupBy("job_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("stuck_since"))
-    late = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("stuck_since")) < F.lit(now).cast("timestamp")
-    return last.where((F.col("status") == "processing") & late).select("job_id", "stuck_since")
+    """The batch twin: jobs whose last event up to now left them in processing for longer than timeout_s."""
+    now = F.lit(now).cast("timestamp")
+    last = events.where(F.col("ts") <= now).groupBy("job_id").agg(F.max(F.struct("ts", "status")).alias("newest"))
+    late = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("newest.ts")) < now
+    return last.where((F.col("newest.status") == "processing") & late).select("job_id", F.col("newest.ts").alias("stuck_since"))
 
 
 CACHED = "job_id long, doc string, written_at timestamp, live boolean"
@@ -188,11 +203,21 @@ def stream_extract(tests: DataFrame, medicines: DataFrame, units: DataFrame, pat
     return write
 
 
+STATE_STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", write: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Run a stream over what is there now; its output (or what `write` makes of each batch) is under the returned path in the shared folder."""
+    """Run a stream over what is there now; its output (or what `write` makes of each batch) is under the returned path in the shared folder.
+
+    Timers need the state store of session(); a session with another one has it back after the run.
+    """
     spark: SparkSession = stream.sparkSession
     path = shared_path(spark, name)
     rows = write or (lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
-    q = stream.writeStream.outputMode(mode).foreachBatch(rows).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        stream.writeStream.outputMode(mode).foreachBatch(rows).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
     return path

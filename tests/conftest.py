@@ -9,7 +9,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("P
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from assayflow.session import session
 
     s = session(
@@ -17,6 +17,7 @@ def spark():
         **{
             "spark.master": "local[4]",
             "spark.sql.shuffle.partitions": "4",
+            "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "3g",
             "spark.ui.showConsoleProgress": "false",

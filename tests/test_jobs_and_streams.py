@@ -1,11 +1,13 @@
 """Job tables, and streams against their batch twins."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from assayflow.operators import jobs, knowledge, report
-from assayflow.sources import files
+from assayflow.sources import files, shared
 from assayflow.streaming import stateful
 
 NOW = "2024-01-31 00:00:00"
@@ -75,14 +77,84 @@ def test_rate_limit(spark, tmp_path):
     schema = "event_id long, key long, ts timestamp"
     batch = {(r["event_id"], r["n"], r["allowed"]) for r in stateful.rate_limit(spark.createDataFrame(rows, schema), 2, 60).collect()}
     assert batch == {(1, 1, True), (2, 2, True), (3, 1, True), (4, 2, True), (5, 3, False), (6, 1, True), (7, 1, True)}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = write_batches(spark, tmp_path, [rows[:2], rows[2:4], rows[4:]], schema)
     path = stateful.run_to_table(stateful.rate_limit_stream(stream, 2, 60), "rate-test")
     assert {(r["event_id"], r["n"], r["allowed"]) for r in spark.read.parquet(path).collect()} == batch
 
 
+def test_rate_limit_over_pauses(spark):
+    """Against a walk over each client's requests, with pauses shorter, equal and longer than a window."""
+    rng = random.Random(3)
+    rows, t = [], 0
+    for i in range(600):
+        t += rng.choice((0, 1, 5, 30, 59, 60, 61, 300)) * 1_000_000
+        rows.append((i, rng.randrange(3), dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=t)))
+    rows += [(9000, None, rows[0][2]), (9001, 1, None)]
+    want, opened = {}, {}
+    for i, key, ts in rows[:600]:
+        start, n = opened.get(key, (None, 0))
+        start, n = (ts, 1) if start is None or ts >= start + dt.timedelta(seconds=60) else (start, n + 1)
+        opened[key] = (start, n)
+        want[i] = (start, n, n <= 2)
+    got = stateful.rate_limit(spark.createDataFrame(rows, "event_id long, key long, ts timestamp"), 2, 60).collect()
+    assert {r["event_id"]: (r["window_start"], r["n"], r["allowed"]) for r in got} == want
+
+
+def test_stuck_alerts_out_of_order(spark, tmp_path):
+    """An older event that comes late neither arms nor clears anything; a newer one does both."""
+    e = [
+        [(1, "00:10:00", "completed"), (2, "00:10:00", "processing"), (3, "00:10:00", "processing")],
+        [(1, "00:05:00", "processing"), (2, "00:05:00", "completed"), (3, "00:12:00", "completed")],
+        [(4, "03:00:00", "queued")],
+        [(4, "04:00:00", "queued")],
+    ]
+    batches = [[(j, at(f"2024-01-01 {t}"), s) for j, t, s in b] for b in e]
+    schema = "job_id long, ts timestamp, status string"
+    path = stateful.run_to_table(stateful.stuck_alerts_stream(write_batches(spark, tmp_path, batches, schema), 600, "30 minutes"), "late-test")
+    batch = stateful.stuck_alerts(spark.createDataFrame([r for b in batches for r in b], schema), "2024-01-01 03:30:00", 600)
+    assert {tuple(r) for r in spark.read.parquet(path).select("job_id", "stuck_since").collect()} == {tuple(r) for r in batch.collect()} == {(2, at("2024-01-01 00:10:00"))}
+
+
+def test_results_of_a_repeated_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "job_id long, text string")
+    doc = F.struct(F.col("text").alias("overall_summary"), F.lit(0.5).alias("confidence_score"))
+    rows = rows.select("job_id", doc.alias("doc"), F.lit(3).alias("processing_time"), F.lit("p").alias("llm_provider"), F.lit("m").alias("model"))
+    for batch, ids in ((0, (1,)), (1, (2,)), (0, (1,))):
+        files.store_results(rows.where(F.col("job_id").isin(*ids)), str(tmp_path / "results"), NOW, batch)
+    assert sorted(r["job_id"] for r in spark.read.parquet(str(tmp_path / "results")).collect()) == [1, 2]
+
+
+def test_code_lists_of_several_files(spark, tmp_path):
+    for name, text in (("b.csv", 'A,B\n1,"x\ny"\n2,\n'), ("a.csv", "A,B\n3,z\n")):
+        (tmp_path / name).write_text(text)
+    got = [(r["row_no"], r["A"], r["B"]) for r in files.read_lab_codes(spark, str(tmp_path)).orderBy("row_no").collect()]
+    assert got == [(0, "3", "z"), (1, "1", "x\ny"), (2, "2", "")]
+
+
+def test_batches_of_nulls_and_ties(spark):
+    rows = [(None, "n")] * 3 + [(5, "b"), (5, "a"), (5, "c"), (200_001, "z")]
+    df = spark.createDataFrame([(o, x, i) for i, (o, x) in enumerate(rows)], "ord long, content string, i long")
+    got = [[(r["i"], r["batch"]) for r in knowledge.assign_batches(df.repartition(n, "i"), size=2).orderBy("i").collect()] for n in (1, 3)]
+    assert got[0] == got[1] and sorted(b for _, b in got[0]) == [0, 0, 1, 1, 2, 2, 3]
+    assert {b for i, b in got[0] if i < 3} == {0, 1} and got[0][6] == (6, 3)
+
+
+def test_shared_folder(monkeypatch):
+    class Session:
+        def __init__(self, master, folder=None):
+            self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+            self.sparkContext = self
+            self.master = master
+            self.getConf = lambda: {}
+
+    assert shared.shared_dir(Session("spark://host:7077", "s3://bucket/x/")) == "s3://bucket/x"
+    assert shared.shared_dir(Session("local[4]")).startswith("file:///")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match=r"spark.checkpoint.dir"):
+            shared.shared_dir(Session(master))
+
+
 def test_stuck_and_cached(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = [(1, "2024-01-01 00:00:00", "processing"), (2, "2024-01-01 00:00:00", "processing"), (1, "2024-01-01 00:05:00", "completed"), (3, "2024-01-01 02:00:00", "queued"), (3, "2024-01-01 03:00:00", "queued")]
     rows = [(j, at(t), s) for j, t, s in e]
     schema = "job_id long, ts timestamp, status string"
@@ -95,7 +167,6 @@ def test_stuck_and_cached(spark, tmp_path):
 
 
 def test_latest_cached_stream(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     c = [(1, "old", "2024-01-01 00:00:00", 3600), (1, "new", "2024-01-01 00:10:00", 3600), (2, "short", "2024-01-01 00:00:00", 60), (1, "older", "2024-01-01 00:05:00", 3600), (3, "late", "2024-01-01 00:40:00", 3600), (3, "later", "2024-01-01 00:50:00", 3600)]
     rows = [(j, d, at(t), ttl) for j, d, t, ttl in c]
     schema = "job_id long, doc string, written_at timestamp, ttl_sec int"
