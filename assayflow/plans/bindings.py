@@ -112,8 +112,12 @@ SELECT user_id AS job_id, ts, CASE WHEN event_id % 4 = 3 THEN 'completed' ELSE '
 
 
 def cache_rows(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.select(F.col("user_id").alias("job_id"), F.concat(F.lit("doc "), F.col("event_id").cast("string")).alias("doc"), F.col("ts").alias("written_at"), F.when(F.col("event_id") % 2 == 0, 3600).otherwise(86400).alias("ttl_sec"))
+    return cache_rows_of(table(spark, d, "events"))
+
+
+def cache_rows_of(e: DataFrame) -> DataFrame:
+    """Events as cached documents of a user's job."""
+    return e.select(F.col("user_id").alias("job_id"), F.concat(F.lit("doc "), F.col("event_id").cast("string")).alias("doc"), F.col("ts").cast("timestamp").alias("written_at"), F.when(F.col("event_id") % 2 == 0, 3600).otherwise(86400).alias("ttl_sec"))
 
 
 CACHE_SQL = "SELECT user_id AS job_id, 'doc ' || event_id AS doc, ts AS written_at, CASE WHEN event_id % 2 = 0 THEN 3600 ELSE 86400 END AS ttl_sec FROM events"
@@ -158,6 +162,9 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
             F.array(F.lit("q")).alias("questions_to_ask_doctor"), F.array(F.lit("s")).alias("next_steps"), F.when(F.col("conv_id") % 3 == 0, "0.75").otherwise("x").alias("confidence_score"), F.lit("URGENT").alias("urgency_level"),
         )
     )
+    # Every seventh conversation has a number among its steps, and every eleventh text in place of an analysis.
+    doc = F.when(F.col("conv_id") % 7 == 0, F.replace(doc, F.lit('"next_steps":["s"]'), F.lit('"next_steps":[7]'))).otherwise(doc)
+    doc = F.when(F.col("conv_id") % 11 == 0, F.replace(doc, F.lit('"urgency_level":"URGENT"'), F.lit('"urgency_level":"URGENT","pattern_analysis":"x"'))).otherwise(doc)
     wrapped = (
         F.when(F.col("conv_id") % 4 == 0, doc).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("Here:\n```json\n"), doc, F.lit("\n```")))
         .when(F.col("conv_id") % 4 == 2, F.concat(F.lit("Sure. "), doc, F.lit(" Done."))).otherwise(F.concat(F.substring(doc, 1, 40)))
