@@ -14,6 +14,8 @@ def session(name: str = "assayflow", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.variant.allowDuplicateKeys": "true",
+        # Otherwise each step of building an expression walks the Python stack, which takes longer than the step.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | conf
     for k, v in settings.items():
