@@ -1,4 +1,7 @@
-"""Vectorised hashes of words and word shingles, the same in every process."""
+"""Vectorised hashes of words and word shingles, the same in every process.
+
+Equal hashes stand for equal strings: two different ones agree with odds of about 2^-64.
+"""
 
 from __future__ import annotations
 

@@ -23,7 +23,7 @@ def boilerplate_lines(pages: DataFrame, host: str, text: str, max_ratio: float,
     a distinct line move; the few keys above the threshold are then counted again by the line itself, so
     that no collision of keys can make a line boilerplate.
     """
-    totals = pages.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("total"))
+    totals = stored(pages.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("total")), "line-totals")
     lines = pages.select(F.col(host).alias("host"), F.explode(page_lines(F.col(text))).alias("line")).withColumn("key", F.xxhash64("line"))
     frequent = (F.col("pages") >= min_pages) & (F.col("pages") > max_ratio * F.col("total"))
 
@@ -44,10 +44,10 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", max_
     host of its own. A null text stays null with 0 lines; blank lines are counted but never dropped; all
     other columns pass through. Lines are compared without spaces around them; kept lines keep theirs.
     The boilerplate of one host holds at most (lines a page) / max_ratio lines, so it fits a row; the table
-    of all hosts is broadcast only if it is counted to be small.
+    of all hosts is broadcast only if it is counted to be small; else, as a stored table, it is joined in parts where a host is large.
     """
     found = stored(boilerplate_lines(pages, host, text, max_ratio, min_pages), "boilerplate")
-    by_host = found.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__boilerplate"))
+    by_host = stored(found.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__boilerplate")), "boilerplate-hosts")
     joined = pages.join(small(by_host), pages[host].eqNullSafe(F.col("__host")), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__boilerplate"), F.trim(x)))

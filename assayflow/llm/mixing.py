@@ -17,7 +17,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: int
     Weights repeat over the sources in code point order, null last. The excess over a cap is shared again
     by weight until none is above: with the sources ordered by cap / weight, a prefix is capped and one
     rate serves the rest. Running sums give the rate for each length of that prefix; of those that keep the
-    next source under its cap the largest is right, as capping more sources only lowers it. One row a source.
+    next source under its cap the largest is right, as capping more sources only lowers it. There is one row a
+    source, and these rows are ordered in one task: sources are named corpora, thousands at most, and not hosts.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))

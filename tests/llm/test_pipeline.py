@@ -56,6 +56,16 @@ def test_without_labels(spark):
     assert sorted((r["text"], r["lang"]) for r in corpus_pipeline.language(spark, docs, "").collect()) == [("no id", "en"), ("plain words", "und"), ("中文", "und")]
 
 
+def test_near_duplicates_of_odd_ids(spark):
+    """A row without id stays; of the rows of one id one stays, whatever their order; copies of any of its texts are its copies."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4)]
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[2]), (2, texts[2]), (3, texts[2] + " x"), (4, texts[3]), (None, texts[3]), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(n, "text"), "").collect()), key=str) for n in (1, 4)]
+    assert kept[0] == kept[1] and [i for i, _ in kept[0]] == [1, 2, 4, 5, None]
+
+
 def test_empty(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:

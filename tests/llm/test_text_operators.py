@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assayflow.llm import bpe, gif, line_dedup, mixing, token_files
+from assayflow.llm import ann, bpe, gif, line_dedup, mixing, token_files
 from assayflow.llm.pieces import Memory, splitter
 from assayflow.sources.shared import shared_path
 
@@ -166,3 +166,19 @@ def test_mixing(spark, odd_docs, no_docs):
     assert all(abs(taken[s] - target[s]) <= 40 for s in sizes)
     assert sorted(map(tuple, mixing.mix_sources(df).collect())) == sorted(map(tuple, got.values()))
     assert mixing.mix_sources(odd_docs).count() == odd_docs.count() and mixing.mix_sources(no_docs).count() == 0
+
+
+def test_without_broadcasts(spark, odd_docs, monkeypatch):
+    """Where no table is small enough to be broadcast, joins are shuffled and the results are the same."""
+    rows = [(i, "a" if i % 3 else None, f"boiler\n line {i % 7} \nunique {i}") for i in range(60)] + [(100, "b", "boiler"), (101, "c", None)]
+    pages = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    vectors = spark.createDataFrame([(i, [float(i % 13), float(i % 7), 1.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    runs = {
+        line_dedup: lambda: line_dedup.dedup_lines(pages, max_ratio=0.1, min_pages=5).select("doc_id", "n_lines", "n_dropped", "text"),
+        mixing: lambda: mixing.mix_sources(pages),
+        ann: lambda: ann.search(vectors),
+    }
+    for module, run in runs.items():
+        want = sorted(map(tuple, run().collect()), key=str)
+        monkeypatch.setattr(module, "small", lambda d, max_rows=0: d)
+        assert sorted(map(tuple, run().collect()), key=str) == want and want
