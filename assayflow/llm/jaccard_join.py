@@ -280,7 +280,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     copies = stored(ids.join(first, "node").where(F.col("doc_id") != F.col("first")).select("doc_id", "node").distinct(), "jaccard-copies")
     texts = rows.join(small(copies, 1_000_000), ["doc_id", "node"], "left_anti")
     met = stored(buckets(texts), "jaccard-met")
-    members = stored(ids.join(met.where(F.col("sign").isNull()).select("node", "size").distinct(), "node"), "jaccard-members")
+    sizes = stored(met.where(F.col("sign").isNull()).select("node", "size").distinct(), "jaccard-sizes")
+    members = stored(ids.join(sizes, "node"), "jaccard-members")
     met = met.where(F.col("sign").isNotNull())
     pairs = stored(star_pairs(met), "jaccard-stars")
     involved = small(stored(met.select("node").distinct(), "jaccard-involved"), 500_000)
