@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import small, stored
@@ -165,10 +165,12 @@ def sorted_shards(cut: DataFrame) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, h, text, wanted) -> starts of strings that also start earlier, of anchors with too many differing segments for one shard.
+    """docs(doc_id, h, text, wanted) -> ranges of starts of strings that also start earlier, of anchors with too many differing segments for one shard.
 
     Each string of LENGTH bytes is a row by itself, with two 64-bit hashes of its bytes, by which equal strings
-    meet: N strings have one wrong pair with odds of N * N / 2^129. Texts are cut in the same Python worker.
+    meet: N strings have one wrong pair with odds of N * N / 2^129. What is summed up are first places, so a string
+    may be in any share of the rows; the starts of a segment that are no first ones are its ranges. Texts are cut in
+    the same Python worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +190,20 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
                 lo = pa.array((batch.column("lo").to_numpy()[spread] + inner).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([own[0], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), own[1], own[2], lo], names=["anchor", "h1", "h2", "doc_id", "h", "lo"])
 
-    starts = stored(docs.mapInArrow(run, "anchor long, h1 long, h2 long, doc_id long, h long, lo int"), "suffix-starts")
-    return later(starts, "anchor", "h1", "h2").select("doc_id", "h", "lo", F.lit(1).alias("n"))
+    starts = docs.mapInArrow(run, "anchor long, h1 long, h2 long, doc_id long, h long, lo int")
+    first = starts.groupBy("anchor", "h1", "h2").agg(F.min(F.struct("doc_id", "h", "lo")).alias("first"))
+    firsts = stored(first.groupBy("first.doc_id", "first.h").agg(F.collect_list("first.lo").alias("firsts")), "suffix-firsts")
+
+    def ranges(w: Column) -> Column:
+        """Runs of a segment's starts that are no first ones."""
+        again = F.array_except(F.sequence(w["lo"], w["lo"] + w["n"] - 1), F.coalesce("firsts", F.array().cast("array<int>")))
+        inner = F.array(again)
+        begins = F.flatten(F.transform(inner, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1) != x - 1))))
+        ends = F.flatten(F.transform(inner, lambda a: F.filter(a, lambda x, i: (i == F.size(a) - 1) | (F.get(a, i + 1) != x + 1))))
+        return F.zip_with(begins, ends, lambda x, y: F.struct(x.alias("lo"), (y - x + 1).alias("n")))
+
+    own = docs.select("doc_id", "h", "wanted").join(firsts, ["doc_id", "h"], "left")
+    return own.select("doc_id", "h", F.inline(F.flatten(F.transform("wanted", ranges))))
 
 
 def later(places: DataFrame, *key: str) -> DataFrame:
@@ -234,13 +248,19 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         return few.join(wanted, ["doc_id", "h"])
 
     dealt, spread = marked.where(~F.col("spread")), marked.where("spread")
-    found = [dealt.where("repeats").select("doc_id", "h", "lo", "n"), sorted_shards(cut_texts(with_wanted(dealt.where(~F.col("repeats") & ~F.col("hot")))))]
+    found = [dealt.where("repeats").select("doc_id", "h", "lo", "n")]
     hot = dealt.where(~F.col("repeats") & F.col("hot")).select("anchor", "doc_id", "h", "lo", "n")
+    cold = dealt.where(~F.col("repeats") & ~F.col("hot")).select("anchor", "doc_id", "h", "lo", "n")
     if not often.isEmpty():
-        repeats = stored(later(spread.select("anchor", "segment", "doc_id", "h", "lo", "n"), "anchor", "segment"), "suffix-later")
-        found.append(repeats.select("doc_id", "h", "lo", "n"))
-        firsts = spread.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "h", "lo", "n")).alias("first"))
-        hot = hot.unionByName(firsts.select("anchor", "first.*"))
+        # Each task has found the first of its own; those of all tasks meet here.
+        found.append(spread.where("repeats").select("doc_id", "h", "lo", "n"))
+        each = stored(spread.where(~F.col("repeats")).select("anchor", "segment", "doc_id", "h", "lo", "n"), "suffix-each")
+        found.append(later(each, "anchor", "segment").select("doc_id", "h", "lo", "n"))
+        firsts = each.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "h", "lo", "n")).alias("first")).select("anchor", "first.*")
+        size = firsts.groupBy("anchor").agg(F.sum(F.col("n").cast("long") + LENGTH - 1).alias("size"), F.count(F.lit(1)).alias("several")).where(F.col("several") > 1)
+        firsts = firsts.join(stored(size, "suffix-sizes"), "anchor")
+        hot, cold = (x.unionByName(firsts.where(c).select("anchor", "doc_id", "h", "lo", "n")) for x, c in ((hot, F.col("size") > SHARD), (cold, F.col("size") <= SHARD)))
+    found.append(sorted_shards(cut_texts(with_wanted(cold))))
     hot = stored(hot, "suffix-hot")
     if not hot.isEmpty():
         found.append(repeated_starts(with_wanted(hot)))
