@@ -92,7 +92,7 @@ def visits(forest: list[Tree], q: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 def leaves_to_visit(n: int, leaves_a_tree: int, trees: int) -> int:
     """Of all leaves of the forest, how many a query visits among n rows."""
-    share = VISIT * (VISIT_ROWS / max(n, VISIT_ROWS)) ** VISIT_POWER
+    share = VISIT * (VISIT_ROWS / max(n, 1)) ** VISIT_POWER
     return max(1, min(trees * leaves_a_tree, math.ceil(share * leaves_a_tree)))
 
 
