@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayflow.llm import ann, bpe, chat, gif, jaccard_join, language_id, line_dedup, mixing, suffix_dedup, token_files
+from assayflow.llm import ann, bpe, chat, fill_middle, gif, jaccard_join, language_id, line_dedup, mixing, packing, resample, suffix_dedup, token_files
 from assayflow.llm.common import read_table
 
 
@@ -61,5 +61,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_files, op3_bpe, op4_gif_media, op5_language_id, op6_jaccard_join, op7_nearest, op8_chat_format, op9_mix_sources, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat.ORACLE, "op9_mix_sources": mixing.ORACLE}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_files, op3_bpe, op4_gif_media, op5_language_id, op6_jaccard_join, op7_nearest, op8_chat_format, op9_mix_sources, op10_suffix_dedup, op11_fill_middle, op12_resample, op13_packing)}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat.ORACLE, "op9_mix_sources": mixing.ORACLE, "op11_fill_middle": fill_middle.ORACLE, "op12_resample": resample.ORACLE}

@@ -12,7 +12,7 @@ import json
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,11 @@ from assayflow.llm.common import kept, stored
 from assayflow.llm.pieces import BYTE_LEVEL, Memory, splitter
 from assayflow.sources.shared import shared_path
 
-MANIFEST = "shard long, name string, n_docs long, n_tokens long, width int"
+MANIFEST = "shard long, part long, name string, n_docs long, n_tokens long, width int"
 #: Encoded pieces that a worker remembers in a generation, about 200 bytes each: the library needs longer for a piece than a fold.
 PIECES = 800_000
+#: A shard ends with the document that brings it to so many ids; bytes are written when so many wait.
+SHARD_IDS, WAITING = 1 << 26, 1 << 20
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("null", "<i8")])
 _loaded: dict = {}
 
@@ -53,15 +55,72 @@ def piece_pattern(path: str) -> str | None:
     return BYTE_LEVEL if plain and not whole else None
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+def encoder(path: str) -> Callable[[pa.Array], Iterator[tuple[int, list[np.ndarray]]]]:
+    """A function that gives the ids of an array of texts, some texts at a time with the place of the first; null is empty.
+
+    A plain byte-level tokenizer encodes each match of its pattern by itself, so the library encodes each distinct
+    piece once and a text's ids are those of its pieces. Texts that hold the string of an added token go to the
+    library whole, and so does every text if the tokenizer's file names a normalizer or another pre-tokenizer.
+    """
+    tok = tokenizer(path)
+    kind = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
+    pattern = piece_pattern(path)
+    split = splitter(pattern) if pattern else None
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    library = lambda new: [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
+    memory = kept(("tokenizer", path), lambda: Memory(library, PIECES))
+
+    def encode(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        for at in range(0, len(texts), TEXTS):
+            some = [t or "" for t in texts.slice(at, TEXTS).to_pylist()]
+            special = [k for k, t in enumerate(some) if not split or any(a in t for a in added)]
+            own = encode_texts(["" if k in special else t for k, t in enumerate(some)], split, memory) if split else [b""] * len(some)
+            for k in special:  # the library alone says what an added token's string is
+                own[k] = library([some[k]])[0]
+            yield at, [np.frombuffer(b, kind) for b in own]
+
+    return encode
+
+
+class ShardFile:
+    """One shard as it is written: its ids go out as they come, its index at the end."""
+
+    def __init__(self, fs: pafs.FileSystem, root: str, task: int, part: int, kind: np.dtype, end_id: int):
+        self.name = f"part-{task:06d}-{part:04d}-{uuid.uuid4().hex}"
+        self.fs, self.root, self.task, self.part, self.kind = fs, root, task, part, kind
+        self.end, self.out = np.array([end_id], kind).tobytes(), fs.open_output_stream(f"{root}/{self.name}.bin")
+        self.n, self.index, self.waiting, self.bytes = 0, [], [], 0
+
+    def flush(self) -> None:
+        self.out.write(b"".join(self.waiting))
+        self.waiting, self.bytes = [], 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.index.append((doc_id or 0, self.n, doc_id is None))
+        self.waiting += (ids.astype(self.kind, copy=False).tobytes(), self.end)
+        self.n += len(ids) + 1
+        self.bytes += ids.nbytes
+        if self.bytes >= WAITING:
+            self.flush()
+
+    def close(self) -> pa.RecordBatch:
+        """Its row of the manifest."""
+        self.flush()
+        self.out.close()
+        with self.fs.open_output_stream(f"{self.root}/{self.name}.idx") as out:
+            out.write(np.array([*self.index, (0, self.n, 0)], INDEX).tobytes())
+        row = (self.task, self.part, self.name, len(self.index), self.n, self.kind.itemsize)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["shard", "part", "name", "n_docs", "n_tokens", "width"])
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text: str = "text", partitions: int | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode every text, append end_id, write the shards in ascending order of id and return the manifest.
 
     Documents are dealt by ranges of id (and a hash of the text, so that a repeated id can be split) and
     sorted within. Ids are nulls last; equal ids come in order of that hash. A null text is empty. A task
-    that runs twice writes other names; the manifest names the files of the one that counted. A plain byte-level
-    tokenizer encodes each match of its pattern by itself, so the library encodes each distinct piece once
-    and a text's ids are those of its pieces. Texts that hold the string of an added token go to the library whole,
-    and so does every text if the tokenizer's file names a normalizer or another pre-tokenizer.
+    begins a new shard when one has shard_ids, so a file's size doesn't grow with the table or with a task's share. A task
+    that runs twice writes other names; the manifest names the files of the one that counted.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -70,44 +129,25 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(tokenizer_path)
-        kind = np.dtype("<u2" if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        end, pattern = np.array([end_id], kind).tobytes(), piece_pattern(tokenizer_path)
-        split = splitter(pattern) if pattern else None
-        added = [t.content for t in tok.get_added_tokens_decoder().values()]
-        library = lambda new: [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
-        memory = kept(("tokenizer", tokenizer_path, kind.str), lambda: Memory(library, PIECES))
-        ctx = TaskContext.get()
-        name = f"part-{ctx.partitionId():06d}-{uuid.uuid4().hex}"
+        ids_of = encoder(tokenizer_path)
+        kind = np.dtype("<u2" if max(tokenizer(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        task, part = TaskContext.get().partitionId(), 0
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        index, total = [], 0
-        with fs.open_output_stream(f"{root}/{name}.bin") as out:
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                lengths = np.empty(len(texts), "<i8")
-                for at in range(0, len(texts), TEXTS):
-                    some = texts[at : at + TEXTS]
-                    special = [k for k, t in enumerate(some) if not split or any(a in t for a in added)]
-                    own = encode_texts(["" if k in special else t for k, t in enumerate(some)], split, memory) if split else [b""] * len(some)
-                    for k in special:  # the library alone says what an added token's string is
-                        own[k] = library([some[k]])[0]
-                    lengths[at : at + len(own)] = [len(b) // kind.itemsize + 1 for b in own]
-                    out.write(b"".join(x for b in own for x in (b, end)))
-                part = np.zeros(len(texts), INDEX)
-                part["doc_id"] = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-                part["null"] = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-                part["start"] = total + np.cumsum(lengths) - lengths
-                total += int(lengths.sum())
-                index.append(part)
-        last = np.zeros(1, INDEX)
-        last["start"] = total
-        with fs.open_output_stream(f"{root}/{name}.idx") as out:
-            out.write(np.concatenate([*index, last]).tobytes())
-        yield pa.RecordBatch.from_pydict({"shard": [ctx.partitionId()], "name": [name], "n_docs": [sum(map(len, index))], "n_tokens": [total], "width": [kind.itemsize]}, schema=pa.schema([("shard", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
+        for batch in batches:
+            doc_ids = batch.column("doc_id").to_pylist()
+            for at, own in ids_of(batch.column("text")):
+                for k, ids in enumerate(own):
+                    if part == 0 or file.n >= shard_ids:
+                        if part:
+                            yield file.close()
+                        file, part = ShardFile(fs, root, task, part, kind, end_id), part + 1
+                    file.add(doc_ids[at + k], ids)
+        if part:
+            yield file.close()
 
     shards = stored(rows.select("doc_id", "text").mapInArrow(encode, MANIFEST), "token-shards")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     manifest = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     manifest.write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
