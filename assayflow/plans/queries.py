@@ -11,7 +11,7 @@ from assayflow.functions import text as fx
 from assayflow.operators import catalog, extract, jobs, knowledge, report, responses, sanitize
 from assayflow.plans import bindings as b
 from assayflow.sources import files
-from assayflow.streaming import stateful
+from assayflow.streaming import limits, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -772,7 +772,7 @@ SELECT event_id, key, start AS window_start, n, n <= 3 AS allowed FROM w
 
 @query(_LIMIT)
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    return stateful.rate_limit(b.requests(spark, d), 3, 86400).select("event_id", "key", "window_start", "n", "allowed")
+    return limits.rate_limit(b.requests(spark, d), 3, 86400).select("event_id", "key", "window_start", "n", "allowed")
 
 
 def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -783,9 +783,19 @@ def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query(_LIMIT)
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
-    events = streamed(spark, d, "events").select("event_id", F.col("user_id").alias("key"), "ts")
-    path = stateful.run_to_table(stateful.rate_limit_stream(events, 3, 86400), "rate-limit")
-    return spark.read.parquet(path).select("event_id", "key", "window_start", "n", "allowed")
+    """Requests that come up to six hours late, a quarter of them in each micro-batch, and at the end a row without key that is later than all."""
+    late, path = 6 * 3600, b_path(spark, "requests")
+    rows = b.requests(spark, d).select("event_id", "key", F.col("ts").cast("timestamp").alias("ts"))
+    comes = F.timestamp_add("SECOND", F.pmod(F.col("event_id") * 7919, F.lit(late)), F.col("ts"))
+    first, last = rows.select(F.min("ts"), F.max("ts")).first()
+    cuts = [F.lit(first + (last - first) * k / 4) for k in range(1, 4)]
+    part = sum((F.when(comes >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for k in range(4):
+        rows.where(part == k).coalesce(1).write.parquet(f"{path}/part={k}")
+    rows.limit(0).unionByName(spark.sql("SELECT -1L AS event_id, CAST(NULL AS BIGINT) AS key, TIMESTAMP '2100-01-01' AS ts")).coalesce(1).write.parquet(f"{path}/part=4")
+    events = spark.readStream.schema(f"event_id long, key long, ts timestamp, part int").option("maxFilesPerTrigger", 1).parquet(path)
+    out = stateful.run_to_table(limits.rate_limit_stream(events, 3, 86400, f"{late} seconds"), "rate-limit")
+    return spark.read.parquet(out).select("event_id", "key", "window_start", "n", "allowed")
 
 
 @query(f"""

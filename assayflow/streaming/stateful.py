@@ -1,12 +1,11 @@
-"""Streams of documents, requests and job events, each with a batch twin."""
+"""Streams of documents and job events, each with a batch twin."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,78 +14,6 @@ from assayflow.operators.extract import extract_entities, extract_measurements
 from assayflow.operators.jobs import PROGRESS
 from assayflow.sources.shared import shared_path
 
-LIMITED = "event_id long, key long, ts timestamp, window_start timestamp, n int, allowed boolean"
-
-
-def _counted(rows: pd.DataFrame, start, n: int, limit: int, window: pd.Timedelta):
-    """Walk one key's rows in time order from an open window (start, n); returns the rows and the window left open."""
-    starts, counts = [], []
-    for ts in rows["ts"]:
-        if start is None or ts >= start + window:
-            start, n = ts, 0
-        n += 1
-        starts.append(start)
-        counts.append(n)
-    out = pd.DataFrame({"event_id": rows["event_id"], "key": rows["key"], "ts": rows["ts"], "window_start": starts, "n": counts})
-    out["window_start"] = pd.to_datetime(out["window_start"]).astype(rows["ts"].dtype)
-    out["allowed"] = out["n"] <= limit
-    return out, start, n
-
-
-def rate_limit(requests: DataFrame, limit: int = 10, window_s: int = 60) -> DataFrame:
-    """Each of requests(event_id, key, ts) with its window, its number in it and whether it is allowed.
-
-    A window opens at a key's first request after the last one closed and lasts window_s; refused requests
-    count. After a pause of a window's length a new one opens in any case, so a key's requests are cut into runs
-    at such pauses and dealt by key and run. Within a run the next window depends on the one before: rows stream
-    through the task in order, and only the open window is held. Rows without key or time are left out.
-    """
-    rows = requests.select("event_id", "key", F.col("ts").cast("timestamp").alias("ts")).where(F.col("key").isNotNull() & F.col("ts").isNotNull())
-    order = Window.partitionBy("key").orderBy("ts", "event_id")
-    opens = F.coalesce(F.col("ts") >= F.timestamp_add("SECOND", F.lit(window_s), F.lag("ts").over(order)), F.lit(True))
-    rows = rows.withColumn("opens", opens).withColumn("run", F.max(F.when(F.col("opens"), F.col("ts"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    width = window_s * 1_000_000
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, start, n = None, 0, 0
-        for batch in batches:
-            starts, counts = [], []
-            ts = batch.column("ts").cast(pa.timestamp("us", "UTC"))
-            for run, t in zip(zip(batch.column("key").to_pylist(), batch.column("run").cast(pa.int64()).to_pylist(), strict=True), ts.cast(pa.int64()).to_pylist(), strict=True):
-                if run != last or t >= start + width:
-                    last, start, n = run, t, 0
-                n += 1
-                starts.append(start)
-                counts.append(n)
-            allowed = pa.array([c <= limit for c in counts], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("key"), ts, pa.array(starts, pa.int64()).cast(ts.type), pa.array(counts, pa.int32()), allowed], names=["event_id", "key", "ts", "window_start", "n", "allowed"])
-
-    return rows.repartition("key", "run").sortWithinPartitions("key", "run", "ts", "event_id").select("event_id", "key", "ts", "run").mapInArrow(walk, LIMITED)
-
-
-class Limiter(StatefulProcessor):
-    def __init__(self, limit: int, window_s: int):
-        self.limit, self.window = limit, pd.Timedelta(seconds=window_s)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", T.StructType([T.StructField("start", T.TimestampType()), T.StructField("n", T.IntegerType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        start, n = (pd.Timestamp(self.open.get()[0]), self.open.get()[1]) if self.open.exists() else (None, 0)
-        out, start, n = _counted(frame, start, n, self.limit, self.window)
-        self.open.update((start.to_pydatetime(), n))
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def rate_limit_stream(requests: DataFrame, limit: int = 10, window_s: int = 60) -> DataFrame:
-    """rate_limit() over a stream, in arrival order of micro-batches and in time order within one."""
-    return requests.select("event_id", "key", "ts").groupBy("key").transformWithStateInPandas(statefulProcessor=Limiter(limit, window_s), outputStructType=LIMITED, outputMode="Append", timeMode="None")
-
-
 def process_once(jobs: DataFrame, watermark: str | None = None, delay: str = "1 hour") -> DataFrame:
     """The first row of each job_id: in a stream within the watermark on the given time column, in a batch at all."""
     if jobs.isStreaming:
