@@ -79,36 +79,3 @@ def build_query_text(parsed: DataFrame) -> DataFrame:
     test = lambda t: F.trim(F.concat_ws(" ", t["name"], float_text(t["value"]), t["unit"]))
     parts = F.concat(F.transform("tests", test), F.transform("medicines", lambda m: F.coalesce(m["name"], F.lit(""))))
     return parsed.select("doc_id", F.nullif(F.array_join(parts, " "), F.lit("")).alias("query"))
-
-
-def norm(vec: Column) -> Column:
-    return F.sqrt(F.aggregate(vec, F.lit(0.0).cast("double"), lambda a, x: a + x * x))
-
-
-def vector_topk(queries: DataFrame, knowledge: DataFrame, k: int | None = 5) -> DataFrame:
-    """query_id, id, dist, rank: the k rows of least cosine distance for each query, ties to the smaller id.
-
-    queries(query_id, vec), knowledge(id, vec). Zero vectors are at distance NaN, last. A stated set of
-    queries meets all rows: it is broadcast only if it is counted to be small, else both sides meet in blocks.
-    """
-    k = k or 5
-    q = queries.select("query_id", F.col("vec").cast("array<double>").alias("q")).withColumn("qn", norm(F.col("q")))
-    v = knowledge.select("id", F.col("vec").cast("array<double>").alias("v")).withColumn("vn", norm(F.col("v")))
-    n = q.count()
-    size = 2_000
-    blocks = max(1, -(-n // size))
-    if blocks == 1:
-        pairs = v.crossJoin(F.broadcast(q))
-    else:
-        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pairs = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "block")
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0).cast("double"), lambda a, x: a + x)
-    norms = F.col("qn") * F.col("vn")
-    dist = F.when(norms == 0, F.lit(float("nan"))).otherwise(1 - dot / F.nullif(norms, F.lit(0.0)))
-    order = Window.partitionBy("query_id").orderBy("dist", "id")
-    return pairs.select("query_id", "id", dist.alias("dist")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def within_distance(hits: DataFrame, most: float = 0.6) -> DataFrame:
-    """Hits nearer than `most`, after the limit: fewer than k may stay. NaN never does."""
-    return hits.where((F.col("dist") < most) & ~F.isnan("dist"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayflow.functions import text as fx
-from assayflow.operators import catalog, extract, jobs, knowledge, report, responses, sanitize
+from assayflow.operators import catalog, extract, jobs, knowledge, report, responses, sanitize, vectors
 from assayflow.plans import bindings as b
 from assayflow.sources import files
 from assayflow.streaming import limits, stateful
@@ -656,7 +656,7 @@ def build_requests(spark: SparkSession, d: str) -> DataFrame:
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     e = b.table(spark, d, "embeddings")
     queries = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    return knowledge.vector_topk(queries, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+    return vectors.vector_topk(queries, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
 
 
 _COSINE = "1 - list_sum(list_transform(list_zip(q.v, k.v), lambda p: p[1] * p[2])) / (q.n * k.n)"
@@ -673,7 +673,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT query_id, id FROM ({_HITS}) WHERE dist < 0.6")
 def within_distance(spark: SparkSession, d: str) -> DataFrame:
-    return knowledge.within_distance(_hits(spark, d)).select("query_id", "id")
+    return vectors.within_distance(_hits(spark, d)).select("query_id", "id")
 
 
 # Result documents

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -26,3 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage is cut, a lost executor costs nothing."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """df with a broadcast hint if it is counted to hold at most max_rows; otherwise df as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def write_blocks(df: DataFrame, block: str, n: int, name: str) -> str:
+    """Write df in n blocks, by its column of the block's number, for tasks to read one at a time. The path in the shared folder."""
+    path = shared_path(df.sparkSession, name)
+    df.repartition(n, block).write.partitionBy(block).parquet(path)
+    return path
+
+
+def read_block(path: str, block: str, no: int) -> pa.Table | None:
+    """In a task: one of the blocks that write_blocks() wrote; None if it has no rows."""
+    fs, root = pafs.FileSystem.from_uri(f"{path}/{block}={no}")
+    if fs.get_file_info(root).type == pafs.FileType.NotFound:
+        return None
+    files = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")]
+    tables = []
+    for f in sorted(files):
+        with fs.open_input_file(f) as source:
+            tables.append(pq.ParquetFile(source).read())
+    return pa.concat_tables(tables) if tables else None

@@ -8,12 +8,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from assayflow.sources.shared import shared_dir, shared_path
+from assayflow.sources.shared import shared_dir, stored
 
 LIMITED = "event_id long, key long, ts timestamp, window_start timestamp, n int, allowed boolean"
 #: Neighbouring pieces of a key that are composed into one at a time.
@@ -115,19 +115,13 @@ def entering_windows(pieces: DataFrame, width: int) -> DataFrame:
     """
     levels = [pieces]
     while levels[-1].groupBy("key").count().where("count > 1").limit(1).count():
-        levels.append(_stored(_compose(levels[-1], width), "limit-pieces"))
+        levels.append(stored(_compose(levels[-1], width), "limit-pieces"))
     entries = levels.pop().select("key", "piece", F.lit(NONE).alias("start"), F.lit(0).cast("long").alias("n"))
     while levels:
         entries = _enter(levels.pop(), entries, width)
     return entries
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _runs(batch: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray]:
     """The keys of a batch in order, where each begins, and the times in microseconds."""
     keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -180,7 +174,7 @@ def rate_limit(requests: DataFrame, limit: int = 10, window_s: int = 60) -> Data
             out.append(row(key, times))
         yield pa.RecordBatch.from_pylist(out, pa.schema([(c, pa.binary() if c in ("at", "start", "n") else pa.int64()) for c in ("key", "piece", "size", "since", "upto", "at", "start", "n")]))
 
-    pieces = _stored(rows.select("key", "ts").mapInArrow(ends, PIECE), "limit-pieces")
+    pieces = stored(rows.select("key", "ts").mapInArrow(ends, PIECE), "limit-pieces")
     entered = entering_windows(pieces, width).where(F.col("start") != NONE).collect()  # one row a range at most: its first key's
     entries = {(r["piece"], r["key"]): (r["start"], r["n"]) for r in entered}
 

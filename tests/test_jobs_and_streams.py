@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assayflow.operators import jobs, knowledge, report
+from assayflow.operators import jobs, knowledge, report, vectors
 from assayflow.sources import files, shared
 from assayflow.streaming import limits, stateful
 
@@ -57,10 +57,10 @@ def test_severity(spark):
 def test_topk_blocks_and_zero(spark):
     rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(99, [0.0, 0.0, 0.0])]
     k = spark.createDataFrame(rows, "id long, vec array<double>")
-    got = knowledge.vector_topk(k.where("id < 2").select(F.col("id").alias("query_id"), "vec"), k, 3).orderBy("query_id", "rank").collect()
+    got = vectors.vector_topk(k.where("id < 2").select(F.col("id").alias("query_id"), "vec"), k, 3).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["id"]) for r in got] == [(0, 0), (0, 35), (0, 30), (1, 1), (1, 36), (1, 37)] or got[0]["dist"] < 1e-12
-    zero = knowledge.vector_topk(k.where("id = 99").select(F.col("id").alias("query_id"), "vec"), k, 2)
-    assert knowledge.within_distance(zero).count() == 0
+    zero = vectors.vector_topk(k.where("id = 99").select(F.col("id").alias("query_id"), "vec"), k, 2)
+    assert vectors.within_distance(zero).count() == 0
 
 
 REQUESTS = [(1, 7, "2024-01-01 00:00:00"), (2, 7, "2024-01-01 00:00:59"), (3, 7, "2024-01-01 00:01:00"), (4, 7, "2024-01-01 00:01:10"), (5, 7, "2024-01-01 00:01:20"), (6, 8, "2024-01-01 00:00:30"), (7, 7, "2024-01-01 00:02:00")]
