@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayflow.sources.shared import small
+
 _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
 
@@ -31,7 +33,7 @@ def normalize_unit(df: DataFrame, units: DataFrame, unit: str = "unit", out: str
     """The canonical spelling of units(variant, canonical), or the lower-case unit as it is."""
     key = F.lower(F.trim(F.col(unit)))
     u = units.select(F.col("variant").alias("__variant"), F.col("canonical").alias("__canonical")).dropDuplicates(["__variant"])
-    return df.join(u, key == F.col("__variant"), "left").withColumn(out, F.coalesce("__canonical", key)).drop("__variant", "__canonical")
+    return df.join(small(u), key == F.col("__variant"), "left").withColumn(out, F.coalesce("__canonical", key)).drop("__variant", "__canonical")
 
 
 def resolve_name(names: DataFrame, synonyms: DataFrame, aliases: DataFrame, name: str = "name", out: str = "entity_id") -> DataFrame:
@@ -42,7 +44,7 @@ def resolve_name(names: DataFrame, synonyms: DataFrame, aliases: DataFrame, name
     first = aliases.groupBy(F.lower("alias").alias("__k3")).agg(F.min_by("id", "ord").alias("__by_alias"))
     joined = names.withColumn("__key", key)
     for side, k in ((syn, "__k1"), (own, "__k2"), (first, "__k3")):
-        joined = joined.join(side, F.col("__key") == F.col(k), "left")
+        joined = joined.join(small(side), F.col("__key") == F.col(k), "left")
     return joined.withColumn(out, F.coalesce("__by_synonym", "__by_id", "__by_alias")).drop("__key", "__k1", "__k2", "__k3", "__by_synonym", "__by_id", "__by_alias")
 
 

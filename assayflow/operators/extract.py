@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.functions.text import filled, normalize_text, normalize_unit, parse_number
+from assayflow.sources.shared import read_block, small, write_blocks
 
 #: Fixed value: what follows a name - a separator, a number, perhaps a unit.
 VALUE = r"\s*[:\-]?\s*(\d[\d,]*\.?\d*)\s*([a-zA-Z/%^\d]+)?"
-#: Aliases that one pass over the texts looks for, at most; they go through the driver.
-ALIASES = 100_000
+#: Aliases of an automaton at most, automata that a worker holds, and bytes of texts that meet each automaton in turn where there are more.
+ALIASES, HELD, BUFFER = 100_000, 4, 1 << 24
+_automata: OrderedDict = OrderedDict()
 
 
 def alias_rows(catalog: DataFrame) -> DataFrame:
@@ -38,75 +41,114 @@ def alias_rows(catalog: DataFrame) -> DataFrame:
     return rows.where(F.col("alias") != "")
 
 
-def value_matches(docs: DataFrame, aliases: list[str], strict: bool = False) -> DataFrame:
-    """doc_id, alias, match_no, raw, captured: every alias in docs(doc_id, text) with a number after it, all found in one pass of a text.
+def alias_shards(catalog: DataFrame) -> tuple[str, int]:
+    """The aliases of a catalog as stored automata: the path in the shared folder and how many there are, none of more than about ALIASES.
 
-    Matches of one alias don't overlap: the next one starts after the number and the unit of the one before.
+    Aliases are dealt by hash; a task makes the automaton of a shard. None of them passes through the driver.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(aliases)
+    distinct = alias_rows(catalog).select("alias").distinct()
+    n = -(-distinct.count() // ALIASES)
+
+    def build(table: pa.Table) -> pa.Table:
+        finder = ahocorasick.Automaton()
+        for name in table.column("alias").to_pylist():
+            finder.add_word(name, name)
+        finder.make_automaton()
+        return pa.table({"shard": table.column("shard").slice(0, 1), "automaton": pa.array([pickle.dumps(finder)], pa.binary())})
+
+    sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("alias"), F.lit(max(1, n))).cast("int"))
+    return write_blocks(sharded.groupBy("shard").applyInArrow(build, "shard int, automaton binary"), "shard", max(1, n), "aliases"), n
+
+
+def automaton(path: str, shard: int) -> ahocorasick.Automaton | None:
+    """In a task: one of the stored automata, kept by the worker among the last HELD."""
+    key = (path, shard)
+    if key not in _automata:
+        block = read_block(path, "shard", shard)
+        while len(_automata) >= HELD:
+            _automata.popitem(last=False)
+        _automata[key] = pickle.loads(block.column("automaton")[0].as_py()) if block is not None else None
+    _automata.move_to_end(key)
+    return _automata[key]
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def value_matches(docs: DataFrame, shards: tuple[str, int], strict: bool = False) -> DataFrame:
+    """doc_id, alias, match_no, raw, captured: every alias in docs(doc_id, text) with a number after it.
+
+    A text is read once and meets every automaton of alias_shards(), which finds all its aliases in one pass. Matches of one alias
+    don't overlap: the next one starts after the number and the unit of the one before.
+    """
+    path, n = shards
     schema = docs.select("doc_id", F.lit("").alias("alias"), F.lit(0).alias("match_no"), F.lit("").alias("raw"), F.lit("").alias("captured")).schema
 
-    def in_word(c: str) -> bool:
-        return c.isalnum() or c == "_"
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        some, size = [], 0
+        for batch in batches:
+            some.append(batch)
+            size += batch.nbytes
+            if n <= HELD or size >= BUFFER:
+                yield some
+                some, size = [], 0
+        if some:
+            yield some
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, value, finder = shared.value, re.compile(VALUE, re.IGNORECASE), ahocorasick.Automaton()
-        for i, name in enumerate(names):
-            finder.add_word(name, i)
-        finder.make_automaton()
-        for batch in batches:
-            rows, found = [], []
-            for k, text in enumerate(batch.column("text")):
-                text, seen = text.as_py(), {}
-                for last, i in finder.iter(text):
-                    start = last + 1 - len(names[i])
-                    end, number = seen.get(i, (0, 0))
-                    if start < end or strict and (start > 0 and in_word(text[start - 1])) == in_word(text[start]):
-                        continue
-                    m = value.match(text, last + 1)
-                    if m:
-                        seen[i] = (m.end(), number + 1)
-                        rows.append(k)
-                        found.append((names[i], number, m[1], m[2] or ""))
-            columns = [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *columns], names=schema.names)
+        value = re.compile(VALUE, re.IGNORECASE)
+        for some in grouped(batches):
+            for shard in range(n):
+                finder = automaton(path, shard)
+                for batch in some if finder else ():
+                    rows, found = [], []
+                    for k, text in enumerate(batch.column("text")):
+                        text, seen = text.as_py(), {}
+                        for last, name in finder.iter(text):
+                            start = last + 1 - len(name)
+                            end, number = seen.get(name, (0, 0))
+                            if start < end or strict and (start > 0 and _in_word(text[start - 1])) == _in_word(text[start]):
+                                continue
+                            m = value.match(text, last + 1)
+                            if m:
+                                seen[name] = (m.end(), number + 1)
+                                rows.append(k)
+                                found.append((name, number, m[1], m[2] or ""))
+                    columns = [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *columns], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def extract_measurements(docs: DataFrame, catalog: DataFrame, units: DataFrame, strict: bool = False) -> DataFrame:
+def extract_measurements(docs: DataFrame, catalog: DataFrame, units: DataFrame, strict: bool = False, shards: tuple[str, int] | None = None) -> DataFrame:
     """doc_id, id, name, value, unit, normal_min, normal_max, test_ord, alias_ord, match_no for docs(doc_id, text).
 
     Every occurrence of a name or alias with a number after it. Names match inside words, a unit may be the
     next word, and a test without units drops a captured one; strict=True asks for word bounds and known units.
-    Equal names of one test emit twice. The aliases are searched all at once, ALIASES of them at most in a pass
-    over the texts, and only what is found is joined with their tests.
+    Equal names of one test emit twice. The aliases are searched as stored automata, those in shards (alias_shards() of the same
+    catalog, for many calls) or made for this one, and only what is found is joined with their tests.
     """
     text = docs.select("doc_id", normalize_text(F.col("text")).alias("text")).where(F.col("text") != "")
-    aliases = alias_rows(catalog)
-    distinct = aliases.select("alias").distinct()
-    passes = max(1, -(-distinct.count() // ALIASES))
-    parts = [[r["alias"] for r in distinct.where(F.pmod(F.xxhash64("alias"), F.lit(passes)) == k).collect()] for k in range(passes)]
-    matches = reduce(DataFrame.unionByName, [value_matches(text, part, strict) for part in parts if part] or [value_matches(text.limit(0), ["-"])])
-    found = matches.join(aliases.withColumnRenamed("ord", "test_ord"), "alias")
+    aliases = small(alias_rows(catalog).withColumnRenamed("ord", "test_ord"))
+    found = value_matches(text, shards or alias_shards(catalog), strict).join(aliases, "alias")
     found = found.withColumn("raw_unit", F.when(F.size("units") > 0, F.coalesce(filled("captured"), F.get("units", F.lit(0)))).otherwise(""))
     found = normalize_unit(found.withColumn("value", parse_number(F.col("raw"))), units, "raw_unit", "unit")
     if strict:
-        found = found.join(units.select(F.lower("canonical").alias("__known")).distinct(), F.lower("unit") == F.col("__known"), "left_semi")
+        found = found.join(small(units.select(F.lower("canonical").alias("__known")).distinct()), F.lower("unit") == F.col("__known"), "left_semi")
     return found.select("doc_id", "id", "name", "value", "unit", "normal_min", "normal_max", "test_ord", "alias_ord", "match_no")
 
 
 def extract_entities(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     """doc_id, id, name, category, first_pos, ord: entities of catalog(id, ord, display_name, category, aliases) named in docs(doc_id, text).
 
-    Tokens of four or more of a-z, 0-9 and hyphens are looked up among ids and lower-case aliases: one row a
-    document and entity, at its first token. Partial counts come before the shuffle, so common tokens don't skew it.
+    Tokens of four or more of a-z, 0-9 and hyphens are looked up among ids and lower-case aliases, which are counted before
+    they are broadcast: one row a document and entity, at its first token. Partial counts come before the shuffle, so common tokens don't skew it.
     """
     tokens = docs.select("doc_id", F.posexplode(F.regexp_extract_all(normalize_text(F.col("text")), F.lit(r"(?U)\b[a-z0-9\-]{4,}\b"), F.lit(0))).alias("pos", "token"))
     names = F.array_distinct(F.concat(F.array("id"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a))))
     lookup = catalog.select("id", "ord", F.coalesce(filled("display_name"), F.col("id")).alias("name"), "category", F.explode(names).alias("token"))
-    hits = tokens.join(lookup, "token")
+    hits = tokens.join(small(lookup), "token")
     return hits.groupBy("doc_id", "id", "name", "category", "ord").agg(F.min("pos").alias("first_pos"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.functions.text import filled, float_text
+from assayflow.sources.shared import small
 
 #: Wording of reports, here and in the questions, steps and summaries below.
 DISCLAIMER = "This explanation is automated and not a medical diagnosis. Always consult your doctor."
@@ -35,7 +36,7 @@ def classify_severity(measurements: DataFrame, value: str = "value", low: str =
 def enrich_measurements(measurements: DataFrame, catalog: DataFrame) -> DataFrame:
     """Measurements(id, name, value, unit, normal_min, normal_max) with severity and the wording of catalog(id, display_name, meaning, normal_meaning, common_causes)."""
     words = catalog.select(F.col("id").alias("__id"), F.col("display_name").alias("__display"), F.col("meaning").alias("__meaning"), F.col("normal_meaning").alias("__normal"), F.col("common_causes").alias("__causes"))
-    m = classify_severity(measurements).join(words, F.col("id") == F.col("__id"), "left")
+    m = classify_severity(measurements).join(small(words), F.col("id") == F.col("__id"), "left")
     name = F.coalesce(filled("__display"), filled("name"), F.lit("Unknown"))
     unit = F.coalesce("unit", F.lit(""))
     text = F.concat(F.coalesce(float_text(F.col("value")), F.lit("None")), F.lit(" "), unit)
@@ -69,7 +70,7 @@ def enrich_medicines(medicines: DataFrame, catalog: DataFrame) -> DataFrame:
     opt = lambda c, t: F.col(c) if c in have else F.lit(None).cast(t)
     own = catalog.select(F.col("id").alias("__id"), F.col("display_name").alias("__display"), opt("purpose", "string").alias("__purpose"), *[opt(c, "string").alias(c) for c in texts], *[opt(c, "array<string>").alias(c) for c in lists])
     base = medicines.drop(*texts, *lists, "purpose")
-    m = base.join(own, F.col("id") == F.col("__id"), "left")
+    m = base.join(small(own), F.col("id") == F.col("__id"), "left")
     cut = {c: F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, 3) for c in lists}
     return m.withColumns({"name": F.coalesce(filled("__display"), "name"), "purpose": F.coalesce(filled("__purpose"), F.lit(PURPOSE)), **cut}).drop("__id", "__display", "__purpose")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from assayflow.operators.extract import extract_entities, extract_measurements
+from assayflow.operators.extract import alias_shards, extract_entities, extract_measurements
 from assayflow.operators.jobs import PROGRESS
 from assayflow.sources.shared import shared_path
 
@@ -121,10 +121,13 @@ def latest_cached(cache: DataFrame, now: str) -> DataFrame:
 def stream_extract(tests: DataFrame, medicines: DataFrame, units: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that appends the measurements and entities of each micro-batch under path/measurements and path/entities.
 
-    Rows carry the batch id and its folder is overwritten, so a repeated batch leaves no second copy.
+    Rows carry the batch id and its folder is overwritten, so a repeated batch leaves no second copy. The tests' aliases are
+    made into automata once, for all batches.
     """
+    shards = alias_shards(tests)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        extract_measurements(batch, tests, units).write.mode("overwrite").parquet(f"{path}/measurements/batch={batch_id}")
+        extract_measurements(batch, tests, units, shards=shards).write.mode("overwrite").parquet(f"{path}/measurements/batch={batch_id}")
         extract_entities(batch, medicines).write.mode("overwrite").parquet(f"{path}/entities/batch={batch_id}")
 
     return write
