@@ -50,47 +50,62 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def falsy(v: Column) -> Column:
-    """What Python takes for false: null, false, zero, and empty text, list or object."""
-    return v.isNull() | F.to_json(v).rlike(r'^(null|false|""|\[\]|\{\}|-?0+(\.0+)?([eE].*)?)$')
+def typed(v: Column) -> Column:
+    """What the rules ask of a value, made once: kind, text (of a scalar, as Python writes it, stripped if it is text), number, and the variant itself as v."""
 
+    def of(k: Column) -> Column:
+        def put(d: Column) -> Column:
+            text = F.when(k == "string", _strip(_as(v, "string"))).when(k == "boolean", F.initcap(_as(v, "string"))).when(k == "float", float_text(d)).when(k == "int", _as(v, "string"))
+            return F.struct(k.alias("kind"), text.alias("text"), d.alias("number"), v.alias("v"))
 
-def ensure_str(v: Column, default: str | None = "") -> Column:
-    """Text of a scalar as Python writes it, stripped if it is text; the default for null, lists and objects."""
+        return let(F.when(k.isin("int", "float"), _as(v, "double")), put)
 
-    def of(v: Column) -> Column:
-        number = let(_as(v, "double"), float_text)
-        return let(kind(v), lambda k: F.when(k == "string", _strip(_as(v, "string"))).when(k == "boolean", F.initcap(_as(v, "string"))).when(k == "float", number).when(k == "int", _as(v, "string")).otherwise(F.lit(default)))
+    return let(kind(v), of)
 
-    return let(v, of)
 
+def fields(doc: Column, paths: list[str], f: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """f of a function that gives the typed value at each of the paths of a variant; one expression types them all."""
+    return let(F.transform(F.array(*[field(doc, p) for p in paths]), typed), lambda t: f(lambda p: F.get(t, F.lit(paths.index(p)))))
 
-def ensure_list(v: Column) -> Column:
-    """A list as it is, null as an empty one, anything else as a list of one."""
+
+def falsy(t: Column) -> Column:
+    """What Python takes for false of typed values: null, false, zero, and empty text, list or object."""
+    k = F.coalesce(t["kind"], F.lit("null"))
+    return F.when(k == "null", True).when(k == "string", _as(t["v"], "string") == "").when(k == "boolean", t["text"] == "False").when(k.isin("int", "float"), t["number"] == 0).otherwise(F.to_json(t["v"]).isin("[]", "{}"))
+
+
+def text_of(t: Column, default: str | None = "") -> Column:
+    return F.coalesce(t["text"], F.lit(default)) if default is not None else t["text"]
+
+
+def list_of(t: Column) -> Column:
     none = F.array().cast("array<variant>")
-    return let(v, lambda v: let(kind(v), lambda k: F.when(k == "array", _as(v, "array<variant>")).when(k == "null", none).otherwise(F.array(v))))
+    return F.when(t["kind"] == "array", _as(t["v"], "array<variant>")).when(F.coalesce(t["kind"], F.lit("null")) == "null", none).otherwise(F.array(t["v"]))
 
 
-def as_float(v: Column) -> Column:
-    """float(): numbers, booleans and numeric text; 0.0 otherwise."""
+def ensure_str(v: Column, default: str | None = "") -> Column:
+    """Text of a scalar as Python writes it, stripped if it is text; the default for null, lists and objects."""
+    return let(let(v, typed), lambda t: text_of(t, default))
 
-    def of(v: Column) -> Column:
-        number = let(F.replace(_strip(_as(v, "string")), F.lit("_"), F.lit("")), lambda t: F.when(t.rlike(r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"), t.try_cast("double")))
-        flag = F.when(_as(v, "boolean"), 1.0).otherwise(0.0)
-        return let(kind(v), lambda k: F.coalesce(F.when(k.isin("int", "float"), _as(v, "double")).when(k == "boolean", flag).when(k == "string", number), F.lit(0.0)))
 
-    return let(v, of)
+def ensure_list(v: Column) -> Column:
+    """A list as it is, null as an empty one, anything else as a list of one."""
+    return let(let(v, typed), list_of)
 
 
-def as_int(v: Column) -> Column:
-    """int(): numbers cut, booleans, text of whole numbers; 0 otherwise."""
+def float_of(t: Column) -> Column:
+    """float() of typed values: numbers, booleans and numeric text; 0.0 otherwise."""
+    plain = F.replace(t["text"], F.lit("_"), F.lit(""))
+    number = F.when(plain.rlike(r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"), plain.try_cast("double"))
+    flag = F.when(t["text"] == "True", 1.0).otherwise(0.0)
+    return F.coalesce(t["number"], F.when(t["kind"] == "boolean", flag).when(t["kind"] == "string", number), F.lit(0.0))
 
-    def of(v: Column) -> Column:
-        whole = let(_strip(_as(v, "string")), lambda t: F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint")))
-        flag = F.when(_as(v, "boolean"), 1).otherwise(0).cast("bigint")
-        return let(kind(v), lambda k: F.coalesce(F.when(k.isin("int", "float"), _as(v, "double").try_cast("bigint")).when(k == "boolean", flag).when(k == "string", whole), F.lit(0).cast("bigint")))
 
-    return let(v, of)
+def int_of(t: Column) -> Column:
+    """int() of typed values: numbers cut, booleans, text of whole numbers; 0 otherwise."""
+    whole = F.when(t["text"].rlike(r"^[+-]?\d+$"), t["text"].try_cast("bigint"))
+    flag = F.when(t["text"] == "True", 1).otherwise(0).cast("bigint")
+    return F.coalesce(t["number"].try_cast("bigint"), F.when(t["kind"] == "boolean", flag).when(t["kind"] == "string", whole), F.lit(0).cast("bigint"))
 
 
 def is_dosage(value: Column) -> Column:
@@ -99,8 +114,8 @@ def is_dosage(value: Column) -> Column:
 
 def drop_dosage_values(abnormal: Column) -> Column:
     """A list of variants without the objects whose value speaks of a dosage."""
-    spoken = lambda v: F.when(kind(v).isin("object", "array"), F.to_json(v)).otherwise(ensure_str(v))
-    return F.filter(abnormal, lambda e: ~F.when(kind(e) == "object", is_dosage(let(field(e, "value"), spoken))).otherwise(False))
+    spoken = lambda t: F.when(t["kind"].isin("object", "array"), F.to_json(t["v"])).otherwise(text_of(t))
+    return F.filter(abnormal, lambda e: fields(e, ["value"], lambda at: ~is_dosage(spoken(at("value")))))
 
 
 def is_prescription(document_type: Column) -> Column:
@@ -113,29 +128,32 @@ def clear_prescription_values(results: DataFrame, document_type: str, *lists: st
     return results.withColumns({c: F.when(is_prescription(F.col(document_type)), F.array().cast(results.schema[c].dataType)).otherwise(F.col(c)) for c in lists})
 
 
-def sanitize_header(doc: Column) -> dict[str, Column]:
-    """The fields of a document besides its lists of values and medicines."""
-    get = lambda n: field(doc, n)
-    urgency = let(F.lower(ensure_str(get("urgency_level"))), lambda u: F.when(u.isin(URGENCY), u))
-    meta, summary = get("metadata"), get("input_summary")
-    text = lambda v, d: ensure_str(v, d)
+HEADER = ["disclaimer", "overall_summary", "confidence_score", "urgency_level", "pattern_analysis", "lifestyle_action_plan", "questions_to_ask_doctor", "next_steps", "red_flags", "metadata", "input_summary"]
+METADATA, SUMMARY = ["ocr_engine", "llm_provider", "model", "processing_time_sec", "cached"], ["document_type", "detected_language", "detected_hospital", "date_of_report"]
+LISTS = ["abnormal_values", "normal_values", "medicines"]
+#: All that is asked of a document, as paths of the variant.
+PATHS = [*HEADER, *LISTS, *[f"metadata.{n}" for n in METADATA], *[f"input_summary.{n}" for n in SUMMARY]]
+
+
+def sanitize_header(at: Callable[[str], Column]) -> dict[str, Column]:
+    """The fields of a document besides its lists of values and medicines, from the typed values at PATHS."""
+    urgency = F.lower(text_of(at("urgency_level")))
+    given = lambda p: F.when(~falsy(at(p)), at(p)["v"])
     return {
-        "disclaimer": text(get("disclaimer"), ""),
-        "overall_summary": text(get("overall_summary"), NO_SUMMARY),
-        "confidence_score": as_float(get("confidence_score")),
-        "urgency_level": urgency,
-        "pattern_analysis": F.when(~falsy(get("pattern_analysis")), get("pattern_analysis")),
-        "lifestyle_action_plan": F.when(~falsy(get("lifestyle_action_plan")), get("lifestyle_action_plan")),
-        "questions_to_ask_doctor": ensure_list(get("questions_to_ask_doctor")),
-        "next_steps": ensure_list(get("next_steps")),
-        "red_flags": ensure_list(get("red_flags")),
+        "disclaimer": text_of(at("disclaimer")),
+        "overall_summary": text_of(at("overall_summary"), NO_SUMMARY),
+        "confidence_score": float_of(at("confidence_score")),
+        "urgency_level": F.when(urgency.isin(URGENCY), urgency),
+        "pattern_analysis": given("pattern_analysis"),
+        "lifestyle_action_plan": given("lifestyle_action_plan"),
+        **{n: list_of(at(n)) for n in ("questions_to_ask_doctor", "next_steps", "red_flags")},
         "metadata": F.struct(
-            as_int(field(meta, "processing_time_sec")).alias("processing_time_sec"),
-            *[text(field(meta, n), "unknown").alias(n) for n in ("ocr_engine", "llm_provider", "model")],
-            (~falsy(field(meta, "cached"))).alias("cached"),
+            int_of(at("metadata.processing_time_sec")).alias("processing_time_sec"),
+            *[text_of(at(f"metadata.{n}"), "unknown").alias(n) for n in ("ocr_engine", "llm_provider", "model")],
+            (~falsy(at("metadata.cached"))).alias("cached"),
         ),
         "input_summary": F.struct(
-            *[text(field(summary, n), "unknown").alias(n) for n in ("document_type", "detected_language")], field(summary, "detected_hospital").alias("detected_hospital"), field(summary, "date_of_report").alias("date_of_report")
+            *[text_of(at(f"input_summary.{n}"), "unknown").alias(n) for n in ("document_type", "detected_language")], *[at(f"input_summary.{n}")["v"].alias(n) for n in ("detected_hospital", "date_of_report")]
         ),
     }
 
@@ -143,60 +161,84 @@ def sanitize_header(doc: Column) -> dict[str, Column]:
 def sanitize_test_entries(entries: Column, abnormal: bool) -> Column:
     """Entries as structs with their defaults; normal ones have no severity and no lists. A missing severity is mild, an unknown one unknown."""
 
-    def clean(e: Column) -> Column:
-        texts = [ensure_str(field(e, n), d).alias(n) for n, d in TEST_TEXTS]
+    def clean(at: Callable[[str], Column]) -> Column:
+        texts = [text_of(at(n), d).alias(n) for n, d in TEST_TEXTS]
         if not abnormal:
             return F.struct(*texts)
-        severity = let(F.lower(ensure_str(field(e, "severity"), "mild")), lambda x: F.when(x.isin(SEVERITY), x).otherwise("unknown"))
-        return F.struct(*texts, severity.alias("severity"), *[ensure_list(field(e, n)).alias(n) for n in TEST_LISTS])
+        severity = F.lower(text_of(at("severity"), "mild"))
+        return F.struct(*texts, F.when(severity.isin(SEVERITY), severity).otherwise("unknown").alias("severity"), *[list_of(at(n)).alias(n) for n in TEST_LISTS])
+
+    paths = [n for n, _ in TEST_TEXTS] + (["severity", *TEST_LISTS] if abnormal else [])
+    return F.transform(entries, lambda e: fields(e, paths, clean))
 
-    return F.transform(entries, clean)
+
+MEDICINE_LISTS = ["common_side_effects", "serious_side_effects", "drug_interactions", "precautions", "lifestyle_tips"]
 
 
 def sanitize_medicines(entries: Column) -> Column:
     """Twelve fields each; lists are cut to 3; optional texts stay null."""
+    names = ["name", "generic_name", "purpose", "mechanism", "how_to_take", *MEDICINE_LISTS[:4], "generic_alternative", MEDICINE_LISTS[4], "cost_saving_tip"]
+
+    def clean(at: Callable[[str], Column]) -> Column:
+        def value(n: str) -> Column:
+            if n in MEDICINE_LISTS:
+                return F.slice(list_of(at(n)), 1, 3)
+            return at(n)["v"] if n.startswith("generic") else text_of(at(n), {"name": "Unknown", "purpose": NO_PURPOSE}.get(n))
 
-    def clean(m: Column) -> Column:
-        optional = lambda n: ensure_str(field(m, n), None).alias(n)
-        three = lambda n: F.slice(ensure_list(field(m, n)), 1, 3).alias(n)
-        return F.struct(
-            ensure_str(field(m, "name"), "Unknown").alias("name"), field(m, "generic_name").alias("generic_name"), ensure_str(field(m, "purpose"), NO_PURPOSE).alias("purpose"), optional("mechanism"), optional("how_to_take"),
-            three("common_side_effects"), three("serious_side_effects"), three("drug_interactions"), three("precautions"), field(m, "generic_alternative").alias("generic_alternative"), three("lifestyle_tips"), optional("cost_saving_tip"),
-        )
+        return F.struct(*[value(n).alias(n) for n in names])
 
-    return F.transform(entries, clean)
+    return F.transform(entries, lambda m: fields(m, names, clean))
 
 
-def would_raise(doc: Column) -> Column:
+def would_raise(at: Callable[[str], Column]) -> Column:
     """Documents that can't be cleaned field by field: normal values that are null or hold other than objects, metadata or summary of another kind."""
-    raw = field(doc, "normal_values")
-    present = raw.isNotNull()
-    bad_items = F.exists(ensure_list(raw), lambda e: kind(e) != "object")
-    normal = present & F.when(kind(raw) == "array", bad_items).when(kind(raw).isin("string", "object"), ~falsy(raw)).otherwise(F.lit(True))
-    other = [~falsy(field(doc, n)) & (kind(field(doc, n)) != "object") for n in ("metadata", "input_summary")]
+    raw = at("normal_values")
+    bad_items = F.exists(list_of(raw), lambda e: ~F.coalesce(F.startswith(F.schema_of_variant(e), F.lit("OBJECT")), F.lit(False)))
+    normal = raw["v"].isNotNull() & F.when(raw["kind"] == "array", bad_items).when(raw["kind"].isin("string", "object"), ~falsy(raw)).otherwise(F.lit(True))
+    other = [~falsy(at(n)) & (at(n)["kind"] != "object") for n in ("metadata", "input_summary")]
     return F.coalesce(reduce(lambda a, b: a | b, other, normal), F.lit(False))
 
 
+#: Types of the clean lists, for a document that has none.
+_NORMAL = "test_name string, value string, normal_range string, what_it_means string"
+_CLEAN_LISTS = {
+    "abnormal_values": f"array<struct<{_NORMAL}, severity string, {', '.join(f'{n} array<variant>' for n in TEST_LISTS)}>>",
+    "normal_values": f"array<struct<{_NORMAL}>>",
+    "medicines": "array<struct<name string, generic_name variant, purpose string, mechanism string, how_to_take string, " + ", ".join(f"{n} array<variant>" for n in MEDICINE_LISTS[:4]) + ", generic_alternative variant, lifestyle_tips array<variant>, cost_saving_tip string>>",
+}
+
+
+def empty_document(**given: Column) -> Column:
+    """The document of all defaults, but for the fields that are given."""
+    none = F.lit(None).cast("struct<kind string, text string, number double, v variant>")
+    return F.struct(*[given.get(n, c).alias(n) for n, c in (sanitize_header(lambda p: none) | {n: F.array().cast(t) for n, t in _CLEAN_LISTS.items()}).items()])
+
+
 def sanitize_column(raw: Column) -> Column:
     """A clean document struct from a variant: header, prescriptions, dosages, entries, medicines, in this order.
 
-    What isn't an object, or can't be cleaned, becomes the document of all defaults, as a row and not an error.
+    What isn't an object, or can't be cleaned, becomes the document of all defaults, as a row and not an error. The
+    values at PATHS are typed first, by one expression; all fields follow from these.
     """
+    place = {p: i for i, p in enumerate(PATHS)}
 
-    def of(doc: Column) -> Column:
-        head = sanitize_header(doc)
+    def clean(t: Column) -> Column:
+        at = lambda p: F.get(t, F.lit(place[p]))
         none = F.array().cast("array<variant>")
-        kind_of_document = ensure_str(field(field(doc, "input_summary"), "document_type"), "unknown")
-        values = lambda n: let(is_prescription(kind_of_document), lambda rx: F.when(rx, none).otherwise(ensure_list(field(doc, n))))
+        rx = is_prescription(text_of(at("input_summary.document_type"), "unknown"))
+        values = lambda n: F.when(rx, none).otherwise(list_of(at(n)))
         lists = {
             "abnormal_values": sanitize_test_entries(drop_dosage_values(values("abnormal_values")), True),
             "normal_values": sanitize_test_entries(values("normal_values"), False),
-            "medicines": sanitize_medicines(ensure_list(field(doc, "medicines"))),
+            "medicines": sanitize_medicines(list_of(at("medicines"))),
         }
-        return F.struct(*[c.alias(n) for n, c in (head | lists).items()])
+        return F.struct(*[c.alias(n) for n, c in (sanitize_header(at) | lists).items()])
 
-    empty = F.parse_json(F.lit("{}"))
-    return let(let(raw, lambda v: F.when((kind(v) != "object") | would_raise(v), empty).otherwise(v)), of)
+    def whole(t: Column) -> Column:
+        return F.when(~would_raise(lambda p: F.get(t, F.lit(place[p]))), t)
+
+    paths = let(raw, lambda v: F.transform(F.array(*[field(v, p) for p in PATHS]), typed))
+    return let(let(paths, whole), clean)
 
 
 def sanitize_results(results: DataFrame, raw: str = "raw", out: str = "doc") -> DataFrame:
@@ -207,26 +249,23 @@ def sanitize_results(results: DataFrame, raw: str = "raw", out: str = "doc") ->
 
 def conforms(doc: Column) -> Column:
     """Whether a clean document also has the schema's types in its free places: texts in lists, objects or null elsewhere."""
-    texts = lambda a: F.forall(a, lambda e: kind(e) == "string")
-    optional = lambda v, k: kind(v).isin("null", k)
-    tests = F.forall(doc["abnormal_values"], lambda e: reduce(lambda a, n: a & texts(e[n]), TEST_LISTS, F.lit(True)))
-    meds = F.forall(doc["medicines"], lambda m: reduce(lambda a, n: a & texts(m[n]), ["common_side_effects", "serious_side_effects", "drug_interactions", "precautions", "lifestyle_tips"], optional(m["generic_name"], "string") & optional(m["generic_alternative"], "string")))
-    top = texts(doc["questions_to_ask_doctor"]) & texts(doc["next_steps"]) & texts(doc["red_flags"])
-    free = optional(doc["pattern_analysis"], "object") & optional(doc["lifestyle_action_plan"], "object")
-    summary = optional(doc["input_summary"]["detected_hospital"], "string") & optional(doc["input_summary"]["date_of_report"], "string")
+    text = lambda e: F.coalesce(F.schema_of_variant(e) == "STRING", F.lit(False))
+    texts = lambda a, names: F.forall(F.concat(*[a[n] for n in names]), text)
+    optional = lambda v, k: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(k)) | (F.schema_of_variant(v) == "VOID"), F.lit(True))
+    tests = F.forall(doc["abnormal_values"], lambda e: texts(e, TEST_LISTS))
+    meds = F.forall(doc["medicines"], lambda m: texts(m, MEDICINE_LISTS) & optional(m["generic_name"], "STRING") & optional(m["generic_alternative"], "STRING"))
+    top = texts(doc, ["questions_to_ask_doctor", "next_steps", "red_flags"])
+    free = optional(doc["pattern_analysis"], "OBJECT") & optional(doc["lifestyle_action_plan"], "OBJECT")
+    summary = optional(doc["input_summary"]["detected_hospital"], "STRING") & optional(doc["input_summary"]["date_of_report"], "STRING")
     return tests & meds & top & free & summary
 
 
 def conform_results(results: DataFrame, doc: str = "doc", cached: bool = False) -> DataFrame:
     """Replaces a document that fails the schema by a minimal safe one: the cached form says so, the stored one keeps summary and confidence."""
     d = F.col(doc)
-    empty = sanitize_column(F.parse_json(F.lit("{}")))
-    keep = {} if cached else {n: d[n] for n in ("disclaimer", "overall_summary", "confidence_score", "metadata")}
-    fixed = {"overall_summary": F.lit("Result temporarily unavailable")} if cached else {}
-    safe = empty
-    for n, c in (keep | fixed).items():
-        safe = safe.withField(n, c)
-    if cached:
-        safe = safe.withField("metadata.cached", F.lit(True))
     ok = F.coalesce(conforms(d), F.lit(False))
+    if cached:
+        safe = empty_document(overall_summary=F.lit("Result temporarily unavailable")).withField("metadata.cached", F.lit(True))
+    else:
+        safe = empty_document(**{n: d[n] for n in ("disclaimer", "overall_summary", "confidence_score", "metadata")})
     return results.withColumn("conforms", ok).withColumn(doc, F.when(ok, d).otherwise(safe))
