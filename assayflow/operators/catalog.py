@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.functions.text import entity_key, title_case, truncate_indication
+from assayflow.sources.shared import numbered
 
 #: Which systems, properties and components of a code list count. Order matters in REFERENCE_RANGES and CATEGORIES.
 SYSTEMS = ["ser", "plas", "bld", "ser/plas", "ser+plas", "urine", "ur", "bld.v", "rbc", "wbc", "blood"]
@@ -124,12 +125,11 @@ def resolve_lab_catalog(codes: DataFrame, max_tests: int = 300, priority: Column
     early = joined.where(F.col("is_priority") & (F.col("cut").isNull() | (F.col("row_no") < F.col("cut"))))
     chosen = early.groupBy("key").agg(F.max_by(entry, "row_no").alias("entry"), F.min("row_no").alias("pos")).withColumn("is_priority", F.lit(True))
     others = rows.where(~F.col("is_priority")).groupBy("key").agg(F.min_by(entry, "row_no").alias("entry"), F.min("row_no").alias("pos"))
-    # One row a key from here on: a curated catalog, numbered as a whole.
     n = chosen.agg(F.count(F.lit(1)).alias("n_priority")).crossJoin(others.agg(F.count(F.lit(1)).alias("n_other")))
     room = F.lit(max_tests) - F.col("n_priority")
     most = F.when(room >= 0, room).otherwise(F.greatest(F.col("n_other") + room, F.lit(0)))
-    numbered = others.withColumn("no", F.row_number().over(Window.orderBy("pos"))).crossJoin(F.broadcast(n)).where(F.col("no") <= most)
-    rest = numbered.join(chosen.select("key"), "key", "left_anti").select("key", "entry", "pos", F.lit(False).alias("is_priority"))
+    first_ones = numbered(others, "pos", "key").crossJoin(F.broadcast(n)).where(F.col("no") < most)  # one row of counts
+    rest = first_ones.join(chosen.select("key"), "key", "left_anti").select("key", "entry", "pos", F.lit(False).alias("is_priority"))
     own = [c for c in codes.columns if c != "key"]
     return chosen.unionByName(rest).select("key", "pos", "is_priority", *[F.col(f"entry.{c}") for c in own])
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.functions.text import content_id, filled, float_text, truncate_words
+from assayflow.sources.shared import numbered
+from assayflow.sources.versions import upsert_version
 
 
 def _strip(text: Column) -> Column:
@@ -45,26 +47,27 @@ def medicine_chunks(catalog: DataFrame) -> DataFrame:
 def assign_batches(chunks: DataFrame, order: str = "ord", size: int = 64) -> DataFrame:
     """Adds batch: consecutive groups of `size` in order, for a remote client. Rows without order come first; ties are ordered by the other columns.
 
-    Positions come from counts of ranges of the order column and not from one sorted task: rows of a range are
-    numbered among themselves and start after the counts of the ranges before.
+    Positions come from ranges of the order and the counts of those before (shared.numbered), not from one sorted task.
     """
-    bucket = F.coalesce(F.floor(F.col(order) / 100_000), F.lit(-(1 << 62)))
-    counts = chunks.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    own = Window.partitionBy("__b").orderBy(F.col(order).asc_nulls_first(), F.xxhash64(*[c for c in chunks.columns if c != order] or [order]))
-    rows = chunks.withColumn("__b", bucket).join(starts, "__b")
-    return rows.withColumn("batch", F.floor((F.col("__before") + F.row_number().over(own) - 1) / size)).drop("__b", "__before")
+    ties = F.xxhash64(*[c for c in chunks.columns if c != order] or [order])
+    return numbered(chunks, F.col(order).asc_nulls_first(), ties, no="batch").withColumn("batch", F.floor(F.col("batch") / size))
+
+
+KEY = ["entity_id", "chunk_type", "source"]
+
+
+def keyed_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks with their whole keys: a missing entity is the content's id, a missing source unknown."""
+    return chunks.withColumns({"entity_id": F.coalesce("entity_id", content_id(F.col("content"))), "source": F.coalesce("source", F.lit("unknown"))})
 
 
 def upsert_knowledge(target: DataFrame, chunks: DataFrame) -> DataFrame:
     """target without the rows whose (entity_id, chunk_type, source) a chunk has, nulls alike, and the chunks: of equal keys the last by ord.
 
     target and result: content, embedding, source, entity_id, chunk_type, metadata. The result belongs in a new
-    version of the table, not over the one that is read.
+    version of the table, not over the one that is read: store_knowledge() makes one.
     """
-    key = ["entity_id", "chunk_type", "source"]
-    new = chunks.withColumns({"entity_id": F.coalesce("entity_id", content_id(F.col("content"))), "source": F.coalesce("source", F.lit("unknown"))})
+    key, new = KEY, keyed_chunks(chunks)
     new = new.groupBy(*key).agg(F.max_by(F.struct("content", "embedding"), "ord").alias("last")).select(*key, F.col("last.content").alias("content"), F.col("last.embedding").alias("embedding"), F.lit("{}").alias("metadata"))
     columns = ["content", "embedding", *key, "metadata"]
     gone = new.select(*[F.col(k).alias(f"__{k}") for k in key])
@@ -74,6 +77,12 @@ def upsert_knowledge(target: DataFrame, chunks: DataFrame) -> DataFrame:
     return target.select(*columns).join(gone, same, "left_anti").unionByName(new.select(*columns))
 
 
+def store_knowledge(path: str, chunks: DataFrame, commit: str | int | None = None) -> int:
+    """Upsert chunks(content, embedding, entity_id, chunk_type, source, ord) into the table at path as its next version; versions.read_version() reads it."""
+    rows = upsert_knowledge(chunks.limit(0).withColumn("metadata", F.lit("{}")), chunks.limit(0))
+    return upsert_version(path, keyed_chunks(chunks), KEY, upsert_knowledge, commit, schema=rows.schema)
+
+
 def build_query_text(parsed: DataFrame) -> DataFrame:
     """doc_id, query: name, value and unit of every test, then the medicines' names; null where there is nothing to ask."""
     test = lambda t: F.trim(F.concat_ws(" ", t["name"], float_text(t["value"]), t["unit"]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayflow.functions import text as fx
 from assayflow.operators import catalog, extract, jobs, knowledge, report, responses, sanitize, vectors
 from assayflow.plans import bindings as b
-from assayflow.sources import files
+from assayflow.sources import codes, files, versions
 from assayflow.streaming import limits, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,7 +99,7 @@ def read_lab_codes(spark: SparkSession, d: str) -> DataFrame:
     """The code list written as CSV in the shared folder, and read with its rules: empty columns are ''."""
     path = b_path(spark, "codes")
     b.lab_codes(spark, d).withColumn("row_id", F.col("row_no")).drop("row_no").write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
-    return files.read_lab_codes(spark, path).select(F.col("row_id").cast("long").alias("row_no"), "COMPONENT", "STATUS")
+    return codes.read_lab_codes(spark, path).select(F.col("row_id").cast("long").alias("row_no"), "COMPONENT", "STATUS")
 
 
 def b_path(spark: SparkSession, name: str) -> str:
@@ -123,7 +123,7 @@ def store_results(spark: SparkSession, d: str) -> DataFrame:
     rows = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("job_id"), doc.alias("doc"), F.lit(3).alias("processing_time"), F.lit("p").alias("llm_provider"), F.lit("m").alias("model"))
     for batch in (0, 1, 0):  # the first one is tried again
         files.store_results(rows.where(F.pmod("job_id", F.lit(2)) == batch), path, NOW, batch)
-    back = spark.read.parquet(path)
+    back = versions.read_batches(spark, path)
     return back.select("job_id", "confidence", F.length(F.get_json_object("result_json", "$.overall_summary")).cast("long").alias("n"), "cached")
 
 
@@ -316,19 +316,37 @@ def merge_catalog(spark: SparkSession, d: str) -> DataFrame:
     return catalog.merge_catalog(c.where(F.col("ord") % 2 == 0), c.withColumn("category", F.lit("new"))).select("id", "category")
 
 
-@query("""
+_UPSERTED = """
 WITH n AS (SELECT vec_id % 40 AS e, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE 'k' || vec_id % 2 END AS t, max(vec_id) AS v FROM embeddings WHERE vec_id % 4 = 0 GROUP BY 1, 2)
 SELECT 'chunk ' || v AS content, 'e' || e AS entity_id, t AS chunk_type FROM n
 UNION ALL SELECT 'old ' || vec_id, 'e' || vec_id % 50, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE 'k' || vec_id % 2 END FROM embeddings x
 WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.e = x.vec_id % 50 AND n.t IS NOT DISTINCT FROM CASE WHEN x.vec_id % 3 = 0 THEN NULL ELSE 'k' || x.vec_id % 2 END)
-""")
-def upsert_knowledge(spark: SparkSession, d: str) -> DataFrame:
+"""
+
+
+def knowledge_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = b.table(spark, d, "embeddings")
     kind = F.when(F.col("vec_id") % 3 != 0, F.concat(F.lit("k"), (F.col("vec_id") % 2).cast("string")))
     row = lambda label, n: [F.concat(F.lit(label), F.col("vec_id").cast("string")).alias("content"), "embedding", F.lit("s").alias("source"), F.concat(F.lit("e"), (F.col("vec_id") % n).cast("string")).alias("entity_id"), kind.alias("chunk_type")]
     target = e.select(*row("old ", 50), F.lit("{}").alias("metadata"))
     chunks = e.where(F.col("vec_id") % 4 == 0).select(*row("chunk ", 40), F.col("vec_id").alias("ord"))
-    return knowledge.upsert_knowledge(target, chunks).select("content", "entity_id", "chunk_type")
+    return target, chunks
+
+
+@query(_UPSERTED)
+def upsert_knowledge(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.upsert_knowledge(*knowledge_rows(spark, d)).select("content", "entity_id", "chunk_type")
+
+
+@query(_UPSERTED)
+def store_knowledge(spark: SparkSession, d: str) -> DataFrame:
+    """The same as versions of a stored table: what was there, then the chunks in two commits, the second of them twice."""
+    path = b_path(spark, "knowledge")
+    target, chunks = knowledge_rows(spark, d)
+    versions.upsert_version(path, target, knowledge.KEY, lambda old, new: new, "first")
+    for part in (0, 1, 1):
+        knowledge.store_knowledge(path, chunks.where(F.pmod(F.xxhash64(*knowledge.KEY), F.lit(2)) == part), part)
+    return versions.read_version(spark, path).select("content", "entity_id", "chunk_type")
 
 
 _REQUESTS = "SELECT event_id AS request_id, event_id % 20000 AS job_id FROM events"
@@ -808,8 +826,8 @@ def stream_extract(spark: SparkSession, d: str) -> DataFrame:
     texts = b.report_text(spark, d).unionByName(b.table(spark, d, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
     texts.write.parquet(source)
     stateful.run_to_table(spark.readStream.schema(texts.schema).parquet(source), "extract", write=stateful.stream_extract(b.lab_catalog(spark, d), b.medicine_catalog(spark), b.units(spark), path))
-    entities = spark.read.parquet(f"{path}/entities").where(F.col("doc_id") < 0)
-    values = spark.read.parquet(f"{path}/measurements").where(F.col("doc_id") >= 0)
+    entities = versions.read_batches(spark, f"{path}/entities").where(F.col("doc_id") < 0)
+    values = versions.read_batches(spark, f"{path}/measurements").where(F.col("doc_id") >= 0)
     return entities.select(F.lit("entity").alias("kind"), "doc_id", "id", F.col("category").alias("what"), F.lit(None).cast("double").alias("value")).unionByName(
         values.select(F.lit("measurement").alias("kind"), "doc_id", "id", F.col("unit").alias("what"), "value")
     )

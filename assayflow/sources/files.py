@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayflow.sources.versions import commit_batch
+
 #: Accepted extensions with the bytes that such files start with, and declared types.
 MAGIC = {".pdf": "25504446", ".jpg": "FFD8FF", ".jpeg": "FFD8FF", ".png": "89504E47"}
 MIME = ("application/pdf", "image/jpeg", "image/png")
@@ -91,20 +93,6 @@ def read_catalog(spark: SparkSession, path: str, skip_metadata: bool = True) ->
     return parse_catalog(spark.read.text(path, wholetext=True), skip_metadata)
 
 
-def read_lab_codes(spark: SparkSession, path: str) -> DataFrame:
-    """A code list with a header, all columns text, empty ones '', and row_no in the order of files and of rows in a file.
-
-    A file is read by one task, as its cells may hold line ends; rows are numbered within their file, after the counts of the files before.
-    """
-    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
-    names = [c.lstrip("\ufeff") for c in rows.columns]
-    rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at")).toDF(*names, "__file", "__at").na.fill("", names)
-    counts = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
-    starts = counts.select("__file", F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row a file
-    number = F.col("__before") + F.row_number().over(Window.partitionBy("__file").orderBy("__at")) - 1
-    return rows.join(starts, "__file").withColumn("row_no", number).drop("__file", "__at", "__before")
-
-
 def write_catalog(df: DataFrame, path: str, key: str = "id", ordered_by: str | None = None) -> None:
     """A catalog as JSON lines, sorted by key, or in insertion order by another column."""
     df.orderBy(ordered_by or key).write.mode("overwrite").json(path)
@@ -119,5 +107,8 @@ def result_rows(results: DataFrame, now: str) -> DataFrame:
 
 
 def store_results(results: DataFrame, path: str, now: str, batch: str | int) -> None:
-    """Write the result rows of a batch under path/batch=...: a batch that is tried again replaces its rows, and others stay."""
-    result_rows(results, now).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    """Commit the result rows of a batch to the table at path, to be read with versions.read_batches().
+
+    A batch that is tried again replaces its rows at once, and others stay: a reader never sees a part of either try.
+    """
+    commit_batch(result_rows(results, now), path, batch)

@@ -8,7 +8,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -44,6 +44,22 @@ def small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def numbered(df: DataFrame, *order: Column | str, no: str = "no") -> DataFrame:
+    """Adds no: 0, 1, 2... of all rows in that order, without a task that sees them all.
+
+    Rows are dealt by ranges of the order, which can be as dense or sparse as it likes, and sorted within; a row's number is its place
+    in its range and the rows of the ranges before, a prefix sum over one row each. The placed rows are stored, so that ties keep the
+    places they were counted with.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()), "numbered")
+    sizes = placed.groupBy(F.shiftright("__place", 33).alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    place = F.col("__place").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("__range", F.shiftright("__place", 33)).join(small(bases), "__range").withColumn(no, F.col("__base") + place).drop("__range", "__base", "__place")
+
+
 def write_blocks(df: DataFrame, block: str, n: int, name: str) -> str:
     """Write df in n blocks, by its column of the block's number, for tasks to read one at a time. The path in the shared folder."""
     path = shared_path(df.sparkSession, name)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from assayflow.operators.extract import alias_shards, extract_entities, extract_measurements
 from assayflow.operators.jobs import PROGRESS
 from assayflow.sources.shared import shared_path
+from assayflow.sources.versions import commit_batch
 
 def process_once(jobs: DataFrame, watermark: str | None = None, delay: str = "1 hour") -> DataFrame:
     """The first row of each job_id: in a stream within the watermark on the given time column, in a batch at all."""
@@ -87,14 +88,18 @@ class LatestCached(StatefulProcessor):
         self.doc = handle.getValueState("doc", T.StructType([T.StructField("doc", T.StringType()), T.StructField("ts", T.TimestampType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values(["written_at", "doc"]).iloc[-1]
-        ts = last["written_at"].to_pydatetime()
+        newest = None
+        for frame in rows:  # one at a time: only the newest row is held
+            last = frame.sort_values(["written_at", "doc"]).iloc[-1]
+            if newest is None or (last["written_at"], last["doc"]) >= (newest["written_at"], newest["doc"]):
+                newest = last
+        ts = newest["written_at"].to_pydatetime()
         if not self.doc.exists() or ts >= self.doc.get()[1]:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-            self.doc.update((last["doc"], ts))
-            self.handle.registerTimer(int(last["written_at"].timestamp() * 1000) + int(last["ttl_sec"]) * 1000)
-            yield pd.DataFrame({"job_id": [key[0]], "doc": [last["doc"]], "written_at": pd.to_datetime([ts]), "live": [True]})
+            self.doc.update((newest["doc"], ts))
+            self.handle.registerTimer(int(newest["written_at"].timestamp() * 1000) + int(newest["ttl_sec"]) * 1000)
+            yield pd.DataFrame({"job_id": [key[0]], "doc": [newest["doc"]], "written_at": pd.to_datetime([ts]), "live": [True]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.doc.exists():
@@ -107,7 +112,10 @@ class LatestCached(StatefulProcessor):
 
 
 def latest_cached_stream(cache: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """The newest of cache(job_id, doc, written_at, ttl_sec) for each job as it comes (live), and again when its lifetime in event time ends (not live)."""
+    """The newest of cache(job_id, doc, written_at, ttl_sec) for each job as it comes (live), and again when its lifetime in event time ends (not live).
+
+    A newer row takes an older one's place with its own lifetime, be it shorter; an older one that comes late changes nothing.
+    """
     rows = cache.select("job_id", "doc", "written_at", "ttl_sec").withWatermark("written_at", delay)
     return rows.groupBy("job_id").transformWithStateInPandas(statefulProcessor=LatestCached(), outputStructType=CACHED, outputMode="Append", timeMode="EventTime")
 
@@ -119,16 +127,16 @@ def latest_cached(cache: DataFrame, now: str) -> DataFrame:
 
 
 def stream_extract(tests: DataFrame, medicines: DataFrame, units: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends the measurements and entities of each micro-batch under path/measurements and path/entities.
+    """A foreachBatch function that commits the measurements and entities of each micro-batch to the tables path/measurements and path/entities.
 
-    Rows carry the batch id and its folder is overwritten, so a repeated batch leaves no second copy. The tests' aliases are
-    made into automata once, for all batches.
+    They are read with versions.read_batches(). A repeated batch replaces its rows, in each table at once. The tests' aliases are made into
+    automata once, for all batches.
     """
     shards = alias_shards(tests)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        extract_measurements(batch, tests, units, shards=shards).write.mode("overwrite").parquet(f"{path}/measurements/batch={batch_id}")
-        extract_entities(batch, medicines).write.mode("overwrite").parquet(f"{path}/entities/batch={batch_id}")
+        commit_batch(extract_measurements(batch, tests, units, shards=shards), f"{path}/measurements", batch_id)
+        commit_batch(extract_entities(batch, medicines), f"{path}/entities", batch_id)
 
     return write
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from assayflow.operators import catalog
-from assayflow.sources import files
+from assayflow.sources import codes, files
 
 
 def restated(rows, most):
@@ -32,7 +32,7 @@ def test_resolve(spark):
 def test_lab_codes_file(spark, tmp_path):
     path = tmp_path / "codes.csv"
     path.write_text('﻿LOINC_NUM,COMPONENT,STATUS\n1,"Glucose, ""fasting""",ACTIVE\n2,,\n', encoding="utf-8")
-    rows = files.read_lab_codes(spark, str(path)).orderBy("row_no").collect()
+    rows = codes.read_lab_codes(spark, str(path)).orderBy("row_no").collect()
     assert [tuple(r) for r in rows] == [("1", 'Glucose, "fasting"', "ACTIVE", 0), ("2", "", "", 1)]
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayflow.operators import jobs, knowledge, report, vectors
-from assayflow.sources import files, shared
+from assayflow.sources import codes, files, shared, versions
 from assayflow.streaming import limits, stateful
 
 NOW = "2024-01-31 00:00:00"
@@ -118,13 +118,13 @@ def test_results_of_a_repeated_batch(spark, tmp_path):
     rows = rows.select("job_id", doc.alias("doc"), F.lit(3).alias("processing_time"), F.lit("p").alias("llm_provider"), F.lit("m").alias("model"))
     for batch, ids in ((0, (1,)), (1, (2,)), (0, (1,))):
         files.store_results(rows.where(F.col("job_id").isin(*ids)), str(tmp_path / "results"), NOW, batch)
-    assert sorted(r["job_id"] for r in spark.read.parquet(str(tmp_path / "results")).collect()) == [1, 2]
+    assert sorted(r["job_id"] for r in versions.read_batches(spark, str(tmp_path / "results")).collect()) == [1, 2]
 
 
 def test_code_lists_of_several_files(spark, tmp_path):
     for name, text in (("b.csv", 'A,B\n1,"x\ny"\n2,\n'), ("a.csv", "A,B\n3,z\n")):
         (tmp_path / name).write_text(text)
-    got = [(r["row_no"], r["A"], r["B"]) for r in files.read_lab_codes(spark, str(tmp_path)).orderBy("row_no").collect()]
+    got = [(r["row_no"], r["A"], r["B"]) for r in codes.read_lab_codes(spark, str(tmp_path)).orderBy("row_no").collect()]
     assert got == [(0, "3", "z"), (1, "1", "x\ny"), (2, "2", "")]
 
 
@@ -136,6 +136,25 @@ def test_batches_of_nulls_and_ties(spark):
     assert {b for i, b in got[0] if i < 3} == {0, 1} and got[0][6] == (6, 3)
 
 
+def test_batches_of_a_sparse_order(spark):
+    """Order values far apart, all equal, or nearly so: the same numbers, and no window but over the ranges."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        for step in (0, 1, 10**9):
+            rows = [(i * step, i) for i in range(1000)]
+            df = spark.createDataFrame(rows, "ord long, i long").repartition(5)
+            got = {r["i"]: r["batch"] for r in knowledge.assign_batches(df, size=64).collect()}
+            assert sorted(got.values()) == [i // 64 for i in range(1000)] and (step == 0 or got == {i: i // 64 for i in range(1000)})
+            numbers = shared.numbered(df, "ord", "i")
+            assert {r["i"]: r["no"] for r in numbers.collect()} == {i: i for i in range(1000)}
+            placed = numbers._jdf.queryExecution().optimizedPlan().toString()
+            assert placed.count("Window") == 1 and "Window [sum(__n" in placed
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert shared.numbered(df.limit(0), "ord").count() == 0
+
+
 def test_shared_folder(monkeypatch):
     class Session:
         def __init__(self, master, folder=None):
@@ -165,17 +184,20 @@ def test_stuck_and_cached(spark, tmp_path):
 
 def test_latest_cached_stream(spark, tmp_path):
     c = [(1, "old", "2024-01-01 00:00:00", 3600), (1, "new", "2024-01-01 00:10:00", 3600), (2, "short", "2024-01-01 00:00:00", 60), (1, "older", "2024-01-01 00:05:00", 3600), (3, "late", "2024-01-01 00:40:00", 3600), (3, "later", "2024-01-01 00:50:00", 3600)]
+    # Lifetimes of their own: 4's newer row ends before its older one would; 5's newer one, which comes first, outlasts it.
+    c += [(4, "long", "2024-01-01 00:00:00", 9999), (4, "brief", "2024-01-01 00:12:00", 60), (5, "lasts", "2024-01-01 00:12:00", 9999), (5, "before", "2024-01-01 00:11:00", 60)]
     rows = [(j, d, at(t), ttl) for j, d, t, ttl in c]
     schema = "job_id long, doc string, written_at timestamp, ttl_sec int"
-    stream = write_batches(spark, tmp_path, [rows[:1], rows[1:3], rows[3:5], rows[5:]], schema)
+    rows = rows[:1] + rows[6:7] + rows[1:3] + rows[7:9] + rows[3:5] + rows[9:] + rows[5:6]
+    stream = write_batches(spark, tmp_path, [rows[:2], rows[2:6], rows[6:9], rows[9:]], schema)
     path = stateful.run_to_table(stateful.latest_cached_stream(stream, "10 minutes"), "cached-test")
     out = spark.read.parquet(path).collect()
     live = {}
     for r in sorted(out, key=lambda r: (r["written_at"], not r["live"])):
         live[r["job_id"]] = r["doc"] if r["live"] else None
-    assert live == {1: "new", 2: None, 3: "later"}
+    assert live == {1: "new", 2: None, 3: "later", 4: None, 5: "lasts"}
     batch = stateful.latest_cached(spark.createDataFrame(rows, schema), "2024-01-01 00:50:00")
-    assert {r["job_id"]: r["doc"] for r in batch.collect()} == {1: "new", 3: "later"}
+    assert {r["job_id"]: r["doc"] for r in batch.collect()} == {1: "new", 3: "later", 4: "long", 5: "lasts"}
 
 
 def test_job_state_stream(spark, tmp_path):
