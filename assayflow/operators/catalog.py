@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.functions.text import entity_key, title_case, truncate_indication
-from assayflow.sources.shared import numbered
+from assayflow.sources.shared import numbered, stored
 
 #: Which systems, properties and components of a code list count. Order matters in REFERENCE_RANGES and CATEGORIES.
 SYSTEMS = ["ser", "plas", "bld", "ser/plas", "ser+plas", "urine", "ur", "bld.v", "rbc", "wbc", "blood"]
@@ -117,7 +117,7 @@ def resolve_lab_catalog(codes: DataFrame, max_tests: int = 300, priority: Column
     keys exceed max_tests, as many of the others are left off the end.
     """
     first = F.coalesce(priority if priority is not None else is_priority(F.col("COMPONENT")), F.lit(False))
-    rows = codes.withColumn("is_priority", first)
+    rows = stored(codes.withColumn("is_priority", first), "codes")  # read several times
     entry = F.struct(*[F.col(c) for c in codes.columns])
     cut = F.min(F.when(~F.col("is_priority"), F.col("row_no")))
     keyed = rows.groupBy("key").agg(cut.alias("cut"))

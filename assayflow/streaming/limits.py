@@ -107,16 +107,17 @@ def _enter(pieces: DataFrame, entries: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("key", "__block").applyInArrow(down, ENTRY)
 
 
-def entering_windows(pieces: DataFrame, width: int) -> DataFrame:
-    """key, piece, start, n: with which window each of the pieces is entered. pieces is read several times and has to be a stored table.
+def entering_windows(pieces: DataFrame, width: int, ranges: int) -> DataFrame:
+    """key, piece, start, n: with which window each of the pieces, numbered below ranges, is entered. pieces is read several times and has to be a stored table.
 
-    A scan over functions: pieces of a key, which are numbered in order, are composed FAN at a time until each key is one, which is
-    entered without a window; then back down, each is entered with what those before it leave. A task holds FAN pieces.
+    A scan over functions: pieces of a key, which are numbered in order, are composed FAN at a time until no key has more than FAN; the first
+    is entered without a window, each other one with what those before it leave, and so back down to the pieces. A task holds FAN pieces.
     """
     levels = [pieces]
-    while levels[-1].groupBy("key").count().where("count > 1").limit(1).count():
+    while ranges > FAN:
         levels.append(stored(_compose(levels[-1], width), "limit-pieces"))
-    entries = levels.pop().select("key", "piece", F.lit(NONE).alias("start"), F.lit(0).cast("long").alias("n"))
+        ranges = -(-ranges // FAN)
+    entries = levels[-1].select("key", F.lit(0).cast("long").alias("piece"), F.lit(NONE).alias("start"), F.lit(0).cast("long").alias("n")).distinct()
     while levels:
         entries = _enter(levels.pop(), entries, width)
     return entries
@@ -175,7 +176,7 @@ def rate_limit(requests: DataFrame, limit: int = 10, window_s: int = 60) -> Data
         yield pa.RecordBatch.from_pylist(out, pa.schema([(c, pa.binary() if c in ("at", "start", "n") else pa.int64()) for c in ("key", "piece", "size", "since", "upto", "at", "start", "n")]))
 
     pieces = stored(rows.select("key", "ts").mapInArrow(ends, PIECE), "limit-pieces")
-    entered = entering_windows(pieces, width).where(F.col("start") != NONE).collect()  # one row a range at most: its first key's
+    entered = entering_windows(pieces, width, ranges).where(F.col("start") != NONE).collect()  # one row a range at most: its first key's
     entries = {(r["piece"], r["key"]): (r["start"], r["n"]) for r in entered}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
