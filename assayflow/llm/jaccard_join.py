@@ -213,17 +213,25 @@ def rest_pairs(met: DataFrame, comp: DataFrame, elements: DataFrame) -> DataFram
     elements in order of frequency, the first common one stands early in both. For the smaller set that is its
     first ninth, for the larger one up to a fifth, the less the nearer their sizes. So each set is dealt by its early
     elements and the fine bands of sizes that these allow; elements of one component lead nowhere.
+
+    Sets of one component that hold the same of what other components have differ to those in size only. If one of them links with
+    a set elsewhere, the smallest does, and one link joins all of both components; so the smallest stands for all. Texts put together
+    from passages that many share, each with words of its own, so meet once for each way of putting them together and not once each.
     """
     labelled = met.select("sign", "node", "size").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = labelled.groupBy("sign").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") < F.col("most"))
     rest = stored(labelled.join(stored(split.select("sign"), "jaccard-split"), "sign", "left_semi").select("node", "size", "component").distinct(), "jaccard-rest")
     rows = rest.join(elements, "node").select("node", "size", "component", F.explode("elements").alias("element"))
     often = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("n") > 1)
-    often = stored(often, "jaccard-elements-often")
+    often = stored(rows.join(stored(often, "jaccard-elements-often"), "element"), "jaccard-rest-elements")
+    abroad = F.col("least") < F.col("most")  # elements that another component has too: only those can be common
+    prints = [F.bit_xor(F.when(abroad, F.xxhash64("element", F.lit(k)))).alias(f"print{k}") for k in (0, 1)]
+    alike = often.groupBy("component", "node", "size").agg(F.count_if(abroad).alias("abroad"), *prints).where(F.col("abroad") > 0)
+    alike = stored(alike.groupBy("component", "abroad", "print0", "print1").agg(F.min(F.struct("size", "node")).alias("first")).select(F.col("first.node").alias("node")), "jaccard-alike")
     own = Window.partitionBy("node")
     # Elements of one set alone come first; they need no row.
     after = F.row_number().over(own.orderBy("n", "element")) + F.col("size") - F.count(F.lit(1)).over(own) - 1
-    early = rows.join(often, "element").withColumn("left", F.col("size") - after).where(F.col("least") < F.col("most"))
+    early = often.join(alike, "node", "left_semi").withColumn("left", F.col("size") - after).where(abroad)
     early = early.select("node", "size", "component", "element", "left")
     need = F.lit(SIMILARITY / (100 + SIMILARITY))  # of both sizes together, what the common elements are at least
     band = lambda size: F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / float(np.log(FINE))).cast("int")

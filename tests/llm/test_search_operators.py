@@ -193,6 +193,41 @@ def test_shingle_sets():
     assert s[0] == s[1] and [len(x) for x in s] == [2, 2, 1, 0, 0, 6] and set(s[0]) <= set(s[5])
 
 
+def test_jaccard_join_of_shared_passages(spark, monkeypatch):
+    """Texts of 7 out of 12 passages that all share: the classes of brute force, and candidates that grow no faster than the rows by much."""
+    rng = random.Random(6)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passages, counted, stored = [some(40) for _ in range(12)], {}, jaccard_join.stored
+    texts = [" ".join(passages[k] for k in sorted(rng.sample(range(12), 7))) + " " + some(rng.randrange(1, 40)) for _ in range(600)]
+
+    def watched(df, name, **options):
+        out = stored(df, name, **options)
+        counted[name] = out.count() if name in ("jaccard-last", "jaccard-alike") else 0
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", watched)
+    candidates = []
+    for n in (300, 600):
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicate_classes(docs).collect()}
+        candidates.append(counted["jaccard-last"])
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts[:n])]
+        root = list(range(n))
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a in range(n):
+            for b in range(a):
+                if 100 * len(both := sets[a] & sets[b]) >= 80 * (len(sets[a]) + len(sets[b]) - len(both)):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+        assert got == {i: find(i) for i in range(n)}
+    assert candidates[1] < 3 * candidates[0] and counted["jaccard-alike"] < 550
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 16))
