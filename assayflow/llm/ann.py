@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from assayflow.llm.common import small
 
-#: Trees; vectors of the sample that fits the splits, at most about; of its vectors, those in a leaf at least.
-TREES, SAMPLE, LEAF = 6, 20_000, 32
-#: Of N rows a query visits the leaves of VISIT * (VISIT_ROWS / N) ** VISIT_POWER * N, in all trees together: a share that falls with N.
-VISIT, VISIT_ROWS, VISIT_POWER = 1.4, 2_000, 0.25
+#: Trees; vectors of the sample that fits the splits, at most; of its vectors, those in a leaf at least.
+TREES, SAMPLE, LEAF = 6, 20_000, 8
+#: Queries, at most, whose exact answers say how many leaves to visit, and the share of their nearest rows that has to be found.
+MEASURED, RECALL = 256, 0.95
 #: Leaves below one node of this depth are searched in one group.
 GROUPED = 5
 #: Rows and queries that meet in one group at most about, so that a hot leaf is split.
@@ -51,10 +51,10 @@ def grow(sample: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
 
 
 def fit_forest(vectors: DataFrame, n: int, trees: int = TREES, sample: int = SAMPLE) -> list[Tree]:
-    """Fit on about `sample` of the n vectors(id, vec), chosen by hash of the vector and id, as deep as LEAF lets the sample go."""
-    share = min(1.0, sample / max(n, 1))
+    """Fit on at most `sample` of the n vectors(id, vec), those of least hash of vector and id, as deep as LEAF lets the sample go."""
     h = F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30))
-    rows = np.array([r["vec"] for r in vectors.where(h < int(share * (1 << 30))).select("vec").collect()], np.float64)
+    near = vectors.where(h < int(min(1.0, 1.2 * sample / max(n, 1)) * (1 << 30)))  # so that few have to be ordered
+    rows = np.array([r["vec"] for r in near.orderBy(h, "id").limit(sample).select("vec").collect()], np.float64)
     if not len(rows):
         rows = np.zeros((1, 1))
     rows = rows[np.lexsort(rows.T)]
@@ -90,10 +90,82 @@ def visits(forest: list[Tree], q: np.ndarray, n: int) -> list[tuple[int, int]]:
     return found
 
 
-def leaves_to_visit(n: int, leaves_a_tree: int, trees: int) -> int:
-    """Of all leaves of the forest, how many a query visits among n rows."""
-    share = VISIT * (VISIT_ROWS / max(n, 1)) ** VISIT_POWER
-    return max(1, min(trees * leaves_a_tree, math.ceil(share * leaves_a_tree)))
+def places(forest: list[Tree], q: np.ndarray) -> np.ndarray:
+    """Trees x leaves: the place of each leaf in visits() of all leaves. A leaf comes by the squared margins on its way, then by tree and number."""
+    crossed = []
+    for tree in forest:
+        margin = tree.normals @ q - tree.offsets
+        level = np.zeros(1)
+        while len(level) <= len(margin):
+            m = margin[len(level) - 1 : 2 * len(level) - 1]
+            right = m > 0
+            level = np.stack([level + np.where(right, m * m, 0), level + np.where(right, 0, m * m)], axis=1).ravel()
+        crossed.append(level)
+    order = np.argsort(np.concatenate(crossed), kind="stable")
+    out = np.empty(len(order), np.int32)
+    out[order] = np.arange(len(order))
+    return out.reshape(len(forest), -1)
+
+
+class Exact:
+    """The k nearest rows seen so far of each of some queries, and the least place of a leaf that holds the row in the query's visits."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, place: np.ndarray, k: int):
+        self.ids, self.q, self.place, self.k = ids, q, place, k
+        self.square, self.worst = (q * q).sum(axis=1), np.full(len(q), np.inf)
+        self.found = np.empty((0, 3))  # query, distance, place
+        self.rows = np.empty(0, np.int64)
+
+    def see(self, ids: np.ndarray, x: np.ndarray, own: np.ndarray) -> None:
+        square = (x * x).sum(axis=1)
+        rough = self.square[:, None] + square - 2 * (self.q @ x.T)
+        bound = self.worst**2
+        if len(ids) > 2 * self.k:  # one of them may be the query itself, and others may repeat an id
+            bound = np.minimum(bound, np.partition(rough, 2 * self.k, axis=1)[:, 2 * self.k]) if len(np.unique(ids)) == len(ids) else bound
+        near = rough <= (bound + 1e-9 * (1 + self.square + square.max(initial=0)))[:, None]
+        query, row = np.nonzero(near & (ids != self.ids[:, None]))
+        diff = self.q[query] - x[row]
+        place = self.place[query[:, None], np.arange(own.shape[1]), own[row]].min(axis=1)
+        found = np.concatenate([self.found, np.stack([query, np.sqrt((diff * diff).sum(axis=1)), place], axis=1)])
+        rows = np.concatenate([self.rows, ids[row]])
+        # An id counts once for a query, at its least distance and place; then the k nearest stay.
+        order = np.lexsort((found[:, 2], found[:, 1], rows, found[:, 0]))
+        first = order[np.flatnonzero(np.append(True, (np.diff(found[order, 0]) != 0) | (np.diff(rows[order]) != 0)))] if len(order) else order
+        first = first[np.lexsort((rows[first], found[first, 1], found[first, 0]))]
+        begin = np.searchsorted(found[first, 0], np.arange(len(self.q)))
+        rank = np.arange(len(first)) - begin[found[first, 0].astype(int)]
+        keep = first[rank < self.k]
+        self.found, self.rows = found[keep], rows[keep]
+        full = first[rank == self.k - 1]
+        self.worst[found[full, 0].astype(int)] = found[full, 1]
+
+
+def leaves_to_visit(rows: DataFrame, forest: list[Tree], every: int, k: int) -> int:
+    """How many leaves a query visits: as many as find RECALL of the k nearest of MEASURED queries, by their exact answers among all rows(id, vec).
+
+    The queries measured are those of least hash of id, all if they are fewer. Their answers take one pass over the rows, in which a
+    task keeps k rows a query, and so do tasks the answers of different rows; a small table comes back.
+    """
+    asked = rows.where(F.col("id") % every == 0).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(MEASURED).collect()
+    if not asked:
+        return 1
+    ids, q = np.array([r["id"] for r in asked], np.int64), np.array([r["vec"] for r in asked], np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast((forest, ids, q, np.stack([places(forest, v) for v in q])))
+
+    def see(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees, of, vectors, place = shared.value
+        best = Exact(of, vectors, place, k)
+        for f in frames:
+            if len(f):
+                x = np.stack(f["vec"].to_numpy())
+                best.see(f["id"].to_numpy(), x, leaves(trees, x))
+        yield pd.DataFrame({"query": best.found[:, 0].astype(int), "id": best.rows, "score": best.found[:, 1], "place": best.found[:, 2].astype(int)})
+
+    each = rows.mapInPandas(see, "query int, id long, score double, place int").groupBy("query", "id").agg(F.min("score").alias("score"), F.min("place").alias("place"))
+    order = Window.partitionBy("query").orderBy("score", "id")
+    found = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("place").collect()  # k * MEASURED rows
+    place = sorted(r["place"] for r in found)
+    return place[math.ceil(RECALL * len(place)) - 1] + 1 if place else 1
 
 
 def nearest(ids: np.ndarray, x: np.ndarray, square: np.ndarray, own: int, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,18 +197,17 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
     Candidates are all other usable rows of the dimension that most rows have (the smaller of equal ones);
     null ids take no part. The forest is fitted on a bounded sample; every row is put into a leaf of every
-    tree. Leaves and queries meet in groups, below a node and in blocks of bounded size, where the exact
+    tree. How many leaves a query visits follows from the recall that is measured on this table (leaves_to_visit), at every size alike. Leaves and queries meet in groups, below a node and in blocks of bounded size, where the exact
     Euclidean distance in double precision ranks the rows of the leaves that a query visits; so a leaf full of
     equal vectors is many tasks. Ties go to the smaller id. Repeated ids are one candidate, at their smallest distance.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
     sizes = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     rows = rows.where(F.size("vec") == (sizes[0]["d"] if sizes else 0))
-    n_rows = sizes[0]["n"] if sizes else 0
-    forest = fit_forest(rows, n_rows)
+    forest = fit_forest(rows, sizes[0]["n"] if sizes else 0)
     shared = vectors.sparkSession.sparkContext.broadcast(forest)
     a_tree = len(forest[0].offsets) + 1
-    budget = leaves_to_visit(n_rows, a_tree, len(forest))
+    budget = leaves_to_visit(rows, forest, every, k)
     below = max(1, a_tree >> GROUPED)  # leaves of a group
 
     def to_leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
