@@ -226,8 +226,9 @@ def histogram(frame: Frame) -> list[int]:
 
 
 def column_map(df: DataFrame, column: str, schema: str, make: Callable[[bytes | None], dict]) -> DataFrame:
-    """df with the fields of schema, made from one binary column inside the tasks, in small batches."""
+    """df with the fields of schema, made from one binary column inside the tasks, in small batches. Columns of those names are replaced."""
     names = [f.strip().split(" ", 1)[0] for f in schema.split(", ")]  # a type has no blank after its commas
+    df = df.drop(*[n for n in names if n != column])
     out_schema = df.select("*", *[F.lit(None).cast(f.strip().split(" ", 1)[1]).alias(f.strip().split(" ", 1)[0]) for f in schema.split(", ")]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,9 +280,16 @@ def feature(frames: Column) -> Column:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Digests of every stored image, from its decoded bytes, with its timed frames and the feature() of their histograms."""
+    """Digests of every stored image, from its decoded bytes, with its timed frames and the feature() of their histograms.
 
-    def make(data: bytes) -> dict:
+    A null image has null in all of them; equal images have equal values; repeated rows stay; an empty table gives an empty one. Columns of
+    those names are replaced, all others but media pass through.
+    """
+    none = dict.fromkeys(("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames"))
+
+    def make(data: bytes | None) -> dict:
+        if data is None:
+            return none
         frames = read_gif(data)
         own = payload(frames)
         return {

@@ -103,6 +103,11 @@ def test_gif_documents(odd_docs, no_docs):
             total += want_bins
         colours = ",".join(f"{i}:{total[i] * 1000 // total.total()}" for i in sorted(total))
         assert r["feature"] == f"frames={len(frames)};ms={40 * len(frames)};colours={colours}"
+    clash = media.withColumns({"media": F.lit(None).cast("binary"), "frames": F.lit("old"), "payload_bytes": F.lit("old"), "kept": F.lit(1)})
+    null = gif.describe(clash)
+    assert null.columns.count("frames") == 1 and null.columns.count("payload_bytes") == 1
+    assert {(r["payload_bytes"], r["media_sha256"], r["frames"], r["feature"], r["kept"]) for r in null.collect()} == {(None, None, None, None, 1)}
+    assert gif.frames_of(media.withColumn("frames", F.lit("old"))).columns.count("frames") == 1
     none = gif.frames_of(media.withColumn("media", F.lit(None).cast("binary"))).first()
     assert none["frames"] is None and gif.frames_of(media).where("doc_id = 58").first()["frames"]
     assert gif.describe(gif.store_texts(no_docs)).count() == 0
