@@ -125,23 +125,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = BYTE_LEVEL, text: st
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Adds decoded, the binary pieces of the ids put together; a null array gives null."""
-    tokens = tokens.drop(decoded)
-    schema = tokens.select("*", F.lit(None).cast("binary").alias(decoded)).schema
+    """Adds decoded, the binary pieces of the ids put together; a null array gives null, an empty one no bytes, an id without a piece is an error.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [b""] * (max(load_ranks(ranks_path).values()) + 1)
-        for piece, rank in load_ranks(ranks_path).items():
-            pieces[rank] = piece
-        get = pieces.__getitem__
-        for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
-                column = batch.column(ids)
-                out = [b"".join(map(get, x.values.to_numpy().tolist())) if x.is_valid else None for x in column]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, decoded])
-
-    return tokens.mapInArrow(run, schema)
+    Higher-order functions alone: the pieces are a literal array, as text of one character a byte, which is joined and
+    turned to bytes. A column of that name is replaced; repeated rows stay; an empty table gives an empty one.
+    """
+    pieces: list = [None] * (max(load_ranks(ranks_path).values()) + 1)
+    for piece, rank in load_ranks(ranks_path).items():
+        pieces[rank] = piece.decode("latin-1")
+    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+    text = F.array_join(F.transform(F.col(ids), lambda i: table.getItem(i)), "")
+    return tokens.drop(decoded).withColumn(decoded, F.encode(text, "ISO-8859-1"))
 
 
 def encode_pieces_native(pieces: DataFrame, ranks_path: str, piece: str = "piece", ids: str = "ids") -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -63,6 +64,13 @@ def test_bpe(spark, odd_docs, no_docs):
     for r in bpe.decode(encoded, RANKS).collect():
         assert r["ids"] == enc.encode_ordinary(r["text"] or "") and bytes(r["decoded"]).decode() == (r["text"] or "")
     assert encoded.columns.count("ids") == 1 and bpe.encode(no_docs, RANKS).count() == 0
+    odd = spark.createDataFrame([(1, None, "old"), (2, [], "old"), (3, [0, 255, 50255, 198], "old")], "i long, ids array<int>, decoded string")
+    pieces = {r: p for p, r in bpe.load_ranks(RANKS).items()}
+    assert [r["decoded"] and bytes(r["decoded"]) for r in bpe.decode(odd, RANKS).orderBy("i").collect()] == [None, b"", pieces[0] + pieces[255] + pieces[50255] + pieces[198]]
+    assert "InArrow" not in bpe.decode(odd, RANKS)._jdf.queryExecution().optimizedPlan().nodeName()
+    for bad in (60_000, -1, -2):
+        with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):
+            bpe.decode(spark.createDataFrame([([bad],)], "ids array<int>"), RANKS).collect()
 
 
 def test_bpe_pieces(spark):
