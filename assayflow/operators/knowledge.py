@@ -14,6 +14,7 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+# The sentences of chunks, here and in medicine_chunks(), are what is stored and searched.
 def test_chunks(catalog: DataFrame) -> DataFrame:
     """ord, chunk_no, content, source, entity_id, category, chunk_type: a factual and, with a meaning or causes, a clinical text of every test.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Removes what was written under new shared paths within it, but those that are put into the list it gives, and what was to stay of inner ones.
+
+    For a step whose result is written by its end: nothing reads its intermediate tables any more. An error leaves them.
+    """
+    first, stays = len(_made), []
+    yield stays
+    for path in [p for p in _made[first:] if p not in stays]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        if fs.get_file_info(root).type == pafs.FileType.Directory:
+            fs.delete_dir(root)
+    _made[first:] = stays
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assayflow.llm import bpe, jaccard_join, language_id, line_dedup, mixing
 from assayflow.llm.common import bounded_batches, read_table, small, stored
+from assayflow.sources.shared import scratch, shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least certainty of a document's words, each in its own language: below it, no language fits.
@@ -79,8 +80,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder and read again. What a stage wrote besides goes when it is done."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_path(spark, f"pipeline-{name}")
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

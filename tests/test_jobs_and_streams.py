@@ -155,6 +155,26 @@ def test_batches_of_a_sparse_order(spark):
     assert shared.numbered(df.limit(0), "ord").count() == 0
 
 
+def test_scratch_tables_go(spark):
+    """What a step wrote goes at its end, but what it says shall stay, and what was there before; an error leaves all."""
+    rows = spark.range(3)
+    before = shared.stored(rows, "before")
+    with shared.scratch() as stays:
+        gone = shared.stored(rows, "gone")
+        with shared.scratch() as inner:
+            kept = shared.stored(rows, "kept")
+            inner.append(shared._made[-1])
+        stays += inner
+        shared.shared_path(spark, "never-written")
+    assert before.count() == kept.count() == 3
+    with pytest.raises(Exception, match="(?i)file"):
+        gone.count()
+    with pytest.raises(ZeroDivisionError), shared.scratch():
+        left = shared.stored(rows, "left")
+        1 / 0
+    assert left.count() == 3
+
+
 def test_shared_folder(monkeypatch):
     class Session:
         def __init__(self, master, folder=None):
