@@ -134,7 +134,7 @@ def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", decoded: str =
     for piece, rank in load_ranks(ranks_path).items():
         pieces[rank] = piece.decode("latin-1")
     table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    text = F.array_join(F.transform(F.col(ids), lambda i: table.getItem(i)), "")
+    text = F.array_join(F.transform(F.col(ids), lambda i: table[i]), "")
     return tokens.drop(decoded).withColumn(decoded, F.encode(text, "ISO-8859-1"))
 
 

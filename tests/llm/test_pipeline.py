@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version of each stage's decisions."""
 
+import os
 import random
 
 import corpus_pipeline
@@ -12,6 +13,7 @@ from test_text_operators import restated_targets
 
 from assayflow.llm import bpe, language_id
 from assayflow.llm.common import stored
+from assayflow.sources import shared
 
 
 def test_stages(spark):
@@ -71,3 +73,16 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, ""), name)
     assert docs.count() == 0
+
+
+def test_run_leaves_its_stages_alone(spark, tmp_path):
+    """run() gives the rows of its stages, and of all that it wrote only the stages' results are still there."""
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).write.parquet(str(tmp_path / "documents.parquet"))
+    made = len(shared._made)
+    got = sorted((r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = [os.path.basename(p).rsplit("-", 1)[0] for p in shared._made[made:] if os.path.isdir(p.removeprefix("file://"))]
+    assert names == [f"pipeline-{n}" for n, _ in corpus_pipeline.STAGES[:-1]]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, ""), name)
+    assert got == sorted((r["doc_id"], r["decoded_sha256"]) for r in docs.collect())

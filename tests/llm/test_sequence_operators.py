@@ -7,13 +7,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assayflow.llm import fill_middle, packing, resample, token_files
+from assayflow.llm import fill_middle, packing, queries, resample, token_files
 from assayflow.sources.shared import shared_path
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -104,6 +105,18 @@ def test_resample(spark, odd_docs, no_docs):
     assert resample.resample(few, target.limit(0)).count() == 5
 
 
+@pytest.mark.parametrize("name", ["op11_fill_middle", "op12_resample"])
+def test_sql(spark, name):
+    """The query has the rows of its SQL on the driver's smallest tables."""
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    other = con.execute(queries.ORACLES[name])
+    columns, want = [c[0] for c in other.description], Counter(other.fetchall())
+    df = queries.QUERIES[name](spark, folder)
+    assert sorted(df.columns) == sorted(columns) and Counter(map(tuple, df.select(*columns).collect())) == want
+
+
 def test_draw_ties(spark):
     """A score that nearly all rows share is drawn by id, over several ranges."""
     scored = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(30).cast("long").alias("n_words"), F.lit(30).cast("long").alias("n_features"), F.lit(0).cast("long").alias("weight"), F.when(F.col("id") % 10 == 0, 9).otherwise(5).cast("long").alias("score"))
