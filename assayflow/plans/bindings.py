@@ -16,12 +16,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def measurements(spark: SparkSession, d: str) -> DataFrame:
-    """One measurement a line item: its quantity against a range from the part's size. A part table is joined as Spark sees fit."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    """One measurement a line item: its quantity against a range from the part's size, and its row's place in the table. A part table is joined as Spark sees fit."""
+    place = F.struct("_metadata.file_name", "_metadata.row_index").alias("place")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", place)
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
     return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("id"), F.col("p_name").alias("name"), F.col("l_quantity").alias("value"),
-        F.lit("mg/dl").alias("unit"), (F.col("p_size") * F.lit(0.5)).cast("double").alias("normal_min"), F.col("p_size").cast("double").alias("normal_max"),
+        F.lit("mg/dl").alias("unit"), (F.col("p_size") * F.lit(0.5)).cast("double").alias("normal_min"), F.col("p_size").cast("double").alias("normal_max"), "place",
     )
 
 

@@ -615,10 +615,11 @@ SELECT doc_id, coalesce(list(name || '|' || value_str || '|' || normal_range_str
 FROM ({_ENRICHED}) GROUP BY doc_id
 """)
 def rule_based_report(spark: SparkSession, d: str) -> DataFrame:
+    """Values that are alike in all that they are ordered by, but not in their ranges, come in the order of the table."""
     m = b.measurements(spark, d)
     meds = spark.createDataFrame([], "doc_id long, id string, name string, first_pos int, ord long")
     m = m.withColumn("name_key", F.col("name")).withColumn("value_key", F.col("value"))
-    r = report.rule_based_report(m.select("doc_id").distinct(), m, meds, b.lab_catalog(spark, d), b.medicine_catalog(spark), order=("pos", "name_key", "value_key"))
+    r = report.rule_based_report(m.select("doc_id").distinct(), m, meds, b.lab_catalog(spark, d), b.medicine_catalog(spark), order=("pos", "name_key", "value_key", "place"))
     text = lambda e, names: F.concat_ws("|", *[e[n] for n in names])
     return r.select(
         "doc_id", F.transform("abnormal_values", lambda e: text(e, ("test_name", "value", "normal_range", "severity", "what_it_means"))).alias("abnormal"), F.transform("normal_values", lambda e: text(e, ("test_name", "value"))).alias("normal"),
