@@ -586,7 +586,8 @@ SELECT d.doc_id, coalesce(list(q ORDER BY place)[1:8], []) AS questions FROM (SE
 SELECT doc_id, [] FROM ({_CLASSIFIED}) GROUP BY doc_id HAVING NOT bool_or(is_abnormal)
 """)
 def build_questions(spark: SparkSession, d: str) -> DataFrame:
-    return report.build_questions(enriched(spark, d), order=("pos", "name", "value"))
+    """Values that are alike in all that they are ordered by, but not in their ranges, come in the order of the table."""
+    return report.build_questions(enriched(spark, d), order=("pos", "name", "value", "place"))
 
 
 _STEPS = "CASE WHEN NOT bool_or(is_abnormal) THEN ['Continue healthy habits', 'Repeat routine tests in 6–12 months'] WHEN bool_or(severity IN ('severe', 'critical')) THEN ['Consult your doctor within 1–2 weeks', 'Seek medical advice urgently', 'Repeat abnormal tests if advised'] ELSE ['Consult your doctor within 1–2 weeks', 'Repeat abnormal tests if advised'] END"

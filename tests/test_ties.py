@@ -24,3 +24,8 @@ def test_report_has_the_rows_of_its_sql(spark, tables):
     columns = [c[0] for c in other.description]
     own = [tuple(plain(r[c]) for c in columns) for r in QUERIES["rule_based_report"](spark, d).select(*columns).collect()]
     assert sorted(own) == sorted(tuple(map(plain, r)) for r in other.fetchall())
+
+
+def test_questions_come_in_the_order_of_the_table(spark, tables):
+    found = {r["doc_id"]: r["questions"] for r in QUERIES["build_questions"](spark, tables[0]).collect()}
+    assert {k: ["low" if "my low" in v[0] else "high", len(v)] for k, v in found.items()} == {1: ["low", 5], 2: ["high", 5], 3: ["low", 5]}
