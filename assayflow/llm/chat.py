@@ -24,7 +24,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     Each turn of target_role is an example: the text of all segments up to its own, all preceding turns as
     context, of which only the reply between loss_start and loss_end (code points in that text) is trainable. All
     examples of a conversation are prefixes of one text, which is stored once: expansion grows with the turns
-    and not with their square. examples() gives one row for each, expand() their whole texts. Turns come in
+    and not with their square. expand() gives their whole texts, examples() their last segments. Turns come in
     order of turn, role and text, nulls first; a null role or text is empty; a null conv_id is one conversation;
     repeated rows are turns of their own. A conversation is one output row, so it has to fit one; the sort
     within it may spill.
@@ -55,39 +55,49 @@ def examples(formatted: DataFrame) -> DataFrame:
 
 def expand(formatted: DataFrame) -> DataFrame:
     """conv_id, n_segments, text, loss_start, loss_end: every example with its whole text, as a trainer reads it."""
-    e = formatted.select("conv_id", "turns", F.posexplode("turns").alias("no", "t")).where(F.col("t.loss_start").isNotNull())
-    text = F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("no") + 1), lambda t: t["segment"]), "")
-    return e.select("conv_id", (F.col("no") + 1).alias("n_segments"), text.alias("text"), "t.loss_start", "t.loss_end")
+    return expand_all(formatted).where(F.col("loss_start").isNotNull()).drop("final")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """The rows of examples() with role and text, parsed by the control strings, and reply, what stands between the loss offsets."""
-    inner = F.substr("segment", F.lit(len(OPEN) + 1), F.length("segment") - len(OPEN) - len(CLOSE))
-    fields = F.split(inner, r"\[INST\]")
-    start = (F.col("loss_start") - F.col("before")).cast("int")
-    reply = unescape(F.substr("segment", start + 1, (F.col("loss_end") - F.col("loss_start")).cast("int")))
-    return examples(formatted).withColumns({"role": unescape(fields[0]), "text": unescape(fields[1]), "reply": reply})
+def expand_all(formatted: DataFrame) -> DataFrame:
+    """The rows of expand(), and one without loss for any turns after a conversation's last example, which holds these alone.
+
+    final: does a turn that no example before has end this text last; the final texts of a conversation hold each turn once.
+    """
+    upto = F.filter(F.transform("turns", lambda t, i: F.when(t["loss_start"].isNotNull(), i + 1)), lambda i: i.isNotNull())
+    rows = formatted.select("conv_id", "turns", upto.alias("upto"), F.coalesce(F.array_max(upto), F.lit(0)).alias("last"), F.size("turns").alias("size"))
+    row = lambda first, n, final: F.struct(first.alias("first"), n.alias("n"), final.alias("final"))
+    rest = F.when(F.col("last") < F.col("size"), F.array(row(F.col("last"), F.col("size"), F.lit(True))))
+    examples = F.transform("upto", lambda n: row(F.lit(0), n, n == F.col("last")))
+    rows = rows.select("conv_id", "turns", F.explode(F.concat(examples, F.coalesce(rest, F.array().cast("array<struct<first:int,n:int,final:boolean>>")))).alias("x"))
+    text = F.array_join(F.transform(F.slice("turns", F.col("x.first") + 1, F.col("x.n") - F.col("x.first")), lambda t: t["segment"]), "")
+    end = F.get("turns", F.col("x.n") - 1)
+    return rows.select("conv_id", F.col("x.n").alias("n_segments"), text.alias("text"), end["loss_start"].alias("loss_start"), end["loss_end"].alias("loss_end"), "x.final")
+
+
+def read_turns(text: Column) -> Column:
+    """The turns (role, text) of formatted text, parsed by the control strings."""
+    fields = F.transform(F.split(F.substr(text, F.lit(1), F.length(text) - len(CLOSE)), CLOSE), lambda t: F.split(F.substr(t, F.lit(len(OPEN) + 1)), r"\[INST\]"))
+    return F.transform(fields, lambda f: F.struct(unescape(f[0]).alias("role"), unescape(f[1]).alias("text")))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """The digests of a formatted table, all read back from it. formatted_chars counts the texts of all examples, and of any turns after the last."""
-    trainable = F.col("loss_start").isNotNull()
-    g = read_back(formatted).groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"),
-        F.array_sort(F.collect_list(F.struct("n_segments", "role", "text", "reply"))).alias("rows"),
-        F.sum(F.when(trainable, F.col("before") + F.length("segment"))).alias("chars"),
-        F.max(F.when(trainable, F.col("before") + F.length("segment"))).alias("last"),
-        F.max(F.col("before") + F.length("segment")).alias("all"),
-    )
-    loss = F.array_join(F.transform("rows", lambda r: r["reply"]), "")  # null replies are left out
-    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    """The digests of a formatted table, all read back from its examples with their whole texts. formatted_chars counts these, and any turns after the last.
+
+    A reply is what stands between the loss offsets of its example's text.
+    """
+    reply = unescape(F.substr("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    row = F.struct("n_segments", reply.alias("reply"), F.when(F.col("final"), F.col("text")).alias("text"), F.length("text").cast("long").alias("chars"))
+    g = expand_all(formatted).groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    joined = lambda c: F.array_join(F.transform("rows", lambda r: r[c]), "")  # noqa: E731  # nulls are left out
+    g = g.select("conv_id", read_turns(joined("text")).alias("turns"), joined("reply").alias("loss"), F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + r["chars"]).alias("chars"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return g.select(
         "conv_id",
-        "n_turns",
-        F.sha2(F.array_join(F.transform("rows", lambda r: F.concat(r["role"], F.lit("\n"), r["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
-        (none("chars") + F.col("all") - none("last")).cast("long").alias("formatted_chars"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("chars").alias("formatted_chars"),
     )
 
 

@@ -331,6 +331,23 @@ def test_chat(spark):
         assert len(r["text"]) == own["before"] + len(own["segment"]) and r["text"][own["before"] :] == own["segment"]
 
 
+def test_chat_reads_examples_with_their_whole_texts(spark, monkeypatch):
+    """The digest goes through the expanded texts: what is changed in one of them shows in it, a context's length too."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e"), (2, 0, "user", "f"), (3, 0, "assistant", "g")]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    own = {r["conv_id"]: r for r in chat.digest(formatted).collect()}
+    texts = {(r["conv_id"], r["n_segments"], r["final"]): r["text"] for r in chat.expand_all(formatted).collect()}
+    ab, cd, e = "<s>user[INST]a</s><s>assistant[INST]b</s>", "<s>user[INST]c</s><s>assistant[INST]d</s>", "<s>user[INST]e</s>"
+    assert texts == {(1, 2, False): ab, (1, 4, True): ab + cd, (1, 5, True): e, (2, 1, True): "<s>user[INST]f</s>", (3, 1, True): "<s>assistant[INST]g</s>"}
+    assert own[1]["formatted_chars"] == len(ab + ab + cd + e)
+    whole = chat.expand_all
+    monkeypatch.setattr(chat, "expand_all", lambda f: whole(f).withColumn("text", F.replace(F.replace("text", F.lit("INST]d"), F.lit("INST]Z")), F.lit("INST]a"), F.lit("INST]aa"))))
+    changed = {r["conv_id"]: r for r in chat.digest(formatted).collect()}
+    assert changed[2] == own[2] and changed[3] == own[3]
+    assert changed[1]["formatted_chars"] == own[1]["formatted_chars"] + 2
+    assert changed[1]["turns_sha256"] == hashlib.sha256(b"user\naa\nassistant\nb\nuser\nc\nassistant\nZ\nuser\ne\n").hexdigest()
+
+
 def test_language_id_reads_whole_runs(spark):
     rng = random.Random(6)
     model = language_id.fit([(lang, languages(rng, lang, 50).split()) for lang in ("aa", "bb") for _ in range(20)])
