@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -810,11 +810,17 @@ def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     first, last = rows.select(F.min("ts"), F.max("ts")).first()
     cuts = [F.lit(first + (last - first) * k / 4) for k in range(1, 4)]
     part = sum((F.when(comes >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    for k in range(4):
-        rows.where(part == k).coalesce(1).write.parquet(f"{path}/part={k}")
-    rows.limit(0).unionByName(spark.sql("SELECT -1L AS event_id, CAST(NULL AS BIGINT) AS key, TIMESTAMP '2100-01-01' AS ts")).coalesce(1).write.parquet(f"{path}/part=4")
-    events = spark.readStream.schema(f"event_id long, key long, ts timestamp, part int").option("maxFilesPerTrigger", 1).parquet(path)
-    out = stateful.run_to_table(limits.rate_limit_stream(events, 3, 86400, f"{late} seconds"), "rate-limit")
+
+    def come() -> Iterator[int]:
+        for k in range(4):
+            rows.where(part == k).write.parquet(f"{path}/part={k}")
+            yield k
+        rows.limit(0).unionByName(spark.sql("SELECT -1L AS event_id, CAST(NULL AS BIGINT) AS key, TIMESTAMP '2100-01-01' AS ts")).write.parquet(f"{path}/part=4")
+        yield 4
+
+    rows.limit(0).write.parquet(f"{path}/part=-1")  # a stream's folder has to be there
+    events = spark.readStream.schema("event_id long, key long, ts timestamp, part int").parquet(path)
+    out = stateful.run_to_table(limits.rate_limit_stream(events, 3, 86400, f"{late} seconds"), "rate-limit", runs=come())
     return spark.read.parquet(out).select("event_id", "key", "window_start", "n", "allowed")
 
 

@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assayflow.sources.shared import shared_dir, stored
+from assayflow.streaming.buckets import Buckets, in_buckets
 
 LIMITED = "event_id long, key long, ts timestamp, window_start timestamp, n int, allowed boolean"
 #: Neighbouring pieces of a key that are composed into one at a time.
@@ -202,80 +201,43 @@ def rate_limit(requests: DataFrame, limit: int = 10, window_s: int = 60) -> Data
     return rows.mapInArrow(walk, LIMITED)
 
 
-REQUEST = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType())])
-OPEN = T.StructType([T.StructField("start", T.TimestampType()), T.StructField("n", T.IntegerType())])
-DUE = T.StructType([T.StructField("ms", T.LongType())])
+class Limiter(Buckets):
+    """Holds the requests of a bucket's keys until the watermark has passed them, and numbers them in the order of their times.
 
-
-class Limiter(StatefulProcessor):
-    """Holds a key's requests until the watermark has passed them, and numbers them in the order of their times.
-
-    waiting: requests that others may still come before; open: the last window and its count; due: when the
-    key is looked at again, at the first waiting request or else at the end of the open window, which is then forgotten.
+    A bucket is [waiting, open]: requests (key, time, known, id) that others may still come before, and of each key the last window's
+    start and count. It is looked at again at the first waiting request or the end of the first open window, which is then forgotten. Times are in microseconds.
     """
 
+    columns = ["event_id", "key", "ts", "window_start", "n", "allowed"]
+    types = {"event_id": "Int64", "key": "int64", "ts": "int64", "window_start": "int64", "n": "int32", "allowed": "bool"}
+
     def __init__(self, limit: int, window_s: int):
-        self.limit, self.window = limit, pd.Timedelta(seconds=window_s)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting, self.open, self.due = handle.getListState("waiting", REQUEST), handle.getValueState("open", OPEN), handle.getValueState("due", DUE)
-
-    def wake(self, at: pd.Timestamp | None) -> None:
-        """Set the key's one timer to the first millisecond from `at` on; None: no timer."""
-        ms = None if at is None else -(-at.value // 1_000_000)
-        now = self.due.get()[0] if self.due.exists() else None
-        if ms == now:
-            return
-        if now is not None:
-            self.handle.deleteTimer(now)
-        if ms is None:
-            self.due.clear()
-        else:
-            self.handle.registerTimer(ms)
-            self.due.update((ms,))
-
-    def release(self, key, timers) -> pd.DataFrame:
-        """Number what no request can come before any more: all up to the watermark, as later ones of such times are dropped."""
-        mark = pd.Timestamp(timers.getCurrentWatermarkInMs(), unit="ms")
-        held = sorted(((pd.Timestamp(ts), i) for i, ts in self.waiting.get()), key=lambda r: (r[0], r[1] is not None, r[1])) if self.waiting.exists() else []
-        start, n = (pd.Timestamp(self.open.get()[0]), self.open.get()[1]) if self.open.exists() else (None, 0)
-        done = []
-        for ts, i in held:
-            if ts > mark:
-                break
-            if start is None or ts >= start + self.window:
-                start, n = ts, 0
-            n += 1
-            done.append((i, key[0], ts, start, n, n <= self.limit))
-        rest = held[len(done) :]
-        if done:
-            self.open.update((start.to_pydatetime(), n))
-            if rest:
-                self.waiting.put([(i, ts.to_pydatetime()) for ts, i in rest])
-            else:
-                self.waiting.clear()
-        if rest:
-            self.wake(rest[0][0])
-        elif start is not None and mark < start + self.window:
-            self.wake(start + self.window)
-        else:
-            self.open.clear()
-            self.wake(None)
-        frame = pd.DataFrame(done, columns=["event_id", "key", "ts", "window_start", "n", "allowed"])
-        return frame.astype({"event_id": "Int64", "key": "int64", "ts": "datetime64[us]", "window_start": "datetime64[us]", "n": "int32", "allowed": "bool"})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            self.waiting.appendList([(None if pd.isna(i) else int(i), ts.to_pydatetime()) for i, ts in zip(frame["event_id"], frame["ts"], strict=True)])
-        yield self.release(key, timerValues)
+        self.limit, self.width = limit, window_s * 1_000_000
+
+    def empty(self) -> list:
+        return [[], {}]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.due.clear()  # it is over
-        yield self.release(key, timerValues)
+    def take(self, held: list, rows: Iterator[pd.DataFrame], mark: int) -> tuple[list[tuple], int | None]:
+        for frame in rows:
+            held[0].extend(zip(*(frame[c].tolist() for c in ("key", "us", "known", "event_id")), strict=True))
+        return self.expire(held, mark)
 
-    def close(self) -> None:
-        pass
+    def expire(self, held: list, mark: int) -> tuple[list[tuple], int | None]:
+        """Number what no request can come before any more: all up to the watermark, as later ones of such times are dropped."""
+        waiting, opened = held
+        mark *= 1000
+        held[0] = [r for r in waiting if r[1] > mark]
+        out = []
+        for key, us, known, i in sorted(r for r in waiting if r[1] <= mark):
+            start, n = opened.get(key, (None, 0))
+            if start is None or us >= start + self.width:
+                start, n = us, 0
+            n += 1
+            opened[key] = start, n
+            out.append((i if known else None, key, us, start, n, n <= self.limit))
+        held[1] = {k: w for k, w in opened.items() if mark < w[0] + self.width}
+        first = min([r[1] for r in held[0]] + [start + self.width for start, _ in held[1].values()], default=None)
+        return out, None if first is None else -(-first // 1000)
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = 10, window_s: int = 60, delay: str = "0 seconds") -> DataFrame:
@@ -289,4 +251,7 @@ def rate_limit_stream(requests: DataFrame, limit: int = 10, window_s: int = 60,
     # One condition on both columns isn't pushed below the watermark, which rows without key move too.
     whole = F.forall(F.array(F.col("key").isNotNull(), F.col("ts").isNotNull()), lambda x: x)
     rows = requests.select("event_id", "key", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay).where(whole)
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Limiter(limit, window_s), outputStructType=LIMITED, outputMode="Append", timeMode="EventTime")
+    # No nulls among the integers, which pandas would make doubles of.
+    rows = rows.select(F.coalesce("event_id", F.lit(0).cast("long")).alias("event_id"), F.col("event_id").isNotNull().alias("known"), F.coalesce("key", F.lit(0).cast("long")).alias("key"), "ts", F.unix_micros("ts").alias("us"))
+    found = in_buckets(rows, F.col("key"), Limiter(limit, window_s), "event_id long, key long, ts long, window_start long, n int, allowed boolean")
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("ts", "window_start")})
