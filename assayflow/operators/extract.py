@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayflow.functions.text import filled, normalize_text, normalize_unit, parse_number
-from assayflow.sources.shared import read_block, small, write_blocks
+from assayflow.sources.shared import read_block, small, stored, write_blocks
 
 #: Fixed value: what follows a name - a separator, a number, perhaps a unit.
 VALUE = r"\s*[:\-]?\s*(\d[\d,]*\.?\d*)\s*([a-zA-Z/%^\d]+)?"
@@ -41,12 +41,20 @@ def alias_rows(catalog: DataFrame) -> DataFrame:
     return rows.where(F.col("alias") != "")
 
 
-def alias_shards(catalog: DataFrame) -> tuple[str, int]:
-    """The aliases of a catalog as stored automata: the path in the shared folder and how many there are, none of more than about ALIASES.
+def tests_by_alias(catalog: DataFrame, units: DataFrame) -> DataFrame:
+    """alias, id, name, normal_min, normal_max, test_ord, alias_ord, measured (has the test units?) and own_unit of a catalog, stored, so that a catalog is made once for all that reads it."""
+    measured = F.size("units") > 0
+    rows = alias_rows(catalog).withColumn("own_raw", F.when(measured, F.get("units", F.lit(0))).otherwise(""))
+    rows = normalize_unit(rows, units, "own_raw", "own_unit")
+    return stored(rows.select("alias", "id", "name", "normal_min", "normal_max", F.col("ord").alias("test_ord"), "alias_ord", measured.alias("measured"), "own_unit"), "tests")
+
+
+def alias_shards(aliases: DataFrame) -> tuple[str, int]:
+    """The aliases of tests_by_alias() or of a catalog as stored automata: the path in the shared folder and how many there are, none of more than about ALIASES.
 
     Aliases are dealt by hash; a task makes the automaton of a shard. None of them passes through the driver.
     """
-    distinct = alias_rows(catalog).select("alias").distinct()
+    distinct = (aliases if "alias" in aliases.columns else alias_rows(aliases)).select("alias").distinct()
     n = -(-distinct.count() // ALIASES)
 
     def build(table: pa.Table) -> pa.Table:
@@ -102,25 +110,51 @@ def value_matches(docs: DataFrame, shards: tuple[str, int], strict: bool = False
             for shard in range(n):
                 finder = automaton(path, shard)
                 for batch in some if finder else ():
-                    rows, found = [], []
-                    for k, text in enumerate(batch.column("text")):
-                        text, seen = text.as_py(), {}
-                        for last, name in finder.iter(text):
+                    rows, names, numbers, raws, units = [], [], [], [], []
+                    for k, text in enumerate(batch.column("text").to_pylist()):
+                        seen, at, m = {}, -1, None
+                        for last, name in finder.iter(text or ""):
                             start = last + 1 - len(name)
                             end, number = seen.get(name, (0, 0))
                             if start < end or strict and (start > 0 and _in_word(text[start - 1])) == _in_word(text[start]):
                                 continue
-                            m = value.match(text, last + 1)
+                            if last != at:  # names that end together have one number
+                                at, m = last, value.match(text, last + 1)
                             if m:
                                 seen[name] = (m.end(), number + 1)
                                 rows.append(k)
-                                found.append((name, number, m[1], m[2] or ""))
-                    columns = [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))]
+                                names.append(name)
+                                numbers.append(number)
+                                raws.append(m[1])
+                                units.append(m[2] or "")
+                    columns = [pa.array(x, t) for x, t in ((names, pa.string()), (numbers, pa.int32()), (raws, pa.string()), (units, pa.string()))]
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *columns], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def with_tests(found: DataFrame, aliases: DataFrame, *key: str, few: int = 20_000) -> DataFrame:
+    """doc_id, id, name, value, unit, normal_min, normal_max, test_ord, alias_ord, match_no: measured_matches() with a row for each of the tests_by_alias() of equal key.
+
+    Few tests are sent as one list a key, which is spread out about three times as fast as a hash table gives rows of equal keys; more are joined as rows.
+    """
+    key = key or ("alias",)
+    if aliases.limit(few + 1).count() > few:
+        rows = found.join(aliases, list(key))
+    else:
+        lists = aliases.groupBy(*key).agg(F.collect_list(F.struct(*[c for c in aliases.columns if c not in key])).alias("__tests"))
+        rows = found.join(F.broadcast(lists), list(key)).select(*found.columns, F.inline("__tests"))
+    unit = F.coalesce(F.when(F.col("measured"), F.col("found_unit")), "own_unit")
+    return rows.select("doc_id", "id", "name", "value", unit.alias("unit"), "normal_min", "normal_max", "test_ord", "alias_ord", "match_no")
+
+
+def measured_matches(docs: DataFrame, shards: tuple[str, int], units: DataFrame, strict: bool = False) -> DataFrame:
+    """doc_id, alias, match_no, value, found_unit: what value_matches() finds in normalized texts, with number and unit read, once a match and not once a test."""
+    found = value_matches(docs.select("doc_id", normalize_text(F.col("text")).alias("text")), shards, strict)
+    found = found.select("doc_id", "alias", "match_no", parse_number(F.col("raw")).alias("value"), filled("captured").alias("captured"))
+    return normalize_unit(found, units, "captured", "found_unit").drop("captured")
+
+
 def extract_measurements(docs: DataFrame, catalog: DataFrame, units: DataFrame, strict: bool = False, shards: tuple[str, int] | None = None) -> DataFrame:
     """doc_id, id, name, value, unit, normal_min, normal_max, test_ord, alias_ord, match_no for docs(doc_id, text).
 
@@ -129,14 +163,11 @@ def extract_measurements(docs: DataFrame, catalog: DataFrame, units: DataFrame,
     Equal names of one test emit twice. The aliases are searched as stored automata, those in shards (alias_shards() of the same
     catalog, for many calls) or made for this one, and only what is found is joined with their tests.
     """
-    text = docs.select("doc_id", normalize_text(F.col("text")).alias("text")).where(F.col("text") != "")
-    aliases = small(alias_rows(catalog).withColumnRenamed("ord", "test_ord"))
-    found = value_matches(text, shards or alias_shards(catalog), strict).join(aliases, "alias")
-    found = found.withColumn("raw_unit", F.when(F.size("units") > 0, F.coalesce(filled("captured"), F.get("units", F.lit(0)))).otherwise(""))
-    found = normalize_unit(found.withColumn("value", parse_number(F.col("raw"))), units, "raw_unit", "unit")
+    aliases = tests_by_alias(catalog, units)
+    found = with_tests(measured_matches(docs, shards or alias_shards(aliases), units, strict), aliases)
     if strict:
         found = found.join(small(units.select(F.lower("canonical").alias("__known")).distinct()), F.lower("unit") == F.col("__known"), "left_semi")
-    return found.select("doc_id", "id", "name", "value", "unit", "normal_min", "normal_max", "test_ord", "alias_ord", "match_no")
+    return found
 
 
 def extract_entities(docs: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -144,8 +175,9 @@ def extract_entities(docs: DataFrame, catalog: DataFrame) -> DataFrame:
 
     Tokens of four or more of a-z, 0-9 and hyphens are looked up among ids and lower-case aliases, which are counted before
     they are broadcast: one row a document and entity, at its first token. Partial counts come before the shuffle, so common tokens don't skew it.
+    White space is left as it is, since no token has any.
     """
-    tokens = docs.select("doc_id", F.posexplode(F.regexp_extract_all(normalize_text(F.col("text")), F.lit(r"(?U)\b[a-z0-9\-]{4,}\b"), F.lit(0))).alias("pos", "token"))
+    tokens = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[a-z0-9\-]{4,}\b"), F.lit(0))).alias("pos", "token"))
     names = F.array_distinct(F.concat(F.array("id"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a))))
     lookup = catalog.select("id", "ord", F.coalesce(filled("display_name"), F.col("id")).alias("name"), "category", F.explode(names).alias("token"))
     hits = tokens.join(small(lookup), "token")

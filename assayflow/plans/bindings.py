@@ -50,8 +50,8 @@ def report_text(spark: SparkSession, d: str) -> DataFrame:
     """A text for each order: its parts with their quantities, in order."""
     m = measurements(spark, d)
     piece = F.concat("name", F.lit(": "), F.col("value").cast("string"), F.lit(" mg/dl"))
-    rows = m.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "value", piece.alias("t")))).alias("r"))
-    return rows.select("doc_id", F.array_join(F.transform("r", lambda x: x["t"]), " ").alias("text"))
+    rows = m.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "value", piece.alias("t")))).alias("r"))
+    return rows.select("doc_id", F.array_join("r.t", " ").alias("text"))
 
 
 def jobs(spark: SparkSession, d: str) -> DataFrame:

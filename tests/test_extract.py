@@ -103,3 +103,19 @@ def test_catalogs_are_the_sides_that_are_broadcast(spark, tmp_path):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
     assert hits.count() == 50
+
+
+def test_numbers_are_read_once_a_match(spark):
+    """What is found is read before it is joined with the tests that share its alias, and lists of tests give the rows of the join."""
+    catalog = spark.createDataFrame([(f"t{i}", i, f"test {i}", ["shared"], "mg/dl" if i % 3 else "") for i in range(9)], "id string, ord long, display_name string, aliases array<string>, unit string")
+    docs = spark.createDataFrame([(1, "shared 5 g/dl, test 4: 1,000 shared 7."), (2, ""), (3, None)], "doc_id long, text string")
+    units = frames(spark)[1]
+    found = extract.extract_measurements(docs, catalog, units)
+    rows = sorted(found.collect())
+    assert len(rows) == 9 * 2 + 1 and {(r["value"], r["unit"]) for r in rows} == {(5.0, "g/dL"), (5.0, ""), (1000.0, "shared"), (7.0, "mg/dL"), (7.0, "")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("RLIKE")
+    aliases = extract.tests_by_alias(catalog, units)
+    matches = extract.measured_matches(docs, extract.alias_shards(aliases), units)
+    assert matches.count() == 3
+    assert sorted(extract.with_tests(matches, aliases, few=0).collect()) == sorted(extract.with_tests(matches, aliases).collect()) == rows
