@@ -832,10 +832,10 @@ def stream_extract(spark: SparkSession, d: str) -> DataFrame:
     """A stream of the documents, by negative ids, and of the orders' reports, from files in the shared folder."""
     path, source = b_path(spark, "extracted"), b_path(spark, "texts")
     texts = b.report_text(spark, d).unionByName(b.table(spark, d, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
-    texts.write.parquet(source)
+    texts.hint("rebalance").write.parquet(source)  # reports and documents in all files alike: what a file holds to be found doesn't follow from its bytes
     stateful.run_to_table(spark.readStream.schema(texts.schema).parquet(source), "extract", write=stateful.stream_extract(b.lab_catalog(spark, d), b.medicine_catalog(spark), b.units(spark), path))
-    entities = versions.read_batches(spark, f"{path}/entities").where(F.col("doc_id") < 0)
-    values = versions.read_batches(spark, f"{path}/measurements").where(F.col("doc_id") >= 0)
+    entities = stateful.read_entities(spark, path).where(F.col("doc_id") < 0)
+    values = stateful.read_measurements(spark, path).where(F.col("doc_id") >= 0)
     return entities.select(F.lit("entity").alias("kind"), "doc_id", "id", F.col("category").alias("what"), F.lit(None).cast("double").alias("value")).unionByName(
         values.select(F.lit("measurement").alias("kind"), "doc_id", "id", F.col("unit").alias("what"), "value")
     )

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assayflow.operators import jobs, knowledge, report, vectors
+from assayflow.operators import extract, jobs, knowledge, report, vectors
 from assayflow.sources import codes, files, shared, versions
 from assayflow.streaming import limits, stateful
 
@@ -236,3 +236,22 @@ def test_job_state_stream(spark, tmp_path):
 def test_once(spark):
     rows = spark.createDataFrame([(1, at("2024-01-01 00:00:01")), (1, at("2024-01-01 00:00:00")), (2, at("2024-01-01 00:00:00"))], "job_id long, ts timestamp")
     assert sorted((r["job_id"], r["ts"].second) for r in stateful.process_once(rows, "ts").collect()) == [(1, 0), (2, 0)]
+
+
+def test_a_stream_stores_a_match_once(spark, tmp_path):
+    """A match is one row, however many tests have its alias; read back it has all of them, each batch those that it was searched for, and a batch that is tried again its last rows."""
+    schema = "id string, ord long, display_name string, aliases array<string>, unit string"
+    first = spark.createDataFrame([(f"t{i}", i, f"test {i}", ["shared"], "mg/dl") for i in range(9)], schema)
+    second = spark.createDataFrame([("u", 0, "shared", None, "")], schema)
+    meds = spark.createDataFrame([("aspirin", 0, "Aspirin", "x", ["brand"])], "id string, ord long, display_name string, category string, aliases array<string>")
+    units = spark.createDataFrame([("mg/dl", "mg/dL")], "variant string, canonical string")
+    docs = [spark.createDataFrame([(k, text)], "doc_id long, text string") for k, text in enumerate(("shared 5 brand", "test 3: 6 mg/dl", "shared: 7 aspirin"))]
+    path = str(tmp_path / "out")
+    write = stateful.stream_extract(first, meds, units, path)
+    for batch, k in ((docs[0].unionByName(docs[1]), 0), (docs[2], 1), (docs[0].unionByName(docs[1]), 0)):
+        write(batch, k)
+    stateful.stream_extract(second, meds, units, path)(docs[2], 2)
+    assert versions.read_batches(spark, f"{path}/matches").count() == 4
+    want = extract.extract_measurements(docs[0].unionByName(docs[1]).unionByName(docs[2]), first, units).unionByName(extract.extract_measurements(docs[2], second, units))
+    assert sorted(stateful.read_measurements(spark, path).collect()) == sorted(want.collect()) and want.count() == 9 + 1 + 9 + 1
+    assert sorted((r["doc_id"], r["id"]) for r in stateful.read_entities(spark, path).collect()) == [(0, "aspirin"), (2, "aspirin"), (2, "aspirin")]
