@@ -27,10 +27,10 @@ def leftmost_smaller(smaller: np.ndarray) -> np.ndarray:
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A stable order by key, each ordered item's rank among equals, the keys and their counts."""
+    """A stable order by key, each ordered item's rank among equals, the keys and their counts. Keys of 16 bits are sorted by radix."""
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    start = np.flatnonzero(np.diff(ordered, prepend=-1))
+    start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     counts = np.diff(np.append(start, len(keys)))
     return order, np.arange(len(keys)) - np.repeat(start, counts), ordered[start], counts
 
@@ -99,24 +99,37 @@ class Spans:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
+    def all(self, size: int) -> np.ndarray:
+        """Of each span of that size, by its start."""
+        return (self.sums[size:] - self.sums[: len(self.sums) - size]) * self.inverse[: len(self.sums) - size]
+
 
 def name_order(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names: pairs of names are named again, until all differ or depth names count."""
-    rank, reach = names.astype(np.int64), 1
-    while reach < depth and len(rank) and rank.max() + 1 < len(rank):
-        nxt = np.zeros(len(rank), np.int64)
-        nxt[: max(0, len(rank) - reach)] = rank[reach:] + 1
-        key = rank * (len(rank) + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
+    """Order of the suffixes of a string of names: pairs of names are named again, until all differ or depth names count.
+
+    A rank is the place of the first of those that are alike so far; only what isn't told apart yet is sorted again.
+    """
+    n, reach = len(names), 1
+    alike, key, rank = np.arange(n), names.astype(np.int64), np.zeros(n, np.int64)
+    while len(alike):
+        by = np.argsort(key)
+        alike, key = alike[by], key[by]
+        old, at = rank[alike], np.arange(len(alike))
+        first = np.append(True, key[1:] != key[:-1])
+        begin = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), at, 0))
+        rank[alike] = old + np.maximum.accumulate(np.where(first, at, 0)) - begin
+        if reach >= depth:
+            break
+        alike = alike[~(first & np.append(first[1:], True))]
+        nxt = np.where(alike + reach < n, rank[np.minimum(alike + reach, n - 1)] + 1, 0)
+        key = rank[alike] * (n + 2) + nxt
         reach *= 2
     return np.argsort(rank, kind="stable")
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of bytes, right for their first `depth` bytes at least; the empty suffix is left out."""
-    s = np.append(data.astype(np.int64) + 1, 0)
+    s = np.append(data.astype(np.int16) + np.int16(1), np.int16(0))
     if len(s) < 3:
         return np.arange(len(s) - 1)
     smaller = types(s)
@@ -132,7 +145,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     h, size = spans.of(order, stop[order]), stop[order] - order
     name = np.zeros(len(s), np.int64)
     name[order] = np.cumsum(np.append(False, (h[1:] != h[:-1]) | (size[1:] != size[:-1])))
-    order = lms[name_order(name[lms], depth)]
+    order = lms[name_order(name[lms], -(-depth // 2))]  # a name stands for two bytes at least
     return induce(s, smaller, order)[1:]
 
 
@@ -151,10 +164,10 @@ def permuted_prefixes(data: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarra
     room = np.minimum(limit, n - np.maximum(own, other))
     step = 1 << max(0, limit.bit_length() - 1)
     while step:
-        fits = np.flatnonzero(got + step <= room)
-        a, b = own[fits] + got[fits], other[fits] + got[fits]
-        same = spans.of(a, a + step) == spans.of(b, b + step)
-        got[fits[same]] += step
+        if step <= n:
+            spanned = spans.all(step)
+            same = spanned[np.minimum(own + got, n - step)] == spanned[np.minimum(other + got, n - step)]
+            got += step * (same & (got + step <= room))
         step >>= 1
     out = np.zeros(n, np.int64)
     out[own] = got
@@ -167,7 +180,8 @@ def group_firsts(data: np.ndarray, position: np.ndarray, length: int) -> np.ndar
     shares = permuted_prefixes(data, sa, length)[sa] >= length
     start = np.flatnonzero(~shares)
     never = np.iinfo(np.int64).max
-    placed = np.where(position[sa] >= 0, position[sa], never)
+    placed = position[sa]
+    placed[placed < 0] = never
     first = np.repeat(np.minimum.reduceat(placed, start), np.diff(np.append(start, len(sa))))
     out = np.zeros(len(data), bool)
     out[sa] = (placed > first) & (placed != never)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assayflow.llm import ann, chat, jaccard_join, language_id, suffix_dedup
 from assayflow.llm.hashing import shingle_sets
-from assayflow.llm.suffix_array import permuted_prefixes, suffix_array
+from assayflow.llm.suffix_array import name_order, permuted_prefixes, suffix_array
 
 
 def test_language_id(spark, odd_docs, no_docs):
@@ -463,3 +463,16 @@ def test_long_texts_in_pieces(spark, monkeypatch):
         assert all(len(p) <= 300 + 99 for _, _, p in own)
     places = [(r, a + k) for own in suffix_dedup.pieces([t.encode() for t in texts]) for r, a, p in own for k in range(len(p) - 99)]
     assert sorted(places) == [(r, k) for r, t in enumerate(texts) for k in range(len(t) - 99)]
+
+
+def test_names_told_apart_are_not_sorted_again(monkeypatch):
+    """Only names that are alike so far go into another round, and the order is that of the suffixes as far as depth names count."""
+    rng = np.random.default_rng(4)
+    names = np.concatenate([rng.permutation(5_000), np.arange(200), rng.permutation(5_000), np.arange(200)])
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda keys, *a, **k: sizes.append(len(keys)) or sort(keys, *a, **k))
+    order = name_order(names, 100)
+    monkeypatch.undo()
+    text = names.tolist()
+    assert [text[i : i + 100] for i in order.tolist()] == sorted(text[i : i + 100] for i in range(len(text)))
+    assert sum(sizes) < 3.5 * len(names)
