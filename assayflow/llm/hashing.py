@@ -17,6 +17,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: CRC-32 registers after one byte.
+CRC_TABLE = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC_TABLE = np.where(CRC_TABLE & 1, (CRC_TABLE >> 1) ^ np.uint32(0xEDB88320), CRC_TABLE >> 1)
 #: Bytes of text hashed at a time; one longer text is a block of its own.
 BLOCK = 1 << 19
 _powers: dict[int, np.ndarray] = {}

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import kept
+from assayflow.llm.hashing import CRC_TABLE
 
 #: Training bounds: languages, labelled documents a language, and words and characters of one document (a stretch at a hashed place).
 LANGUAGES, DOCS_A_LANGUAGE, WORDS_A_DOCUMENT = 200, 800, 192
@@ -30,6 +31,8 @@ PIECE, SEAM = 24, "-"
 CHAIN, BUCKETS, LEXICON_LEAST, EPOCHS = 64, 1 << 16, 3, 3
 #: Words a worker remembers and words it labels at a time.
 MEMO, BLOCK = 250_000, 100_000
+#: Words whose features are made at a time.
+ROWS = 2_048
 #: Letters and the marks on them. Texts without characters above Latin letters take the plain pattern, which says the same there.
 WORD, PLAIN, OTHER = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*"), re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏ]+"), re.compile("[^\x00-ɏ]")
 UNKNOWN = "und"
@@ -60,26 +63,80 @@ def words_of(text: str) -> list[str]:
     return cut_runs((WORD if OTHER.search(text) else PLAIN).findall(text))
 
 
-def features(word: str, lexicon: frozenset) -> list[int]:
-    """Hashed features of a word: prefixes, suffixes, n-grams of 2 and 3 with word ends, and the word if the lexicon has it.
+def step(crc: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """CRC-32 registers after one more character each, which counts as its UTF-8 bytes."""
 
-    A piece has prefixes only at its run's start and suffixes only at its run's end; its n-grams go over the seam before it.
+    def after(crc: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        return CRC_TABLE[(crc ^ byte) & 0xFF] ^ (crc >> 8)
+
+    out, wide = after(crc, chars), chars >= 0x80
+    if wide.any():
+        chars, crc = chars[wide], crc[wide]
+        crc = after(crc, np.where(chars < 0x800, 0xC0 | chars >> 6, np.where(chars < 0x10000, 0xE0 | chars >> 12, 0xF0 | chars >> 18)))
+        for shift, least in ((12, 0x10000), (6, 0x800), (0, 0x80)):
+            more = chars >= least
+            crc[more] = after(crc[more], 0x80 | chars[more] >> shift & 0x3F)
+        out[wide] = crc
+    return out
+
+
+def packed(a: np.ndarray | int, b: np.ndarray | int, c: np.ndarray | int = 0, more: int = 0) -> np.ndarray:
+    """Keys in the order of strings by their first three characters (letters and marks have 20 bits), then by what follows."""
+    return np.asarray(a << 42 | b << 22 | c << 2 | more)
+
+
+def rows_of(words: list[str], lexicon: frozenset) -> np.ndarray:
+    """A row of features for each of some words of one length, all or none with a seam before them, and after them.
+
+    Columns of characters update the CRCs of all words at once. Rows are in the order of their features' strings; what a word has twice or not at all is BUCKETS.
     """
-    first, last = word[0] != SEAM, word[-1] != SEAM
-    w = word if first and last else word.strip(SEAM)
-    w = ("^" if first else "") + w + ("$" if last else "")
-    own = {"b"}
-    for k in (2, 3, 4):
+    first, last = words[0][0] != SEAM, words[0][-1] != SEAM
+    text = "".join([("^" if first else "") + w.strip(SEAM) + ("$" if last else "") for w in words])
+    char = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+    size, c = char.shape[1], char.astype(np.int64)
+    two = step(step(np.full(char.shape, ~np.uint32(0)), char)[:, :-1], char[:, 1:])
+    found = [(packed(ord("b"), 0), np.full((len(words), 1), ~np.uint32(zlib.crc32(b"b"))))]
+    found += [(packed(c[:, :-1], c[:, 1:]), two), (packed(c[:, :-2], c[:, 1:-1], c[:, 2:]), step(two[:, :-1], char[:, 2:]))]
+    crc = np.full((len(words), 1), ~np.uint32(zlib.crc32(b"p^")))
+    for k in range(2, min(4, size) + 1):
         if first:
-            own.add("p" + w[:k])
+            crc = step(crc, char[:, k - 1 : k])
+            found.append((packed(ord("p"), ord("^"), c[:, 1:2], k - 2), crc))
         if last:
-            own.add("s" + w[-k:])
-    for k in (2, 3):
-        own.update(w[i : i + k] for i in range(len(w) - k + 1))
-    if word in lexicon:
-        own.add("w" + word)
-    crc = zlib.crc32
-    return [crc(f.encode()) % BUCKETS for f in sorted(own)]
+            end = np.full((len(words), 1), ~np.uint32(zlib.crc32(b"s")))
+            for i in range(size - k, size):
+                end = step(end, char[:, i : i + 1])
+            found.append((packed(ord("s"), c[:, size - k, None], c[:, size - k + 1, None], k - 2), end))
+    known = np.array([w in lexicon for w in words])
+    whole = np.array([[zlib.crc32(f"w{w}".encode()) if k else 0] for w, k in zip(words, known.tolist(), strict=True)], np.uint32)
+    found.append((packed(ord("w"), *((c[:, 1:2], c[:, 2:3]) if first else (ord(SEAM), c[:, :1])), 3), ~whole))
+    key = np.concatenate([np.broadcast_to(k, crc.shape) for k, crc in found], axis=1)
+    rows = (~np.concatenate([crc for _, crc in found], axis=1) % BUCKETS).astype(np.int64)
+    rows[~known, -1] = BUCKETS
+    order = np.argsort(key, axis=1)
+    key, rows = np.take_along_axis(key, order, 1), np.take_along_axis(rows, order, 1)
+    rows[:, 1:][key[:, 1:] == key[:, :-1]] = BUCKETS
+    return rows
+
+
+def feature_rows(words: list[str], lexicon: frozenset) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of words: prefixes, suffixes, n-grams of 2 and 3 with word ends, and the word if the lexicon has it.
+
+    A piece has prefixes only at its run's start and suffixes only at its run's end; its n-grams go over the seam before it.
+    Gives places in `words` and the rows of features there, for at most ROWS words at a time.
+    """
+    shapes: dict[tuple, list[int]] = {}
+    for i, w in enumerate(words):
+        shapes.setdefault((len(w), w[0] != SEAM, w[-1] != SEAM), []).append(i)
+    for places in shapes.values():
+        for at in range(0, len(places), ROWS):
+            own = places[at : at + ROWS]
+            yield np.array(own), rows_of([words[i] for i in own], lexicon)
+
+
+def features(word: str, lexicon: frozenset) -> list[int]:
+    """Hashed features of one word."""
+    return [f for f in rows_of([word], lexicon)[0].tolist() if f < BUCKETS]
 
 
 def forward_backward(emission: np.ndarray, transitions: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,9 +182,12 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
             counts[w] = counts.get(w, 0) + 1
     lexicon = frozenset(w for w, c in counts.items() if c >= LEXICON_LEAST)
     ids = {w: i for i, w in enumerate(counts)}
-    feats = [features(w, lexicon) for w in ids]
+    feats = [np.empty(0, np.int64)] * len(ids)
+    for places, rows in feature_rows(list(ids), lexicon):
+        for i, row in zip(places.tolist(), rows, strict=True):
+            feats[i] = row[row < BUCKETS]
     starts = np.concatenate([[0], np.cumsum([len(f) for f in feats])])
-    flat = np.fromiter((x for f in feats for x in f), np.int64, starts[-1])
+    flat = np.concatenate([np.empty(0, np.int64), *feats])
     pieces = [(at[x], [ids[w] for w in words[i : i + CHAIN]]) for x, words in samples for i in range(0, len(words), CHAIN)]
     rng.shuffle(pieces)
     chains, i = [], 0
@@ -182,18 +242,24 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.memo, self.scores = model, {}, np.empty((MEMO + BLOCK, len(model.labels)), np.float32)
+        self.weights = np.concatenate([model.weights, np.zeros((1, len(model.labels)), np.float32)])  # BUCKETS: no feature
 
     def ids(self, words: list[str]) -> list[int]:
         memo = self.memo
-        try:
-            return [memo[w] for w in words]
-        except KeyError:
-            weights, lexicon, scores = self.model.weights, self.model.lexicon, self.scores
-            for w in words:
-                if w not in memo:
-                    scores[len(memo)] = weights[features(w, lexicon)].sum(axis=0)
-                    memo[w] = len(memo)
-            return [memo[w] for w in words]
+        found = list(map(memo.get, words))
+        missing = [at for at, i in enumerate(found) if i is None]
+        if missing:
+            new, n = list(dict.fromkeys([words[at] for at in missing])), len(memo)
+            for places, rows in feature_rows(new, self.model.lexicon):
+                first, *others = np.ascontiguousarray(rows.T)
+                total = self.weights.take(first, axis=0)
+                for column in others:
+                    total += self.weights.take(column, axis=0)
+                self.scores[n + places] = total
+            memo.update(zip(new, range(n, n + len(new)), strict=True))
+            for at in missing:
+                found[at] = memo[words[at]]
+        return found
 
     def posteriors(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Words x labels for each list of words."""
@@ -202,7 +268,7 @@ class Labeller:
         lengths = [len(t) for t in texts]
         if len(self.memo) + sum(lengths) > len(self.scores):  # a text of more words than a block
             self.scores = np.concatenate([self.scores, np.empty((sum(lengths), len(self.model.labels)), np.float32)])
-        ids = np.fromiter((i for t in texts for i in self.ids(t)), np.int64, sum(lengths))
+        ids = np.array(self.ids([w for t in texts for w in t]), np.int64)
         chains = np.array([min(CHAIN, n - i) for n in lengths for i in range(0, n, CHAIN)], np.int64)
         if not len(chains):
             return [np.empty((0, len(self.model.labels)), np.float32) for _ in texts]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayflow.llm.common import small, stored
+from assayflow.llm.hashing import CRC_TABLE
 
 #: Production parameters: words of a feature at most, buckets, seed of the noise, fewest words of a document that may be drawn, per cent drawn.
 NGRAM, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
@@ -19,9 +20,6 @@ NGRAM, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
 LONG, TEXTS = 64, 128
 #: A-Z to a-z, and a blank for each byte that is no digit, no ASCII letter and no part of a character beyond ASCII.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_CRC = np.arange(256, dtype=np.uint32)
-for _ in range(8):
-    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
 
 
 def crcs(features: list[bytes]) -> np.ndarray:
@@ -43,7 +41,7 @@ def crcs(features: list[bytes]) -> np.ndarray:
         matrix = np.frombuffer(b"".join([features[i] for i in own.tolist()]), np.uint8).reshape(-1, length)
         crc = np.full(len(own), 0xFFFFFFFF, np.uint32)
         for column in np.ascontiguousarray(matrix.T):
-            crc = _CRC[(crc ^ column) & 0xFF] ^ (crc >> 8)
+            crc = CRC_TABLE[(crc ^ column) & 0xFF] ^ (crc >> 8)
         out[own] = ~crc
     return out
 
